@@ -8,9 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType
 
 
-@arrow_udf("double")
+@arrow_udf(DoubleType())
 def sequence_ratio(candidates: pa.Array, titles: pa.Array) -> pa.Array:
     """2 * matched characters / total characters, with the title as second sequence."""
     matcher = SequenceMatcher()

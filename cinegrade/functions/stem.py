@@ -7,6 +7,7 @@ from functools import lru_cache
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, StringType
 
 # Suffixes of the published algorithm and what replaces them.
 STEP2 = {
@@ -111,12 +112,12 @@ def _stem_values(words: pa.Array) -> pa.Array:
     return pa.array(stems, pa.string()).take(coded.indices)
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def stem_word(words: pa.Array) -> pa.Array:
     return _stem_values(words)
 
 
-@arrow_udf("array<string>")
+@arrow_udf(ArrayType(StringType()))
 def stem_tokens(bags: pa.Array) -> pa.Array:
     """Stems every token of every bag; each distinct word of a batch is stemmed once."""
     if isinstance(bags, pa.ChunkedArray):

@@ -90,7 +90,8 @@ def strip_title(title: Column) -> Column:
 
 def dated_title(title: Column, suffix: int = 6) -> Column:
     """Normalised title whose last characters hold a year in brackets."""
-    return strip_title(F.trim(F.left(title, F.greatest(F.length(title) - suffix, F.lit(0)))))
+    kept = F.left(title, F.greatest(F.length(title) - suffix, F.lit(0)))
+    return strip_title(F.btrim(kept, F.lit(" \t\n\r\x0b\x0c")))
 
 
 def reason_tokens(reason: Column, stop_words: Iterable[str] = ENGLISH_STOP_WORDS) -> Column:

@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from cinegrade.fixed_values import VECTOR_DISTANCE
 from cinegrade.session import cut_lineage
@@ -42,7 +43,7 @@ def unit(vec: Column) -> Column:
 def _angles_to(pivots: np.ndarray):
     """Arrow function: angles between each unit vector of a batch and each pivot."""
 
-    @arrow_udf("array<double>")
+    @arrow_udf(ArrayType(DoubleType()))
     def angles(units: pa.Array) -> pa.Array:
         if isinstance(units, pa.ChunkedArray):
             units = units.combine_chunks()
