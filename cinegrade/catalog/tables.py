@@ -9,11 +9,13 @@ from cinegrade.fixed_values import ENGLISH_STOP_WORDS
 from cinegrade.functions import html as H
 from cinegrade.functions import xml as X
 from cinegrade.functions.text import clean_tokens, remove_stop_words
+from cinegrade.session import spread
 from cinegrade.sources.readers import subtitle_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def document_path() -> Column:
@@ -58,11 +60,10 @@ def subtitle_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</sentences><tokens>"), F.size(words).cast("string"),
         F.lit("</tokens><corrected>9</corrected></conversion></meta>"),
     )
-    whole = X.wrap_text(F.col("text"), meta)
-    xml = (
-        F.when(F.col("source") == "src7", F.concat(F.lit("<document>"), meta, F.lit("</document>")))
-        .when(F.col("source") == "src13", F.left(whole, F.length(whole) - len("</document>")))
-        .otherwise(whole)
+    xml = F.concat(
+        F.lit("<document>"), meta,
+        F.when(F.col("source") != "src7", X.sentence_elements(F.col("text"))).otherwise(""),
+        F.when(F.col("source") != "src13", "</document>").otherwise(""),
     )
     return docs.select(document_path().alias("path"), xml.alias("xml"))
 

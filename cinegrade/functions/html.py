@@ -76,6 +76,11 @@ def inner(html: Column, tag: str, attribute: str = "") -> Column:
     return F.regexp_extract(html, rf"(?is)<{tag}{extra}>(.*?)</{tag}>", 1)
 
 
+def _chunks_after(html: Column, opening: str) -> Column:
+    """What follows each opening tag, up to the next one."""
+    return F.filter(F.split(html, opening), lambda _, i: i > 0)
+
+
 def page_sections(html: Column, sections: dict[str, tuple[str, str]]) -> Column:
     """Map of section name to its list of text pieces; absent sections are left out.
 
@@ -95,7 +100,7 @@ def result_records(html: Column, marker: str = 'style="width:1000px;"') -> Colum
     Each marked `div` is a row of leaf cells; the first one holds the header. A page
     without marked rows gives an empty list.
     """
-    chunks = F.slice(F.split(visible(html), rf"<div [^>]*{marker}[^>]*>"), F.lit(2), F.lit(2**31 - 1))
+    chunks = _chunks_after(visible(html), rf"<div [^>]*{marker}[^>]*>")
     cell = r"(?is)<(\w+)[^>]*>([^<]*)</\1>"
     rows = F.transform(
         chunks,
@@ -126,9 +131,7 @@ def guide_title(html: Column) -> Column:
 
 def guide_info(html: Column) -> Column:
     """Info boxes of a guide page as a map; the key `mpaa` becomes `mpaa_reason`."""
-    boxes = F.slice(
-        F.split(visible(html), r'<div [^>]*class="info"[^>]*>'), F.lit(2), F.lit(2**31 - 1)
-    )
+    boxes = _chunks_after(visible(html), r'<div [^>]*class="info"[^>]*>')
 
     def plain(fragment: Column) -> Column:
         return decode_entities(F.regexp_replace(fragment, "<[^>]*>", ""))
@@ -148,10 +151,7 @@ def guide_sections(html: Column) -> Column:
 
     Sections are the elements with id swiki.2.<digit>.
     """
-    shown = visible(html)
-    chunks = F.slice(
-        F.split(shown, r'<\w+ [^>]*id="swiki\.2\.\d"[^>]*>'), F.lit(2), F.lit(2**31 - 1)
-    )
+    chunks = _chunks_after(visible(html), r'<\w+ [^>]*id="swiki\.2\.\d"[^>]*>')
 
     def entry(chunk: Column) -> Column:
         heading = decode_entities(F.regexp_replace(inner(chunk, "h3"), "<[^>]*>", ""))

@@ -80,8 +80,8 @@ def escape_xml(text: Column) -> Column:
     return text
 
 
-def wrap_text(text: Column, meta: Column | None = None) -> Column:
-    """Plain text as a subtitle document: lines are sentences, space-separated words are `w`.
+def sentence_elements(text: Column) -> Column:
+    """Plain text as `s` elements: one per line, with its space-separated words as `w`.
 
     Sentence i starts at second 2 * i of the film.
     """
@@ -104,6 +104,10 @@ def wrap_text(text: Column, meta: Column | None = None) -> Column:
             F.lit('S" value="'), clock, F.lit('"/>'), F.array_join(words, ""), F.lit("</s>"),
         )
 
-    lines = F.transform(F.split(escape_xml(text), "\n"), sentence)
+    return F.array_join(F.transform(F.split(escape_xml(text), "\n"), sentence), "")
+
+
+def wrap_text(text: Column, meta: Column | None = None) -> Column:
+    """Plain text as a whole subtitle document."""
     head = F.lit("") if meta is None else meta
-    return F.concat(F.lit("<document>"), head, F.array_join(lines, ""), F.lit("</document>"))
+    return F.concat(F.lit("<document>"), head, sentence_elements(text), F.lit("</document>"))

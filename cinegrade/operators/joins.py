@@ -56,15 +56,21 @@ def vocab_vectors(vocab: DataFrame, vectors: DataFrame, word: str = "word") -> D
     return vocab.join(vectors, word, "left")
 
 
-def merge_titles(targets: DataFrame, subtitles: DataFrame, films: DataFrame, year: str | None = "year") -> DataFrame:
-    """Left joins of the targets to subtitles on MovieName and to films on title.
+def merge_titles(
+    targets: DataFrame,
+    subtitles: DataFrame,
+    films: DataFrame,
+    name: str = "MovieName",
+    film: str = "film",
+    year: str | None = "year",
+) -> DataFrame:
+    """Left joins of the targets to subtitles on `name` and to films on `film`.
 
     Targets without a match carry '' and join nothing. With `year` the joined rows also
-    agree on that column; without it equal titles of all years multiply.
+    agree on that column; without it equal titles of all years multiply. Give the tables
+    distinct names for their other columns: Spark does not tell TITLE from title.
     """
-    on_name, on_title = ["MovieName"], ["title"]
-    if year is not None:
-        on_name, on_title = on_name + [year], on_title + [year]
-    named = subtitles.where(F.col("MovieName") != "")
-    titled = films.where(F.col("title") != "")
-    return targets.join(named, on_name, "left").join(titled, on_title, "left")
+    shared = [] if year is None else [year]
+    named = subtitles.where(F.col(name) != "")
+    titled = films.where(F.col(film) != "")
+    return targets.join(named, [name, *shared], "left").join(titled, [film, *shared], "left")

@@ -58,3 +58,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """
     fits = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if fits else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that is too small to occupy every core; larger ones stay as read.
+
+    Text work is bound by the processor, and a single row group would be a single task.
+    The shuffle happens only below two input splits per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -45,9 +45,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def subtitle_rows(raw: DataFrame, xml_col: str = "xml", path_col: str = "path") -> DataFrame:
-    """Parsed subtitles: path, file_id, corrupted flag, reject text, sentences, metadata."""
+    """Parsed subtitles: path, file_id, corrupted flag, reject text, sentences, metadata.
+
+    The parse sits in a one-row explode. Filters and projections above would otherwise be
+    merged into it and parse each document several times.
+    """
     doc = F.col("doc")
-    return raw.select(F.col(path_col).alias("path"), X.parse_subtitle(F.col(xml_col)).alias("doc")).select(
+    parsed = F.explode(F.array(X.parse_subtitle(F.col(xml_col)))).alias("doc")
+    return raw.select(F.col(path_col).alias("path"), parsed).select(
         "path",
         file_id(F.col("path")).alias("file_id"),
         X.is_corrupted(doc).alias("corrupted"),
