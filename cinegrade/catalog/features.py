@@ -1,2 +1,217 @@
-QUERIES = {}
-ORACLES = {}
+"""Term weight, naive Bayes and vector queries."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from cinegrade.catalog import tables as T
+from cinegrade.catalog.guide import _reasons
+from cinegrade.operators import joins, terms
+from cinegrade.operators import vectors as V
+from cinegrade.operators.splits import train_test_split
+from cinegrade.plans import bayes
+from cinegrade.plans.ratings import extract_labels
+from cinegrade.sources import readers
+
+CLASSES = ["NOT_R", "R"]
+
+
+def term_counts(spark, d):
+    return terms.term_counts(T.tokenised(spark, d), "doc_id")
+
+
+def doc_freq(spark, d):
+    return terms.doc_freq(T.tokenised(spark, d))
+
+
+def tfidf_terms(spark, d):
+    weights = terms.tfidf(T.tokenised(spark, d), "doc_id", min_doc_freq=2)
+    return weights.select("doc_id", "term", "n", "df", F.round("tfidf", 6).alias("tfidf"))
+
+
+def feature_moments(spark, d):
+    docs = T.tokenised(spark, d)
+    counts = terms.term_counts(docs, "doc_id")
+    m = terms.moments(counts, docs.count(), value="n")
+    return m.select("term", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"))
+
+
+def standardise(spark, d):
+    docs = T.tokenised(spark, d)
+    z = terms.standardise(terms.tfidf(docs, "doc_id", min_doc_freq=2), docs.count(), "doc_id", "tfidf")
+    return z.select("doc_id", "term", F.round("z", 4).alias("z"), F.round("z_absent", 4).alias("z_absent"))
+
+
+def bounded_vocab(spark, d):
+    return terms.bounded_vocab(_reasons(spark, d), "tokens", 0.01, 0.99)
+
+
+def tfidf_l2(spark, d):
+    weights = terms.tfidf_unit(_reasons(spark, d), "record_id", "tokens", 0.01, 0.99)
+    return weights.select("record_id", "term", F.round("weight", 6).alias("weight"))
+
+
+def bigram_counts(spark, d):
+    docs = T.tokenised(spark, d)
+    pairs = docs.select(F.explode(terms.bigrams(F.col("tokens"))).alias("bigram"))
+    return pairs.groupBy("bigram").agg(F.count("*").alias("n"))
+
+
+def hashing_tf(spark, d):
+    """Bucket counts per document: number of used buckets and of counted tokens."""
+    hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=10000).transform(T.tokenised(spark, d))
+    tf = F.filter(vector_to_array("tf"), lambda x: x > 0)
+    return hashed.select(
+        "doc_id", F.size(tf).cast("long").alias("buckets"),
+        F.aggregate(tf, F.lit(0.0), lambda s, x: s + x).cast("long").alias("tokens"),
+    )
+
+
+def _labelled(spark, d):
+    labels = extract_labels(T.labels(spark, d)).withColumn("doc_id", F.col("file_id").cast("long"))
+    return T.tokenised(spark, d).join(labels, "doc_id")
+
+
+def naive_bayes_params(spark, d):
+    params = bayes.term_parameters(_labelled(spark, d), CLASSES, "rating", "tokens")
+    return params.select("term", *[F.round(c, 9).alias(c) for c in CLASSES])
+
+
+def naive_bayes_predict(spark, d):
+    """Trained on the training side of the labelled documents, applied to all documents."""
+    train, _ = train_test_split(_labelled(spark, d), "file_id")
+    params = bayes.term_parameters(train, CLASSES, "rating", "tokens")
+    prior = bayes.priors(train, CLASSES, "rating")
+    scored = bayes.predict(T.tokenised(spark, d), params, prior, "doc_id", "tokens")
+    return scored.select("doc_id", "prediction", *[F.round(c, 3).alias(c) for c in CLASSES])
+
+
+def _vectors(spark, d):
+    """Embeddings as lines of a word-vector file, read back."""
+    rows = T.table(spark, d, "embeddings")
+    numbers = F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), " ")
+    lines = rows.select(F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit(" "), numbers).alias("value"))
+    return readers.word_vector_rows(lines)
+
+
+def word_vectors(spark, d):
+    vectors = _vectors(spark, d).select("word", F.posexplode("vec").alias("pos", "x"))
+    return vectors.select("word", F.col("pos").cast("long").alias("pos"), F.round("x", 9).alias("x"))
+
+
+def vocab_vectors(spark, d):
+    """Vocabulary w<doc_id> of the documents against the word vectors: found or missing."""
+    vocab = T.table(spark, d, "documents").select(F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("word"))
+    found = joins.vocab_vectors(vocab, _vectors(spark, d))
+    return found.select("word", F.round(F.get("vec", 0), 9).alias("first"), F.col("vec").isNull().alias("missing"))
+
+
+def cosine_pairs(spark, d):
+    pairs = V.close_pairs(T.table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
+    return pairs.select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+def vector_groups(spark, d):
+    return V.vector_groups(T.table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
+
+
+def pca_2d(spark, d):
+    return V.planar(T.table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+def kmeans_6(spark, d):
+    return V.kmeans_groups(T.table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tfidf_terms, term_counts, doc_freq, feature_moments, standardise, bounded_vocab, tfidf_l2,
+        bigram_counts, hashing_tf, naive_bayes_params, naive_bayes_predict, word_vectors,
+        vocab_vectors, cosine_pairs, vector_groups, pca_2d, kmeans_6,
+    )
+}
+
+_N = "(SELECT count(*) FROM documents)::DOUBLE"
+_TFIDF = f"""
+    t AS MATERIALIZED ({T.TERMS_SQL}), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+    w AS MATERIALIZED (SELECT doc_id, term, n, df,
+        n * CASE WHEN df >= 2 THEN ln(({_N} + 1) / (df + 1)) ELSE 0.0::DOUBLE END AS tfidf
+        FROM t JOIN f USING (term))"""
+_REASON_TERMS = """
+    , x AS MATERIALIZED (SELECT record_id, term, count(*) AS n FROM (SELECT record_id, unnest(tokens) AS term FROM r) GROUP BY record_id, term),
+    d AS (SELECT term, count(*) AS df FROM x GROUP BY term),
+    v AS (SELECT term, df FROM d WHERE df BETWEEN 0.01::DOUBLE * (SELECT count(*) FROM r) AND 0.99::DOUBLE * (SELECT count(*) FROM r))"""
+
+
+def _bayes(where: str) -> str:
+    return f"""
+    t AS MATERIALIZED ({T.TERMS_SQL}),
+    l AS (SELECT doc_id, file_id, CASE WHEN rating = 'R' THEN 'R' ELSE 'NOT_R' END AS rating FROM ({T.VALID_SQL}) WHERE {where}),
+    c AS (SELECT term, sum(CASE WHEN rating = 'R' THEN n ELSE 0 END) AS r, sum(CASE WHEN rating = 'R' THEN 0 ELSE n END) AS o
+        FROM t JOIN l USING (doc_id) GROUP BY term),
+    s AS (SELECT count(*) AS v, sum(r) AS r, sum(o) AS o FROM c),
+    p AS (SELECT c.term, ln((c.r + 1)::DOUBLE / (s.r + s.v)) AS r, ln((c.o + 1)::DOUBLE / (s.o + s.v)) AS o FROM c, s)"""
+
+
+_TRAIN = f"{T.hash_sql('doc_id', 1)} / 4294967296.0::DOUBLE >= 0.2"
+
+from cinegrade.catalog.guide import _REASONS  # noqa: E402
+
+ORACLES = {
+    "tfidf_terms": f"WITH {_TFIDF} SELECT doc_id, term, n, df, round(tfidf, 6) AS tfidf FROM w",
+    "term_counts": T.TERMS_SQL,
+    "doc_freq": f"SELECT term, count(*) AS df FROM ({T.TERMS_SQL}) GROUP BY term",
+    "feature_moments": f"""
+        SELECT term, round(sum(n)::DOUBLE / {_N}, 9) AS mean,
+            round(sqrt(greatest((sum(n * n) - sum(n)::DOUBLE * sum(n) / {_N}) / ({_N} - 1), 0)), 6) AS std
+        FROM ({T.TERMS_SQL}) GROUP BY term""",
+    "standardise": f"""
+        WITH {_TFIDF},
+        m AS (SELECT term, sum(tfidf) / {_N} AS mean,
+                sqrt(greatest((sum(tfidf * tfidf) - sum(tfidf) * sum(tfidf) / {_N}) / ({_N} - 1), 0)) AS std
+              FROM w GROUP BY term)
+        SELECT doc_id, term, round(CASE WHEN std > 0 THEN (tfidf - mean) / std ELSE 0.0::DOUBLE END, 4) AS z,
+            round(CASE WHEN std > 0 THEN (0 - mean) / std ELSE 0.0::DOUBLE END, 4) AS z_absent
+        FROM w JOIN m USING (term)""",
+    "bounded_vocab": f"{_REASONS} {_REASON_TERMS} SELECT term, df FROM v",
+    "tfidf_l2": f"""{_REASONS} {_REASON_TERMS},
+        y AS (SELECT record_id, term, n * (ln((1 + (SELECT count(*) FROM r))::DOUBLE / (1 + df)) + 1) AS w FROM x JOIN v USING (term))
+        SELECT record_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY record_id)), 6) AS weight FROM y""",
+    "bigram_counts": f"""
+        SELECT bigram, count(*) AS n FROM (
+            SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS bigram
+            FROM (SELECT list_filter({T.TOKENS_SQL}, lambda w: w NOT IN {T.STOP_SQL}) AS t FROM documents))
+        GROUP BY bigram""",
+    "naive_bayes_params": f"""
+        WITH {_bayes('true')} SELECT term, round(o, 9) AS "NOT_R", round(r, 9) AS "R" FROM p""",
+    "naive_bayes_predict": f"""
+        WITH {_bayes(_TRAIN)},
+        k AS (SELECT ln((count(*) FILTER (rating = 'R') + 1)::DOUBLE / (count(*) + 2)) AS r,
+                ln((count(*) FILTER (rating <> 'R') + 1)::DOUBLE / (count(*) + 2)) AS o FROM l),
+        z AS (SELECT doc_id, sum(n * r) AS r, sum(n * o) AS o FROM t JOIN p USING (term) GROUP BY doc_id),
+        q AS (SELECT d.doc_id, coalesce(z.r, 0) + k.r AS r, coalesce(z.o, 0) + k.o AS o
+              FROM documents d LEFT JOIN z USING (doc_id), k)
+        SELECT doc_id, CASE WHEN o >= r THEN 'NOT_R' ELSE 'R' END AS prediction, round(o, 3) AS "NOT_R", round(r, 3) AS "R" FROM q""",
+    "word_vectors": """
+        SELECT 'w' || vec_id AS word, i - 1 AS pos, round(embedding[i]::DOUBLE, 9) AS x
+        FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
+    "vocab_vectors": """
+        SELECT 'w' || doc_id AS word, round(embedding[1]::DOUBLE, 9) AS "first", embedding IS NULL AS missing
+        FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
+    "cosine_pairs": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+        SELECT x.vec_id AS a, y.vec_id AS b, round(1 - list_cosine_similarity(x.e, y.e), 6) AS distance
+        FROM v x JOIN v y ON x.vec_id < y.vec_id WHERE 1 - list_cosine_similarity(x.e, y.e) <= 0.6""",
+    "vector_groups": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        p AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id
+            WHERE 1 - list_cosine_similarity(x.e, y.e) <= 0.6),
+        reach AS (SELECT vec_id, vec_id AS root FROM embeddings
+            UNION SELECT p.b, reach.root FROM reach JOIN p ON reach.vec_id = p.a)
+        SELECT vec_id, min(root) AS "group" FROM reach GROUP BY vec_id""",
+}

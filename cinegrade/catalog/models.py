@@ -1,2 +1,176 @@
-QUERIES = {}
-ORACLES = {}
+"""Model queries: fits, comparison, blending, comment vectors, stream scoring.
+
+The test documents are few, so these use 1,000 features and few iterations; the library
+functions default to the full sizes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cinegrade.catalog import tables as T
+from cinegrade.catalog.guide import _comments
+from cinegrade.functions.text import clean_tokens, remove_stop_words
+from cinegrade.operators.splits import key_hash
+from cinegrade.plans import blend, docvectors, guide, ratings, search
+from cinegrade.session import scratch_path
+from cinegrade.streaming.score import arriving, score_stream
+
+FEATURES = 1000
+
+
+def _rows(spark, d):
+    """Labelled documents: doc_id, file_id, bow, rating, label (0 NOT_R, 1 R)."""
+    docs = T.tokenised(spark, d).withColumnRenamed("tokens", "bow")
+    labels = ratings.extract_labels(T.labels(spark, d)).withColumn("doc_id", F.col("file_id").cast("long"))
+    return docs.join(labels, "doc_id").withColumn("label", (F.col("rating") == "R").cast("double"))
+
+
+def _all_rows(spark, d):
+    """All documents with their nullable quality and toxic labels."""
+    docs = T.tokenised(spark, d).withColumnRenamed("tokens", "bow")
+    return docs.join(T.table(spark, d, "labels"), "doc_id", "left")
+
+
+def rating_fit(spark, d):
+    """Naive Bayes on the labelled documents, applied to every document."""
+    model = ratings.rating_pipeline("naive_bayes", FEATURES).fit(_rows(spark, d))
+    docs = T.tokenised(spark, d).withColumnRenamed("tokens", "bow")
+    return model.transform(docs).select("doc_id", "prediction", ratings.probability(1).alias("probability"))
+
+
+def _predict(spark, d, model_type, **params):
+    _, scored = ratings.fit_and_predict(_rows(spark, d), model_type, num_features=FEATURES, **params)
+    return scored.select("doc_id", "label", "prediction", ratings.probability(1).alias("probability"))
+
+
+def logreg_predict(spark, d):
+    return _predict(spark, d, "log_reg", maxIter=20, features={"scale": True})
+
+
+def gbt_predict(spark, d):
+    return _predict(spark, d, "gbt", maxIter=5)
+
+
+def rf_predict(spark, d):
+    return _predict(spark, d, "rf")
+
+
+def mlp_predict(spark, d):
+    return _predict(spark, d, "mlp", maxIter=20, layers=[FEATURES, 20, 2])
+
+
+def holdout_accuracy(spark, d):
+    return ratings.holdout_accuracy(_rows(spark, d), "naive_bayes", num_features=FEATURES)
+
+
+def cv_scores(spark, d):
+    pipelines = {
+        "naive_bayes": ratings.rating_pipeline("naive_bayes", FEATURES),
+        "log_reg": ratings.rating_pipeline("log_reg", FEATURES, maxIter=10),
+        "rf": ratings.rating_pipeline("rf", FEATURES, numTrees=10),
+    }
+    return search.cv_scores(_rows(spark, d), pipelines, "doc_id")
+
+
+def layer_search(spark, d):
+    layers = [[200, 16, 8, 2], [200, 16, 2], [200, 8, 2], [200, 32, 2]]
+    return search.layer_search(_rows(spark, d), "doc_id", layers, num_features=200, max_iter=10)
+
+
+def _blend_pipeline():
+    return ratings.rating_pipeline("log_reg", FEATURES, {"min_doc_freq": 0}, maxIter=10)
+
+
+def fold_predictions(spark, d):
+    return blend.fold_predictions(_all_rows(spark, d), _blend_pipeline(), "doc_id", "toxic")
+
+
+def blend_features(spark, d):
+    return blend.blend_all(_all_rows(spark, d), _blend_pipeline(), "doc_id", ["toxic"])
+
+
+def blend_all(spark, d):
+    return blend.blend_all(_all_rows(spark, d), _blend_pipeline(), "doc_id", ["quality", "toxic"])
+
+
+def oof_target_mean(spark, d):
+    docs = T.table(spark, d, "documents").select("doc_id", "n_chars")
+    rows = docs.join(T.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    rows = rows.withColumn("bucket", F.length(F.bin("n_chars")))
+    mean = blend.oof_target_mean(rows, "doc_id", "toxic", "bucket")
+    return mean.select("doc_id", F.round("blend", 9).alias("blend"))
+
+
+def dimension_models(spark, d):
+    return blend.dimension_models(_all_rows(spark, d), _blend_pipeline(), "doc_id", ["quality", "toxic"])
+
+
+def final_gbt(spark, d):
+    """Boosted trees on the blended features, against the binary rating of labelled rows."""
+    features = blend_all(spark, d).join(
+        T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("rated_r")), "doc_id", "left"
+    )
+    model, score = blend.final_model(features, ["quality", "toxic"], "doc_id", "rated_r", max_iter=3)
+    scored = model.transform(features).select("doc_id", "prediction", ratings.probability(1).alias("probability"))
+    return scored.withColumn("cv_accuracy", F.lit(score))
+
+
+def _comment_vectors(spark, d):
+    corpus = guide.training_corpus(_comments(spark, d))
+    return docvectors.skip_gram_vectors(corpus, size=16, epochs=1)
+
+
+def doc_vectors(spark, d):
+    return _comment_vectors(spark, d).select("sentence_tag", "category", F.col("doc_vector"))
+
+
+def comment_sentiment(spark, d):
+    """Comments labelled by page for a half of the pages; the rest is predicted."""
+    vectors = _comment_vectors(spark, d).select("imdb_id", "category", "doc_vector", "n_words")
+    positive = (F.col("n_words") > 20).cast("int").alias("label")
+    labels = vectors.where(key_hash(F.col("imdb_id"), 7) % 2 == 0).select("imdb_id", "category", positive)
+    return docvectors.comment_sentiment(vectors, labels, ["imdb_id", "category"], max_iter=10)
+
+
+def _prepared(docs):
+    return docs.select("doc_id", remove_stop_words(clean_tokens(F.col("text"))).alias("bow"))
+
+
+def stream_score(spark, d):
+    """All documents as a stream, scored with a fitted model and read back from the sink."""
+    model = ratings.rating_pipeline("naive_bayes", FEATURES).fit(_rows(spark, d))
+    schema = spark.read.parquet(f"{d}/documents.parquet").schema
+    out = scratch_path(spark, "scored")
+    query = score_stream(
+        arriving(spark, d, schema, "documents.parquet"), _prepared, model,
+        ["doc_id", "prediction", ratings.probability(1).alias("probability")],
+        out, scratch_path(spark, "scored-checkpoint"),
+    )
+    query.awaitTermination()
+    return spark.read.schema("doc_id BIGINT, prediction DOUBLE, probability DOUBLE").parquet(out)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        rating_fit, logreg_predict, gbt_predict, rf_predict, mlp_predict, holdout_accuracy, cv_scores,
+        layer_search, fold_predictions, blend_features, blend_all, oof_target_mean, dimension_models,
+        final_gbt, doc_vectors, comment_sentiment, stream_score,
+    )
+}
+
+_FOLDED = f"""
+    r AS (SELECT doc_id, length(bin(n_chars)) AS bucket, toxic,
+        CASE WHEN toxic IS NOT NULL THEN {T.hash_sql('doc_id', 1)} % 5 END AS fold
+        FROM documents LEFT JOIN labels USING (doc_id))"""
+
+ORACLES = {
+    "oof_target_mean": f"""
+        WITH {_FOLDED},
+        m AS (SELECT bucket, i, avg(toxic) FILTER (fold <> i) AS m
+              FROM r, (SELECT unnest(range(5)) AS i) GROUP BY bucket, i),
+        a AS (SELECT bucket, avg(m) AS m FROM m GROUP BY bucket)
+        SELECT doc_id, round(CASE WHEN fold IS NOT NULL THEN m.m ELSE a.m END, 9) AS blend
+        FROM r LEFT JOIN m ON r.bucket = m.bucket AND r.fold = m.i LEFT JOIN a ON r.bucket = a.bucket""",
+}

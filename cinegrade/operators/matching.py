@@ -11,7 +11,8 @@ cannot reach the cutoff is never emitted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,25 +102,25 @@ def closest_titles(
     """Targets with the closest candidate title of the same block and its score.
 
     Equal scores go to the larger string; without a match the title is '' and the score
-    null. Both sides are reduced to distinct titles first. Equal titles are paired by a
+    null. Both sides are reduced to distinct titles first and written once to the shared
+    folder, so that the stages do not read the source tables again. Equal titles are paired by a
     plain join; the rest is tried at `strict_cutoff`, where signatures are few, and only
     what is left is tried at `cutoff`. A match found at a higher cutoff beats all below
     it, so the stages change the cost and not the result.
     """
+    pool = candidates.select(block, F.col(candidate).alias("text")).where(F.col("text") != "")
+    pool = cut_lineage(pool.distinct())
     todo = targets.select(block, F.col(title).alias("text")).where(F.col("text") != "").distinct()
-    pool = candidates.select(block, F.col(candidate).alias("text")).where(F.col("text") != "").distinct()
-    equal = todo.join(pool, [block, "text"], "left_semi")
-    found = [equal.select(block, "text", F.struct(F.lit(1.0).alias("score"), F.col("text").alias("candidate")).alias("best"))]
-    todo = todo.join(pool, [block, "text"], "left_anti")
+    todo = cut_lineage(todo.join(pool.withColumn("equal", F.lit(True)), [block, "text"], "left"))
+    same = F.struct(F.lit(1.0).alias("score"), F.col("text").alias("candidate")).alias("best")
+    found = [todo.where("equal").select(block, "text", same)]
+    todo = todo.where("equal IS NULL").select(block, "text")
     if strict_cutoff is not None and strict_cutoff > cutoff:
         close = cut_lineage(_best_scored(todo, pool, block, sim, strict_cutoff))
         found.append(close)
         todo = todo.join(close, [block, "text"], "left_anti")
     found.append(_best_scored(todo, pool, block, sim, cutoff))
-    matched = found[0]
-    for part in found[1:]:
-        matched = matched.unionByName(part)
-    matched = matched.select(
+    matched = reduce(DataFrame.unionByName, found).select(
         block,
         F.col("text").alias(title),
         F.col("best.candidate").alias("closest"),

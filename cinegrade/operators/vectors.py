@@ -4,16 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DoubleType
 
 from cinegrade.fixed_values import VECTOR_DISTANCE
 from cinegrade.session import cut_lineage
@@ -40,19 +36,10 @@ def unit(vec: Column) -> Column:
     return F.flatten(F.transform(F.array(vec), scaled))
 
 
-def _angles_to(pivots: np.ndarray):
-    """Arrow function: angles between each unit vector of a batch and each pivot."""
-
-    @arrow_udf(ArrayType(DoubleType()))
-    def angles(units: pa.Array) -> pa.Array:
-        if isinstance(units, pa.ChunkedArray):
-            units = units.combine_chunks()
-        rows = np.asarray(units.flatten()).reshape(-1, pivots.shape[1])
-        out = np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
-        offsets = np.arange(0, out.size + 1, pivots.shape[0], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
-
-    return angles
+def _angles_to(pivots: list[list[float]], u: Column) -> Column:
+    """Angles between a unit vector and each pivot."""
+    cosine = lambda p: F.greatest(F.least(dot(p, u), F.lit(1.0)), F.lit(-1.0))
+    return F.transform(F.lit(pivots), lambda p: F.acos(cosine(p)))
 
 
 def close_pairs(
@@ -73,12 +60,12 @@ def close_pairs(
     """
     theta = math.acos(max(-1.0, 1.0 - max_distance)) + _SLACK
     units = vectors.select(key, unit(F.col(vec)).alias("u")).where(F.col("u").isNotNull())
-    pivots = np.array(
-        [r["u"] for r in units.orderBy(F.xxhash64(key), key).limit(n_pivots).select("u").collect()]
-    )
-    if not len(pivots):
+    first = units.orderBy(F.xxhash64(key), key).limit(n_pivots).select("u").collect()
+    pivots = [list(r["u"]) for r in first]
+    if not pivots:
         return units.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("distance"))
-    placed = units.withColumn("angles", _angles_to(pivots)("u"))
+    # the one-row explode keeps the angles from being evaluated again by every use
+    placed = units.select(key, "u", F.explode(F.array(_angles_to(pivots, F.col("u")))).alias("angles"))
     nearest = F.array_min("angles")
     home = placed.select(
         F.col(key).alias("b"),
@@ -87,8 +74,9 @@ def close_pairs(
         F.floor(nearest / theta).cast("int").alias("ring"),
     )
     visits = (
-        placed.select(key, "u", nearest.alias("near"), F.posexplode("angles").alias("cell", "angle"))
-        .where(F.col("angle") <= F.col("near") + 2 * theta)
+        placed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(len(pivots) - 1))))
+        .withColumn("angle", F.get("angles", F.col("cell")))
+        .where(F.col("angle") <= nearest + 2 * theta)
         .select(
             F.col(key).alias("a"),
             F.col("u").alias("ua"),

@@ -4,15 +4,17 @@ Per category the labelled rows fall into k folds by the hash of their key, and k
 are fitted, each on k - 1 folds. A labelled row takes the probability from the model that
 has not seen it; a row without a label takes the mean of all k models.
 
-All rows pass all models in one scan: the models sit side by side as columns on the row.
-So there is no union of fold outputs, no join of holdout scores per fold, and no join of
-the categories into a wide frame.
+All rows pass all models in one scan: words are hashed once, and the models sit side by
+side as columns on the row. So there is no union of fold outputs, no join of holdout
+scores per fold, and no join of the categories into a wide frame.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.fixed_values import BLEND_FOLDS
 from cinegrade.operators.splits import key_hash, with_fold
-from cinegrade.plans.ratings import probability
+from cinegrade.plans.ratings import probability, shared_stages
 
 
 def fold_of(key: str, label: str, k: int, seed: int) -> Column:
@@ -35,9 +37,9 @@ def fold_of(key: str, label: str, k: int, seed: int) -> Column:
 def fit_folds(
     rows: DataFrame, pipeline: Pipeline, key: str, label: str, k: int = BLEND_FOLDS, seed: int = 1, parallelism: int = 2
 ) -> list[PipelineModel]:
-    """k models; model i has not seen fold i. Every stage, IDF included, is refitted."""
-    labelled = rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    labelled = labelled.withColumn("fold", fold_of(key, label, k, seed)).select("fold", "label", "bow").persist()
+    """k models; model i has not seen fold i. Every stage of `pipeline`, IDF included, is refitted."""
+    labelled = rows.where(F.col(label).isNotNull())
+    labelled = labelled.withColumns({"label": F.col(label).cast("double"), "fold": fold_of(key, label, k, seed)}).persist()
     try:
         labelled.count()
         with ThreadPoolExecutor(parallelism) as pool:
@@ -70,10 +72,11 @@ def blend_all(
 
     `rows` has the token column `bow` and one nullable 0/1 column per category.
     """
-    scored = rows.select(key, "bow", *labels)
-    columns = []
+    shared, fitted_part = shared_stages(pipeline)
+    scored = shared.transform(rows.select(key, "bow", *labels)).drop("bow", "words")
+    hashed, columns = scored, []
     for label in labels:
-        models = fit_folds(rows, pipeline, key, label, k, seed)
+        models = fit_folds(hashed, fitted_part, key, label, k, seed)
         scored = with_probabilities(scored, models, f"{label}_p")
         names = [f"{label}_p{i}" for i in range(k)]
         columns.append(blended(names, fold_of(key, label, k, seed)).alias(label))
@@ -84,9 +87,11 @@ def fold_predictions(
     rows: DataFrame, pipeline: Pipeline, key: str, label: str, k: int = BLEND_FOLDS, seed: int = 1
 ) -> DataFrame:
     """(key, fold, probability): test-fold rows once, holdout rows once per model."""
-    models = fit_folds(rows, pipeline, key, label, k, seed)
+    shared, fitted_part = shared_stages(pipeline)
+    hashed = shared.transform(rows.select(key, "bow", label)).drop("bow", "words")
+    models = fit_folds(hashed, fitted_part, key, label, k, seed)
     names = [f"p{i}" for i in range(k)]
-    scored = with_probabilities(rows.select(key, "bow", label), models, "p")
+    scored = with_probabilities(hashed, models, "p")
     fold = fold_of(key, label, k, seed)
     entries = F.array(*[F.struct(F.lit(i).alias("fold"), F.col(n).alias("probability")) for i, n in enumerate(names)])
     used = F.filter(entries, lambda e: F.col("own").isNull() | (e["fold"] == F.col("own")))
@@ -120,17 +125,21 @@ def dimension_models(
     rows: DataFrame, pipeline: Pipeline, key: str, labels: Sequence[str], parallelism: int = 2
 ) -> DataFrame:
     """(key, p_<label> per dimension): one model per label column, fitted side by side."""
-    kept = rows.select(key, "bow", *labels).persist()
-    try:
-        def fit(label: str) -> PipelineModel:
-            train = kept.where(F.col(label).isNotNull())
-            return pipeline.fit(train.select("bow", F.col(label).cast("double").alias("label")))
+    shared, fitted_part = shared_stages(pipeline)
+    scored = shared.transform(rows.select(key, "bow", *labels)).drop("bow", "words")
+    any_label = reduce(or_, [F.col(label).isNotNull() for label in labels])
+    train = scored.where(any_label).persist()
+
+    def fit(label: str) -> PipelineModel:
+        rows_of = train.where(F.col(label).isNotNull())
+        return fitted_part.fit(rows_of.withColumn("label", F.col(label).cast("double")))
 
+    try:
+        train.count()
         with ThreadPoolExecutor(parallelism) as pool:
             models = list(pool.map(fit, labels))
     finally:
-        kept.unpersist()
-    scored = rows.select(key, "bow", *labels)
+        train.unpersist()
     for label, model in zip(labels, models):
         scored = with_probabilities(scored, [model], f"p_{label}_")
     return scored.select(key, *[F.col(f"p_{label}_0").alias(f"p_{label}") for label in labels])

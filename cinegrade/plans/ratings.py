@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -97,6 +97,16 @@ def rating_pipeline(
     return Pipeline(stages=[*stages, classifier(model_type, **params)])
 
 
+def shared_stages(pipeline: Pipeline) -> tuple[PipelineModel, Pipeline]:
+    """The leading stages that need no fitting, and the rest.
+
+    When several models are fitted on the same rows, the first part is applied once.
+    """
+    stages = pipeline.getStages()
+    first = next(i for i, stage in enumerate(stages) if isinstance(stage, Estimator))
+    return PipelineModel(stages[:first]), Pipeline(stages=stages[first:])
+
+
 def index_labels(rows: DataFrame, label: str = "rating") -> tuple[DataFrame, list[str]]:
     """Rows with a numeric `label` in alphabetic order of the rating, and the ratings."""
     model = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
