@@ -73,7 +73,7 @@ def hashing_tf(spark, d):
 
 def _labelled(spark, d):
     labels = extract_labels(T.labels(spark, d)).withColumn("doc_id", F.col("file_id").cast("long"))
-    return T.tokenised(spark, d).join(labels, "doc_id")
+    return T.labelled_tokens(spark, d, labels)
 
 
 def naive_bayes_params(spark, d):

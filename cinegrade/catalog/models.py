@@ -6,6 +6,7 @@ functions default to the full sizes.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
@@ -14,6 +15,7 @@ from cinegrade.functions.text import clean_tokens, remove_stop_words
 from cinegrade.operators.splits import key_hash
 from cinegrade.plans import blend, docvectors, guide, ratings, search
 from cinegrade.session import scratch_path
+from cinegrade.sources import writers
 from cinegrade.streaming.score import arriving, score_stream
 
 FEATURES = 1000
@@ -21,9 +23,9 @@ FEATURES = 1000
 
 def _rows(spark, d):
     """Labelled documents: doc_id, file_id, bow, rating, label (0 NOT_R, 1 R)."""
-    docs = T.tokenised(spark, d).withColumnRenamed("tokens", "bow")
     labels = ratings.extract_labels(T.labels(spark, d)).withColumn("doc_id", F.col("file_id").cast("long"))
-    return docs.join(labels, "doc_id").withColumn("label", (F.col("rating") == "R").cast("double"))
+    rows = T.labelled_tokens(spark, d, labels).withColumnRenamed("tokens", "bow")
+    return rows.withColumn("label", (F.col("rating") == "R").cast("double"))
 
 
 def _all_rows(spark, d):
@@ -108,9 +110,9 @@ def dimension_models(spark, d):
 
 def final_gbt(spark, d):
     """Boosted trees on the blended features, against the binary rating of labelled rows."""
-    features = blend_all(spark, d).join(
-        T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("rated_r")), "doc_id", "left"
-    )
+    blended = writers.save(blend_all(spark, d), scratch_path(spark, "blended"))
+    rated = T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("rated_r"))
+    features = blended.join(rated, "doc_id", "left")
     model, score = blend.final_model(features, ["quality", "toxic"], "doc_id", "rated_r", max_iter=3)
     scored = model.transform(features).select("doc_id", "prediction", ratings.probability(1).alias("probability"))
     return scored.withColumn("cv_accuracy", F.lit(score))
@@ -122,14 +124,16 @@ def _comment_vectors(spark, d):
 
 
 def doc_vectors(spark, d):
-    return _comment_vectors(spark, d).select("sentence_tag", "category", F.col("doc_vector"))
+    vector = vector_to_array("doc_vector")
+    return _comment_vectors(spark, d).select("sentence_tag", "category", F.array_join(vector.cast("array<string>"), " ").alias("doc_vector"))
 
 
 def comment_sentiment(spark, d):
     """Comments labelled by page for a half of the pages; the rest is predicted."""
-    vectors = _comment_vectors(spark, d).select("imdb_id", "category", "doc_vector", "n_words")
+    vectors = _comment_vectors(spark, d).select("imdb_id", "category", "doc_vector")
     positive = (F.col("n_words") > 20).cast("int").alias("label")
-    labels = vectors.where(key_hash(F.col("imdb_id"), 7) % 2 == 0).select("imdb_id", "category", positive)
+    half = _comments(spark, d).where(key_hash(F.col("imdb_id"), 7) % 2 == 0)
+    labels = half.select("imdb_id", "category", positive)
     return docvectors.comment_sentiment(vectors, labels, ["imdb_id", "category"], max_iter=10)
 
 

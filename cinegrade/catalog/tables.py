@@ -34,6 +34,12 @@ def tokenised(spark: SparkSession, sf_dir: str, stop_words: bool = True) -> Data
     return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
 
 
+def labelled_tokens(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
+    """Labelled documents with their tokens; the join comes first, so only they are tokenised."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return rows.withColumn("tokens", remove_stop_words(clean_tokens(F.col("text")))).drop("text")
+
+
 def raw_rating() -> Column:
     """Rating of a label row: toxic decides R and NC-17, quality PG and the out-of-use GP."""
     return (

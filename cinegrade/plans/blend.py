@@ -35,7 +35,7 @@ def fold_of(key: str, label: str, k: int, seed: int) -> Column:
 
 
 def fit_folds(
-    rows: DataFrame, pipeline: Pipeline, key: str, label: str, k: int = BLEND_FOLDS, seed: int = 1, parallelism: int = 2
+    rows: DataFrame, pipeline: Pipeline, key: str, label: str, k: int = BLEND_FOLDS, seed: int = 1, parallelism: int = 5
 ) -> list[PipelineModel]:
     """k models; model i has not seen fold i. Every stage of `pipeline`, IDF included, is refitted."""
     labelled = rows.where(F.col(label).isNotNull())
@@ -122,7 +122,7 @@ def oof_target_mean(
 
 
 def dimension_models(
-    rows: DataFrame, pipeline: Pipeline, key: str, labels: Sequence[str], parallelism: int = 2
+    rows: DataFrame, pipeline: Pipeline, key: str, labels: Sequence[str], parallelism: int = 5
 ) -> DataFrame:
     """(key, p_<label> per dimension): one model per label column, fitted side by side."""
     shared, fitted_part = shared_stages(pipeline)

@@ -29,6 +29,7 @@ from cinegrade.functions.text import bag_of_words, remove_stop_words
 from cinegrade.operators.joins import join_labels
 from cinegrade.operators.scores import accuracy
 from cinegrade.operators.splits import train_test_split
+from cinegrade.sources.readers import subtitle_rows
 
 
 def extract_labels(labels: DataFrame, binary: bool = True) -> DataFrame:
@@ -43,13 +44,13 @@ def stemmed_bags(subtitles: DataFrame) -> DataFrame:
     return subtitles.where(~F.col("corrupted")).withColumn("bow", stem_tokens(words))
 
 
-def training_rows(subtitles: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled bags (path, file_id, rating, bow).
+def training_rows(files: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled bags (path, file_id, rating, bow) from raw files (path, xml).
 
-    Labels join on the id inside the path before any text is parsed into words.
+    Labels join on the id inside the path first, so only labelled files are parsed.
     """
-    rows = join_labels(subtitles.where(~F.col("corrupted")), extract_labels(labels))
-    return stemmed_bags(rows).select("path", "file_id", "rating", "bow")
+    labelled = join_labels(files, extract_labels(labels))
+    return stemmed_bags(subtitle_rows(labelled, keep=["rating"])).select("path", "file_id", "rating", "bow")
 
 
 def feature_stages(

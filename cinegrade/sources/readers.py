@@ -44,16 +44,19 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return prediction_rows(spark.read.text(path))
 
 
-def subtitle_rows(raw: DataFrame, xml_col: str = "xml", path_col: str = "path") -> DataFrame:
+def subtitle_rows(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Parsed subtitles: path, file_id, corrupted flag, reject text, sentences, metadata.
 
+    `raw` holds path and xml; columns named in `keep` stay on the row.
+
     The parse sits in a one-row explode. Filters and projections above would otherwise be
     merged into it and parse each document several times.
     """
     doc = F.col("doc")
-    parsed = F.explode(F.array(X.parse_subtitle(F.col(xml_col)))).alias("doc")
-    return raw.select(F.col(path_col).alias("path"), parsed).select(
+    parsed = F.explode(F.array(X.parse_subtitle(F.col("xml")))).alias("doc")
+    return raw.select("path", *keep, parsed).select(
         "path",
+        *keep,
         file_id(F.col("path")).alias("file_id"),
         X.is_corrupted(doc).alias("corrupted"),
         doc["_bad"].alias("reject"),
@@ -62,21 +65,20 @@ def subtitle_rows(raw: DataFrame, xml_col: str = "xml", path_col: str = "path")
     )
 
 
-def read_subtitles(spark: SparkSession, path: str, file_ids: Sequence[str] | None = None) -> DataFrame:
-    """All subtitle files below `path`, one row per file, malformed ones flagged.
+def read_files(spark: SparkSession, path: str, file_ids: Sequence[str] | None = None) -> DataFrame:
+    """(path, xml) of all files below `path`, one row per file.
 
     A file is one record, read whole; gzip files are opened by their suffix. `file_ids`
     narrows the read to single files, for a trial run.
     """
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
-    )
-    if file_ids is not None:
-        files = files.where(file_id(F.col("path")).isin(list(file_ids)))
-    return subtitle_rows(files)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    files = whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml"))
+    return files if file_ids is None else files.where(file_id(F.col("path")).isin(list(file_ids)))
+
+
+def read_subtitles(spark: SparkSession, path: str, file_ids: Sequence[str] | None = None) -> DataFrame:
+    """All subtitle files below `path`, parsed; malformed ones are flagged."""
+    return subtitle_rows(read_files(spark, path, file_ids))
 
 
 def read_subtitle_records(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +101,11 @@ def read_subtitle_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Path and size of every file below `path`, empty files included; contents stay unread."""
+    """Path, size and id of every file below `path`; contents stay unread.
+
+    Spark's file sources pass over files of zero bytes, this one too. Compare the ids with
+    those of the labels to find them.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
