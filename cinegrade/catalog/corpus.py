@@ -10,8 +10,8 @@ from cinegrade.fixed_values import RARE_RATINGS
 from cinegrade.functions import text as X
 from cinegrade.functions import xml
 from cinegrade.functions.labels import binary_rating, current_rating, is_valid_rating
-from cinegrade.functions.stem import stem_word
 from cinegrade.operators import joins, scores
+from cinegrade.operators.terms import stem_vocabulary as stem_vocabulary_of
 from cinegrade.session import scratch_path
 from cinegrade.sources import readers, writers
 
@@ -132,9 +132,7 @@ def remove_stopwords(spark, d):
 
 
 def stem_vocabulary(spark, d):
-    words = T.tokenised(spark, d).select(F.explode("tokens").alias("term"))
-    vocab = words.groupBy("term").agg(F.count("*").alias("n"))
-    return vocab.select("term", stem_word("term").alias("stem"), "n")
+    return stem_vocabulary_of(T.tokenised(spark, d), "tokens")
 
 
 def normalise_title(spark, d):

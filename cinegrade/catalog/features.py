@@ -34,15 +34,12 @@ def tfidf_terms(spark, d):
 
 
 def feature_moments(spark, d):
-    docs = T.tokenised(spark, d)
-    counts = terms.term_counts(docs, "doc_id")
-    m = terms.moments(counts, docs.count(), value="n")
+    m = terms.term_moments(T.tokenised(spark, d), "doc_id")
     return m.select("term", F.round("mean", 9).alias("mean"), F.round("std", 6).alias("std"))
 
 
 def standardise(spark, d):
-    docs = T.tokenised(spark, d)
-    z = terms.standardise(terms.tfidf(docs, "doc_id", min_doc_freq=2), docs.count(), "doc_id", "tfidf")
+    z = terms.standardise(T.tokenised(spark, d), "doc_id", min_doc_freq=2)
     return z.select("doc_id", "term", F.round("z", 4).alias("z"), F.round("z_absent", 4).alias("z_absent"))
 
 

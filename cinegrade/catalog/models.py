@@ -120,7 +120,7 @@ def final_gbt(spark, d):
 
 def _comment_vectors(spark, d):
     corpus = guide.training_corpus(_comments(spark, d))
-    return docvectors.skip_gram_vectors(corpus, size=16, epochs=1)
+    return docvectors.skip_gram_vectors(corpus, size=16, epochs=1, partitions=4)
 
 
 def doc_vectors(spark, d):
@@ -149,7 +149,7 @@ def stream_score(spark, d):
     query = score_stream(
         arriving(spark, d, schema, "documents.parquet"), _prepared, model,
         ["doc_id", "prediction", ratings.probability(1).alias("probability")],
-        out, scratch_path(spark, "scored-checkpoint"),
+        out, scratch_path(spark, "scored-checkpoint"), tasks=spark.sparkContext.defaultParallelism,
     )
     query.awaitTermination()
     return spark.read.schema("doc_id BIGINT, prediction DOUBLE, probability DOUBLE").parquet(out)

@@ -15,7 +15,7 @@ from cinegrade.sources.readers import subtitle_rows
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "pages", "conversations") else df
+    return spread(df) if name in ("documents", "pages", "conversations", "embeddings") else df
 
 
 def document_path() -> Column:

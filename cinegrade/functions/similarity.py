@@ -41,22 +41,19 @@ _RARE_TO_COMMON = "zqxjkvbpygfwmucldrhsnioate "
 
 
 def character_tokens(title: Column) -> Column:
-    """One token per character, numbered among its equals, rarest first.
+    """One number per character, counting it among its equals; rare ones first.
 
     The common tokens of two titles count the characters they share. Repeats of a
-    character sort before first occurrences, unusual letters before usual ones.
+    character sort before first occurrences, unusual letters before usual ones. A token
+    packs the repeat, the rarity of the letter and its code point.
     """
     chars = F.array_sort(F.filter(F.split(title, ""), lambda c: c != ""))
 
     def numbered(sorted_chars: Column) -> Column:
         def token(c: Column, i: Column) -> Column:
-            nth = (i - F.array_position(sorted_chars, c) + 1).cast("int")
+            nth = i - F.array_position(sorted_chars, c) + 1
             place = F.position(c, F.lit(_RARE_TO_COMMON))
-            return F.concat(
-                F.lpad((100_000 - nth).cast("string"), 6, "0"),
-                F.lpad(place.cast("string"), 2, "0"),
-                c,
-            )
+            return ((1_000_000 - nth) * 32 + place) * 2**21 + F.ascii(c)
 
         return F.array_sort(F.transform(sorted_chars, token))
 

@@ -51,14 +51,15 @@ def _short_end(word: str) -> bool:
 
 
 def _replace_longest(word: str, table: dict[str, str], least: int) -> str:
-    hits = [s for s in table if word.endswith(s)]
-    if not hits:
-        return word
-    suffix = max(hits, key=len)
-    stem = word[: len(word) - len(suffix)]
-    if suffix == "ion" and stem[-1:] not in ("s", "t"):
-        return word
-    return stem + table[suffix] if _measure(stem) > least else word
+    """Replace the longest suffix in the table if what precedes it is long enough."""
+    for n in range(min(7, len(word)), 1, -1):
+        suffix = word[-n:]
+        if suffix in table:
+            stem = word[:-n]
+            if suffix == "ion" and stem[-1:] not in ("s", "t"):
+                return word
+            return stem + table[suffix] if _measure(stem) > least else word
+    return word
 
 
 def _plurals(word: str) -> str:

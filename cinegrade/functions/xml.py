@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from cinegrade.fixed_values import CONVERSION_FIELDS
 
-# `txt` holds element text; `_bad` the text of a document that is not well-formed.
+# Only what is used is named: `txt` holds element text, `_bad` the text of a
+# document that is not well-formed.
 SUBTITLE_SCHEMA = """
     meta STRUCT<source: MAP<STRING, STRING>, conversion: MAP<STRING, STRING>>,
     s ARRAY<STRUCT<
         _id: STRING,
-        time: ARRAY<STRUCT<_id: STRING, _value: STRING>>,
-        w: ARRAY<STRUCT<_id: STRING, txt: STRING>>>>,
+        time: ARRAY<STRUCT<_value: STRING>>,
+        w: ARRAY<STRUCT<txt: STRING>>>>,
     _bad STRING
 """
 XML_OPTIONS = {

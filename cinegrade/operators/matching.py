@@ -49,39 +49,42 @@ EDIT = Similarity(
 )
 
 
-def _partner_lengths(length: Column, factor: float) -> Column:
-    low = F.greatest(F.ceil(length / factor - _SLACK), F.lit(1))
-    return F.sequence(low.cast("int"), F.floor(length * factor + _SLACK).cast("int"))
+def _head_size(own: str, sim: Similarity, cutoff: float) -> Column:
+    """Number of leading tokens among which a partner must share one."""
+    needed = F.greatest(sim.needed(F.col("la"), F.col("lb"), cutoff), F.lit(1))
+    return F.greatest((F.col(own) - needed + 1).cast("int"), F.lit(0))
 
 
-def _signatures(titles: DataFrame, block: str, sim: Similarity, cutoff: float, side: str) -> DataFrame:
-    """One row per partner length and prefix token of each title."""
-    own, other = (("la", "lb"), ("lb", "la"))[side == "b"]
-    t = titles.select(
-        block,
-        F.col("text").alias(f"text_{side}"),
-        character_tokens(F.col("text")).alias(f"toks_{side}"),
-    )
-    t = t.withColumn(own, F.size(f"toks_{side}")).where(F.col(own) > 0)
-    t = t.withColumn(other, F.explode(_partner_lengths(F.col(own), sim.length_factor(cutoff))))
-    needed = F.greatest(sim.needed(F.col("la"), F.col("lb"), cutoff), F.lit(1))
-    size = F.greatest((F.col(own) - needed + 1).cast("int"), F.lit(0))
-    t = t.withColumn(f"head_{side}", F.slice(f"toks_{side}", F.lit(1), size))
-    return t.withColumn("token", F.explode(f"head_{side}"))
+def _tokenised(titles: DataFrame, block: str, side: str) -> DataFrame:
+    tokens = character_tokens(F.col("text"))
+    t = titles.select(block, F.col("text").alias(f"text_{side}"), tokens.alias(f"toks_{side}"))
+    return t.withColumn(f"l{side}", F.size(f"toks_{side}"))
+
+
+def _signatures(titles: DataFrame, partners: DataFrame, block: str, sim: Similarity, cutoff: float, side: str) -> DataFrame:
+    """One row per leading token of each title and length that partners of its block have."""
+    own, other = f"l{side}", "lb" if side == "a" else "la"
+    factor = sim.length_factor(cutoff)
+    longest = F.greatest(own, other) <= F.least(own, other) * factor + _SLACK
+    t = titles.join(partners.select(block, other).distinct(), block).where(longest)
+    head = F.slice(f"toks_{side}", F.lit(1), _head_size(own, sim, cutoff))
+    return t.withColumn("token", F.explode(head))
 
 
 def _best_scored(
     targets: DataFrame, candidates: DataFrame, block: str, sim: Similarity, cutoff: float
 ) -> DataFrame:
     """Best candidate per (block, text) with similarity >= cutoff."""
-    a = _signatures(targets, block, sim, cutoff, "a")
-    b = _signatures(candidates, block, sim, cutoff, "b")
-    shared = F.size(F.array_intersect("toks_a", "toks_b"))
+    t, c = _tokenised(targets, block, "a"), _tokenised(candidates, block, "b")
+    a = _signatures(t, c, block, sim, cutoff, "a")
+    b = _signatures(c, t, block, sim, cutoff, "b")
+    shared = F.array_intersect("toks_a", "toks_b")
     pairs = (
         a.join(b, [block, "la", "lb", "token"])
-        # a pair with several common prefix tokens survives at the first one only
-        .where(F.get(F.array_intersect("head_a", "head_b"), 0) == F.col("token"))
-        .where(shared >= sim.needed(F.col("la"), F.col("lb"), cutoff))
+        # both sides are sorted alike, so the first shared token lies in both heads if any does;
+        # a pair that meets at several tokens survives there only
+        .where(F.get(shared, 0) == F.col("token"))
+        .where(F.size(shared) >= sim.needed(F.col("la"), F.col("lb"), cutoff))
         .select(block, F.col("text_a").alias("text"), F.col("text_b").alias("candidate"))
     )
     scored = pairs.withColumn("score", sim.score(F.col("candidate"), F.col("text")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinegrade.functions.stem import stem_word
 from cinegrade.functions.text import counted_terms
 
 
@@ -19,6 +20,17 @@ def doc_freq(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def stem_vocabulary(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(term, stem, n) of every distinct token.
+
+    The vocabulary is small next to the corpus, so adaptive execution would merge it into
+    few partitions; it is spread again because stemming is bound by the processor.
+    """
+    terms = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    spread = terms.repartition(docs.sparkSession.sparkContext.defaultParallelism, "term")
+    return spread.select("term", stem_word("term").alias("stem"), "n")
+
+
 def idf(n_docs: int, df: Column, min_doc_freq: int) -> Column:
     """ln((N + 1) / (df + 1)), or 0 for a term in fewer than min_doc_freq documents."""
     weight = F.log((F.lit(float(n_docs)) + 1) / (df + 1))
@@ -60,34 +72,39 @@ def tfidf_unit(
         .join(vocab, "term")
         .select(key, "term", (F.col("n") * smooth).alias("weight"))
     )
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return weighed.join(norms, key).select(key, "term", (F.col("weight") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy(key)))
+    return weighed.select(key, "term", (F.col("weight") / norm).alias("weight"))
 
 
-def moments(weights: DataFrame, n_docs: int, term: str = "term", value: str = "value") -> DataFrame:
-    """Mean and sample deviation of each term over all documents, absent ones counting as 0.
+def term_moments(docs: DataFrame, key: str, tokens: str = "tokens", n_docs: int | None = None) -> DataFrame:
+    """(term, df, mean, std) of each term's count over all documents, absent ones as 0.
 
-    Built from sums, so that zeros are never materialised.
+    Built from sums, so that zeros are never materialised. The deviation is the sample's.
     """
-    v = F.col(value).cast("double")
-    sums = weights.groupBy(term).agg(F.sum(v).alias("s1"), F.sum(v * v).alias("s2"))
-    n = float(n_docs)
+    n = float(docs.count() if n_docs is None else n_docs)
+    count = F.col("n").cast("double")
+    sums = term_counts(docs, key, tokens).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum(count).alias("s1"), F.sum(count * count).alias("s2")
+    )
     variance = (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)
     return sums.select(
-        term,
-        (F.col("s1") / n).alias("mean"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
+        "term", "df", (F.col("s1") / n).alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std")
     )
 
 
-def standardise(weights: DataFrame, n_docs: int, key: str, value: str = "value") -> DataFrame:
-    """(key, term, z) for present terms plus the z that every absent document shares.
+def standardise(docs: DataFrame, key: str, tokens: str = "tokens", min_doc_freq: int = 2) -> DataFrame:
+    """(key, term, z, z_absent) of TF-IDF weights scaled to zero mean and unit deviation.
 
-    Zero deviation gives 0. Keeping the shared value apart keeps the data sparse.
+    z_absent is the value of every document without the term. Keeping it apart keeps the
+    data sparse. A term's weight is its count times a constant, so mean and deviation
+    follow from those of the counts: one table per term, and one join.
     """
-    z = lambda x: F.when(F.col("std") > 0, (x - F.col("mean")) / F.col("std")).otherwise(0.0)
-    return weights.join(moments(weights, n_docs, value=value), "term").select(
-        key, "term", z(F.col(value)).alias("z"), z(F.lit(0.0)).alias("z_absent")
+    n_docs = docs.count()
+    stats = term_moments(docs, key, tokens, n_docs).withColumn("idf", idf(n_docs, F.col("df"), min_doc_freq))
+    spread = F.col("std") * F.col("idf")
+    z = lambda x: F.when(spread > 0, (x - F.col("mean") * F.col("idf")) / spread).otherwise(0.0)
+    return term_counts(docs, key, tokens).join(stats, "term").select(
+        key, "term", z(F.col("n") * F.col("idf")).alias("z"), z(F.lit(0.0)).alias("z_absent")
     )
 
 

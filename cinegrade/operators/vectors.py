@@ -126,7 +126,6 @@ def connected_groups(keys: DataFrame, edges: DataFrame, key: str, max_rounds: in
             .where("u <> v")
             .distinct()
         )
-        large = cut_lineage(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.functions.text import counted_terms
 from cinegrade.operators.terms import term_counts
+from cinegrade.session import cut_lineage
 
 
 def priors(docs: DataFrame, classes: Sequence[str], label: str, smoothing: float = 1.0) -> dict[str, float]:
@@ -27,8 +28,11 @@ def priors(docs: DataFrame, classes: Sequence[str], label: str, smoothing: float
 def term_parameters(
     docs: DataFrame, classes: Sequence[str], label: str, tokens: str, smoothing: float = 1.0
 ) -> DataFrame:
-    """(term, one log likelihood column per class)."""
-    per_term = (
+    """(term, one log likelihood column per class).
+
+    The counts per term are written once: their totals are needed before the logarithms.
+    """
+    per_term = cut_lineage(
         docs.select(label, F.inline(counted_terms(F.col(tokens))))
         .groupBy("term")
         .agg(*[F.sum(F.when(F.col(label) == c, F.col("n")).otherwise(0)).alias(c) for c in classes])

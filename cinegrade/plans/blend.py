@@ -18,15 +18,14 @@ from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinegrade.fixed_values import BLEND_FOLDS
-from cinegrade.operators.splits import key_hash, with_fold
+from cinegrade.operators.splits import key_hash
 from cinegrade.plans.ratings import probability, shared_stages
+from cinegrade.plans.search import cv_scores, mean_scores
 
 
 def fold_of(key: str, label: str, k: int, seed: int) -> Column:
@@ -150,16 +149,10 @@ def final_model(
 ):
     """Boosted trees on blended features: (fitted model, mean accuracy over k folds)."""
     gbt = GBTClassifier(seed=seed, maxIter=max_iter)
-    stages = [VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep"), gbt]
-    train = features.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    train = with_fold(train, key, k, seed).persist()
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep"), gbt])
+    train = features.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double")).persist()
     try:
-        cv = CrossValidator(
-            estimator=Pipeline(stages=stages), estimatorParamMaps=ParamGridBuilder().build(),
-            evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-            numFolds=k, foldCol="fold", parallelism=2,
-        )
-        fitted = cv.fit(train)
+        scores = cv_scores(train, {"gbt": pipeline}, key, k, seed)
+        return pipeline.fit(train), mean_scores(scores).first()["mean_accuracy"]
     finally:
         train.unpersist()
-    return fitted.bestModel, float(fitted.avgMetrics[0])

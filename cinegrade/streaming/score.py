@@ -26,12 +26,15 @@ def score_stream(
     output: str,
     checkpoint: str,
     once: bool = True,
+    tasks: int | None = None,
 ) -> StreamingQuery:
     """Prepare, score and append the stream to parquet at `output`.
 
     `prepare` uses row-wise expressions only, so the job keeps no state. The checkpoint
-    makes each input file count exactly once across restarts.
+    makes each input file count exactly once across restarts. `tasks` spreads micro-batches
+    of few files over that many tasks.
     """
+    stream = stream if tasks is None else stream.repartition(tasks)
     scored = model.transform(prepare(stream)).select(*columns)
     writer = scored.writeStream.format("parquet").outputMode("append")
     writer = writer.option("path", output).option("checkpointLocation", checkpoint)

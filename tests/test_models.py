@@ -150,8 +150,9 @@ def test_index_labels_is_alphabetic(docs):
 
 def test_search(docs):
     rows = docs.withColumn("label", (F.col("rating") == "R").cast("double"))
-    got = search.cv_scores(rows, {"nb": light("naive_bayes")}, "id", k=3).collect()
-    assert got[0]["model"] == "nb" and got[0]["mean_accuracy"] > 0.9
+    got = search.cv_scores(rows, {"nb": light("naive_bayes")}, "id", k=3)
+    assert [(r["model"], r["fold"]) for r in got.orderBy("fold").collect()] == [("nb", 0), ("nb", 1), ("nb", 2)]
+    assert search.mean_scores(got).first()["mean_accuracy"] > 0.9
     layers = search.layer_search(rows, "id", [[32, 4, 2], [32, 2]], 32, 0, max_iter=3, fraction=0.9).collect()
     assert [r["layers"] for r in layers] == ["32-4-2", "32-2"] and all(0 <= r["accuracy"] <= 1 for r in layers)
 
