@@ -37,15 +37,25 @@ def test_close_pairs(spark, limit):
     assert len(got) == len({(r["a"], r["b"]) for r in got})
 
 
-def test_groups(spark):
+def test_links_of_a_dense_cluster_are_few(spark):
+    """A third of 240 vectors is close to one direction and another third equal: no quadratic output."""
+    x = clustered(240)
+    x[80:160] = x[100]
+    links = V.close_links(frame(spark, x), "id", "vec", 0.3, n_pivots=8).count()
+    assert len(brute_pairs(x, 0.3)) > 5000 and links < 1500
+
+
+@pytest.mark.parametrize("limit", [0.02, 0.09, 0.3, 0.6])
+def test_groups(spark, limit):
     x = clustered()
-    groups = {r["id"]: r["group"] for r in V.vector_groups(frame(spark, x), "id", "vec", 0.09).collect()}
+    x[50:60] = x[50]
+    groups = {r["id"]: r["group"] for r in V.vector_groups(frame(spark, x), "id", "vec", limit).collect()}
     parent = list(range(len(x)))
 
     def root(i):
         return i if parent[i] == i else root(parent[i])
 
-    for a, b in brute_pairs(x, 0.09):
+    for a, b in brute_pairs(x, limit):
         ra, rb = sorted((root(a), root(b)))
         parent[rb] = ra
     assert groups == {i: root(i) for i in range(len(x))}
