@@ -13,7 +13,7 @@ from cinegrade.catalog import tables as T
 from cinegrade.catalog.guide import _comments
 from cinegrade.functions.text import clean_tokens, remove_stop_words
 from cinegrade.operators.splits import key_hash
-from cinegrade.plans import blend, docvectors, guide, ratings, search
+from cinegrade.plans import blend, docvectors, guide, paragraphs, ratings, search
 from cinegrade.session import scratch_path
 from cinegrade.sources import writers
 from cinegrade.streaming.score import arriving, score_stream
@@ -128,6 +128,13 @@ def doc_vectors(spark, d):
     return _comment_vectors(spark, d).select("sentence_tag", "category", F.array_join(vector.cast("array<string>"), " ").alias("doc_vector"))
 
 
+def paragraph_vectors(spark, d):
+    """Paragraph vectors of all comments of one corpus, as text."""
+    corpus = guide.training_corpus(_comments(spark, d))
+    vectors = paragraphs.paragraph_vectors(corpus, size=16, epochs=2)
+    return vectors.select("sentence_tag", F.array_join(F.col("doc_vector").cast("array<string>"), " ").alias("doc_vector"))
+
+
 def comment_sentiment(spark, d):
     """Comments labelled by page for a half of the pages; the rest is predicted."""
     vectors = _comment_vectors(spark, d).select("imdb_id", "category", "doc_vector")
@@ -160,7 +167,7 @@ QUERIES = {
     for f in (
         rating_fit, logreg_predict, gbt_predict, rf_predict, mlp_predict, holdout_accuracy, cv_scores,
         layer_search, fold_predictions, blend_features, blend_all, oof_target_mean, dimension_models,
-        final_gbt, doc_vectors, comment_sentiment, stream_score,
+        final_gbt, doc_vectors, paragraph_vectors, comment_sentiment, stream_score,
     )
 }
 

@@ -1,0 +1,136 @@
+"""Paragraph vectors (distributed bag of words) trained in rounds on Spark.
+
+Q. Le and T. Mikolov, "Distributed Representations of Sentences and Documents" (2014),
+with negative sampling. A document's vector learns to tell its own words from words drawn
+at random. The vectors of documents stay on their rows and never leave them. The output
+vectors of words are the only shared state: each task starts a round from the same copy,
+and the tasks' copies are averaged per word between rounds. Their number is bounded by
+hashing words into `max_words` buckets once there are more.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cinegrade.session import cut_lineage
+
+_STATE = "tag STRING, ids ARRAY<INT>, vec ARRAY<FLOAT>, word INT"
+
+
+def _encoded(corpus: DataFrame, tag: str, tokens: str, min_count: int, max_words: int) -> tuple[DataFrame, np.ndarray]:
+    """(tag, ids) with words as dense numbers, and the count per number."""
+    counts = corpus.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counts = cut_lineage(counts.where(F.col("n") >= min_count))
+    n_words = counts.count()
+    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(max_words)).cast("int")
+    if n_words > max_words:
+        words = corpus.select(tag, F.posexplode(tokens).alias("pos", "w")).join(counts, "w", "left_semi")
+        ids = words.select(tag, "pos", hashed("w").alias("id"))
+        sizes = counts.groupBy(hashed("w").alias("id")).agg(F.sum("n").alias("n"))
+    else:
+        # at most max_words rows, so ranking and broadcasting them is bounded
+        ranked = counts.agg(F.array_sort(F.collect_list("w")).alias("ws")).select(F.posexplode("ws").alias("id", "w"))
+        ids = corpus.select(tag, F.posexplode(tokens).alias("pos", "w")).join(F.broadcast(ranked), "w").select(tag, "pos", "id")
+        sizes = counts.join(ranked, "w").select("id", "n")
+    table = np.zeros(min(n_words, max_words))
+    for row in sizes.collect():
+        table[row["id"]] = row["n"]
+    if n_words > max_words and min_count <= 1:
+        # every word counts and its number is a hash: no shuffle
+        return corpus.select(F.col(tag).cast("string").alias("tag"), F.transform(tokens, hashed).alias("ids")), table
+    bags = ids.groupBy(tag).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
+    # a document whose words are all rare keeps its row with no words
+    bags = corpus.select(tag).join(bags.select(tag, F.col("p.id").alias("ids")), tag, "left")
+    empty = F.array().cast("array<int>")
+    return bags.select(F.col(tag).cast("string").alias("tag"), F.coalesce("ids", empty).alias("ids")), table
+
+
+def _train_document(vec, ids, out, alpha, negative, keep, noise, rng) -> None:
+    """One pass over a document's words; updates vec and the rows of out in place.
+
+    Word by word: sharing an update among words diverges on repetitive documents.
+    """
+    ids = ids[rng.random(len(ids)) < keep[ids]]
+    drawn = np.searchsorted(noise, rng.random((len(ids), negative)))
+    truth = np.zeros(negative + 1, dtype=np.float32)
+    truth[0] = 1.0
+    for words in np.column_stack([ids, drawn]):
+        rows = out[words]
+        gain = alpha * (truth - 1.0 / (1.0 + np.exp(-np.clip(rows @ vec, -30, 30))))
+        gain[1:][words[1:] == words[0]] = 0.0  # a draw of the word itself does not count
+        np.add.at(out, words, gain[:, None] * vec)
+        vec += gain @ rows
+
+
+def paragraph_vectors(
+    corpus: DataFrame,
+    tag: str = "sentence_tag",
+    tokens: str = "clean_comment",
+    size: int = 300,
+    min_count: int = 1,
+    sample: float = 1e-4,
+    negative: int = 5,
+    alpha: float = 0.025,
+    min_alpha: float = 0.002,
+    epochs: int = 20,
+    max_words: int = 50_000,
+    partitions: int | None = None,
+    seed: int = 1,
+) -> DataFrame:
+    """(tag, doc_vector ARRAY<FLOAT>) of every document.
+
+    The learning rate falls linearly from alpha towards min_alpha, constant within an
+    epoch, and the documents are visited in another order each epoch. Word order plays no
+    part in this model, so there is no window.
+    """
+    docs, counts = _encoded(corpus, tag, tokens, min_count, max_words)
+    share = counts / max(counts.sum(), 1)
+    keep = np.minimum(1.0, np.sqrt(sample / np.maximum(share, 1e-300)) + sample / np.maximum(share, 1e-300))
+    noise = np.cumsum(counts**0.75) / max((counts**0.75).sum(), 1e-300)
+    noise[-1:] = 1.0
+    n_tasks = partitions or corpus.sparkSession.sparkContext.defaultParallelism
+    start = F.transform(
+        F.sequence(F.lit(1), F.lit(size)),
+        # uniform in +-0.5 / size, from a hash of tag and place: the same on every retry
+        lambda i: ((F.pmod(F.xxhash64("tag", i, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0 - 0.5) / size).cast("float"),
+    )
+    state = docs.withColumn("vec", start).repartition(n_tasks, "tag")
+    out = np.zeros((len(counts), size), dtype=np.float32)
+    spark = corpus.sparkSession
+    for epoch in range(epochs):
+        rate = alpha - epoch * (alpha - min_alpha) / epochs
+        shared = spark.sparkContext.broadcast(out)
+
+        def train(batches: Iterator[pd.DataFrame], rate=rate, shared=shared, epoch=epoch) -> Iterator[pd.DataFrame]:
+            mine = shared.value.copy()
+            for batch in batches:
+                keys = [zlib.crc32(f"{seed}:{epoch}:{t}".encode()) for t in batch["tag"]]
+                vectors = [np.array(v, dtype=np.float32) for v in batch["vec"]]
+                for i in np.argsort(keys):
+                    ids = np.asarray(batch["ids"].iloc[i], dtype=np.int64)
+                    rng = np.random.default_rng(keys[i])
+                    _train_document(vectors[i], ids, mine, rate, negative, keep, noise, rng)
+                words = pd.array([None] * len(batch), dtype="Int32")
+                yield pd.DataFrame({"tag": batch["tag"], "ids": batch["ids"], "vec": vectors, "word": words})
+            moved = np.flatnonzero((mine != shared.value).any(axis=1)).astype("int32")
+            for at in range(0, len(moved), 1000):
+                words = moved[at : at + 1000]
+                yield pd.DataFrame({"tag": None, "ids": None, "vec": list(mine[words]), "word": words})
+
+        result = cut_lineage(state.mapInPandas(train, _STATE))
+        state = result.where("word IS NULL").select("tag", "ids", "vec")
+        moved = result.where("word IS NOT NULL").select("word", array_to_vector(F.col("vec")).alias("v"))
+        averages = moved.groupBy("word").agg(Summarizer.mean(F.col("v")).alias("v"))
+        out = out.copy()
+        for row in averages.collect():  # at most max_words rows
+            out[row["word"]] = row["v"].toArray()
+        shared.unpersist()
+    return state.select(F.col("tag").alias(tag), F.col("vec").alias("doc_vector"))

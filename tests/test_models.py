@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.operators import scores, splits, terms
 from cinegrade.plans import bayes, blend, docvectors, ratings, search
+from cinegrade.plans.paragraphs import paragraph_vectors
 from cinegrade.session import broadcast_if_small, shared_dir
 from cinegrade.sources.writers import fit_unless_saved
 from cinegrade.streaming.score import arriving, score_stream
@@ -181,6 +183,26 @@ def test_doc_vectors_and_sentiment(docs):
     assert {r["id"] for r in got} == {i for i in range(60) if i % 3 == 0}
 
 
+@pytest.mark.parametrize("max_words", [50_000, 5])
+def test_paragraph_vectors_separate_topics(docs, max_words):
+    corpus = docs.select(F.col("id").cast("string").alias("sentence_tag"), F.array_repeat("bow", 6).alias("b"))
+    corpus = corpus.select("sentence_tag", F.flatten("b").alias("clean_comment"))
+    got = paragraph_vectors(corpus, size=8, epochs=8, alpha=0.1, sample=1.0, partitions=2, max_words=max_words)
+    vec = {int(r["sentence_tag"]): np.array(r["doc_vector"]) for r in got.collect()}
+    assert sorted(vec) == list(range(60)) and all(v.shape == (8,) for v in vec.values())
+    if max_words > 5:
+        u = {i: v / np.linalg.norm(v) for i, v in vec.items()}
+        same = np.mean([u[i] @ u[j] for i in u for j in u if i < j and i % 2 == j % 2])
+        other = np.mean([u[i] @ u[j] for i in u for j in u if i % 2 != j % 2])
+        assert same > other + 0.3
+
+
+def test_paragraph_vectors_keep_empty_documents(spark):
+    corpus = spark.createDataFrame([("a", []), ("b", ["x", "y", "x"]), ("c", ["rare"])], "sentence_tag STRING, clean_comment ARRAY<STRING>")
+    got = paragraph_vectors(corpus, size=4, epochs=1, min_count=2, partitions=2).collect()
+    assert {r["sentence_tag"] for r in got} == {"a", "b", "c"} and all(len(r["doc_vector"]) == 4 for r in got)
+
+
 def test_vocabulary_bound(docs):
     bounded = docvectors.bounded_words(docs, "bow", 3)
     words = {w for r in docs.select(bounded.alias("w")).collect() for w in r["w"]}
