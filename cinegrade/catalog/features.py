@@ -13,7 +13,7 @@ from cinegrade.catalog.guide import _reasons
 from cinegrade.operators import joins, terms
 from cinegrade.operators import vectors as V
 from cinegrade.operators.splits import train_test_split
-from cinegrade.plans import bayes
+from cinegrade.plans import bayes, reasons
 from cinegrade.plans.ratings import extract_labels
 from cinegrade.sources import readers
 
@@ -52,6 +52,12 @@ def tfidf_l2(spark, d):
     return weights.select("record_id", "term", F.round("weight", 6).alias("weight"))
 
 
+def key_words(spark, d):
+    """The 50 most relevant words of the reasons."""
+    best = reasons.key_words(_reasons(spark, d), 50)
+    return best.select("term", F.round("weight", 6).alias("weight"))
+
+
 def bigram_counts(spark, d):
     docs = T.tokenised(spark, d)
     pairs = docs.select(F.explode(terms.bigrams(F.col("tokens"))).alias("bigram"))
@@ -127,7 +133,7 @@ def kmeans_6(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tfidf_terms, term_counts, doc_freq, feature_moments, standardise, bounded_vocab, tfidf_l2,
+        tfidf_terms, term_counts, doc_freq, feature_moments, standardise, bounded_vocab, tfidf_l2, key_words,
         bigram_counts, hashing_tf, naive_bayes_params, naive_bayes_predict, word_vectors,
         vocab_vectors, cosine_pairs, vector_groups, pca_2d, kmeans_6,
     )
@@ -179,6 +185,10 @@ ORACLES = {
     "tfidf_l2": f"""{_REASONS} {_REASON_TERMS},
         y AS (SELECT record_id, term, n * (ln((1 + (SELECT count(*) FROM r))::DOUBLE / (1 + df)) + 1) AS w FROM x JOIN v USING (term))
         SELECT record_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY record_id)), 6) AS weight FROM y""",
+    "key_words": f"""{_REASONS} {_REASON_TERMS},
+        y AS (SELECT record_id, term, n * (ln((1 + (SELECT count(*) FROM r))::DOUBLE / (1 + df)) + 1) AS w FROM x JOIN v USING (term)),
+        z AS (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY record_id)) AS w FROM y)
+        SELECT term, round(sum(w), 6) AS weight FROM z GROUP BY term ORDER BY sum(w) DESC, term LIMIT 50""",
     "bigram_counts": f"""
         SELECT bigram, count(*) AS n FROM (
             SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS bigram

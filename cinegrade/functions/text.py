@@ -17,7 +17,7 @@ def find_all(text: Column, pattern: str) -> Column:
 
 def clean_tokens(text: Column) -> Column:
     """Lower-cased runs of word characters and hyphens, longer than one character."""
-    return F.filter(find_all(F.lower(text), r"[\w-]+"), lambda w: F.length(w) > 1)
+    return find_all(F.lower(text), r"[\w-]{2,}")
 
 
 def bag_of_words(sentences: Column) -> Column:

@@ -25,3 +25,12 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["doc_id", "term", "n", "df", "tfidf"]
     assert not df.isEmpty()
+
+
+LIGHT = sorted(n for n in QUERIES if n in ORACLES or n in ("closest_title_ratio", "hashing_tf", "rating_fit"))
+
+
+@pytest.mark.parametrize("name", LIGHT)
+def test_no_join_without_a_key(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
