@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.functions.stem import stem_word
 from cinegrade.functions.text import counted_terms
+from cinegrade.session import broadcast_if_small, cut_lineage
 
 
 def term_counts(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
@@ -37,14 +38,19 @@ def idf(n_docs: int, df: Column, min_doc_freq: int) -> Column:
     return F.when(df >= min_doc_freq, weight).otherwise(0.0)
 
 
-def tfidf(docs: DataFrame, key: str, tokens: str = "tokens", min_doc_freq: int = 2) -> DataFrame:
-    """(key, term, n, df, tfidf).
+def lookup(per_term: DataFrame) -> DataFrame:
+    """A table of terms, written once and broadcast if its count allows.
 
-    The frequency table is joined without a hint: broadcast if it is small, otherwise a
-    shuffled join in which AQE splits the frequent terms.
+    With a broadcast the exploded corpus does not shuffle for the join. A larger
+    vocabulary shuffles, and AQE splits the frequent terms.
     """
+    return broadcast_if_small(cut_lineage(per_term))
+
+
+def tfidf(docs: DataFrame, key: str, tokens: str = "tokens", min_doc_freq: int = 2) -> DataFrame:
+    """(key, term, n, df, tfidf)."""
     n_docs = docs.count()
-    joined = term_counts(docs, key, tokens).join(doc_freq(docs, tokens), "term")
+    joined = term_counts(docs, key, tokens).join(lookup(doc_freq(docs, tokens)), "term")
     weight = F.col("n") * idf(n_docs, F.col("df"), min_doc_freq)
     return joined.select(key, "term", "n", "df", weight.alias("tfidf"))
 
@@ -65,7 +71,7 @@ def tfidf_unit(
     however many documents there are.
     """
     n_docs = docs.count()
-    vocab = bounded_vocab(docs, tokens, min_df, max_df)
+    vocab = lookup(bounded_vocab(docs, tokens, min_df, max_df))
     smooth = F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1
     weighed = (
         term_counts(docs, key, tokens)
@@ -103,7 +109,7 @@ def standardise(docs: DataFrame, key: str, tokens: str = "tokens", min_doc_freq:
     stats = term_moments(docs, key, tokens, n_docs).withColumn("idf", idf(n_docs, F.col("df"), min_doc_freq))
     spread = F.col("std") * F.col("idf")
     z = lambda x: F.when(spread > 0, (x - F.col("mean") * F.col("idf")) / spread).otherwise(0.0)
-    return term_counts(docs, key, tokens).join(stats, "term").select(
+    return term_counts(docs, key, tokens).join(lookup(stats), "term").select(
         key, "term", z(F.col("n") * F.col("idf")).alias("z"), z(F.lit(0.0)).alias("z_absent")
     )
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.functions.text import counted_terms
 from cinegrade.operators.terms import term_counts
-from cinegrade.session import cut_lineage
+from cinegrade.session import broadcast_if_small, cut_lineage
 
 
 def priors(docs: DataFrame, classes: Sequence[str], label: str, smoothing: float = 1.0) -> dict[str, float]:
@@ -48,8 +48,13 @@ def term_parameters(
 def predict(
     docs: DataFrame, params: DataFrame, prior: dict[str, float], key: str, tokens: str
 ) -> DataFrame:
-    """(key, prediction, one score column per class); unknown terms carry no weight."""
+    """(key, prediction, one score column per class); unknown terms carry no weight.
+
+    A parameter table that its count shows to be small is broadcast; each document is then
+    summed on the map side.
+    """
     classes = list(prior)
+    params = broadcast_if_small(params)
     likelihood = (
         term_counts(docs, key, tokens)
         .join(params, "term")
