@@ -1,7 +1,7 @@
 """Closest title within a block (a year), exact, without comparing all pairs of a block.
 
 Two titles can only reach a similarity if they share a minimum number of characters.
-Characters become distinct tokens in one fixed order, rare ones first (see
+Characters become distinct tokens in one order for all titles, rare ones first (see
 `character_tokens`). If two titles of lengths la and lb must share t tokens, then the
 first la - t + 1 tokens of one and the first lb - t + 1 of the other must have one in
 common. Titles therefore meet on (block, la, lb, token) only: an equi-join whose hot
@@ -55,8 +55,15 @@ def _head_size(own: str, sim: Similarity, cutoff: float) -> Column:
     return F.greatest((F.col(own) - needed + 1).cast("int"), F.lit(0))
 
 
-def _tokenised(titles: DataFrame, block: str, side: str) -> DataFrame:
-    tokens = character_tokens(F.col("text"))
+def _frequent_tokens(titles: DataFrame, n: int = 64) -> list[int]:
+    """The n most frequent character tokens, the most frequent one last."""
+    tokens = titles.select(F.explode(character_tokens(F.col("text"))).alias("t"))
+    top = tokens.groupBy("t").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "t").limit(n)
+    return [r["t"] for r in reversed(top.collect())]
+
+
+def _tokenised(titles: DataFrame, block: str, side: str, common: list[int] | None = None) -> DataFrame:
+    tokens = character_tokens(F.col("text"), common)
     t = titles.select(block, F.col("text").alias(f"text_{side}"), tokens.alias(f"toks_{side}"))
     return t.withColumn(f"l{side}", F.size(f"toks_{side}"))
 
@@ -72,10 +79,10 @@ def _signatures(titles: DataFrame, partners: DataFrame, block: str, sim: Similar
 
 
 def _best_scored(
-    targets: DataFrame, candidates: DataFrame, block: str, sim: Similarity, cutoff: float
+    targets: DataFrame, candidates: DataFrame, block: str, sim: Similarity, cutoff: float, common: list[int]
 ) -> DataFrame:
     """Best candidate per (block, text) with similarity >= cutoff."""
-    t, c = _tokenised(targets, block, "a"), _tokenised(candidates, block, "b")
+    t, c = _tokenised(targets, block, "a", common), _tokenised(candidates, block, "b", common)
     a = _signatures(t, c, block, sim, cutoff, "a")
     b = _signatures(c, t, block, sim, cutoff, "b")
     shared = F.array_intersect("toks_a", "toks_b")
@@ -113,16 +120,17 @@ def closest_titles(
     """
     pool = candidates.select(block, F.col(candidate).alias("text")).where(F.col("text") != "")
     pool = cut_lineage(pool.distinct())
+    common = _frequent_tokens(pool)
     todo = targets.select(block, F.col(title).alias("text")).where(F.col("text") != "").distinct()
     todo = cut_lineage(todo.join(pool.withColumn("equal", F.lit(True)), [block, "text"], "left"))
     same = F.struct(F.lit(1.0).alias("score"), F.col("text").alias("candidate")).alias("best")
     found = [todo.where("equal").select(block, "text", same)]
     todo = todo.where("equal IS NULL").select(block, "text")
     if strict_cutoff is not None and strict_cutoff > cutoff:
-        close = cut_lineage(_best_scored(todo, pool, block, sim, strict_cutoff))
+        close = cut_lineage(_best_scored(todo, pool, block, sim, strict_cutoff, common))
         found.append(close)
         todo = todo.join(close, [block, "text"], "left_anti")
-    found.append(_best_scored(todo, pool, block, sim, cutoff))
+    found.append(_best_scored(todo, pool, block, sim, cutoff, common))
     matched = reduce(DataFrame.unionByName, found).select(
         block,
         F.col("text").alias(title),

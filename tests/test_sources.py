@@ -114,6 +114,8 @@ def test_replace_with_batches_truncates(spark, tmp_path):
     writers.replace_with_batches([frame(1, 2)], path)
     writers.replace_with_batches([frame(), frame(3), frame(4, 5)], path)
     assert sorted(r[0] for r in spark.read.parquet(path).collect()) == [3, 4, 5]
+    writers.replace_with_batches([frame()], path)
+    assert spark.read.parquet(path).isEmpty()
 
 
 def test_find_guides(spark):
