@@ -12,9 +12,9 @@ replicating each set to the regions within the window, which are those of its fi
 (1 - t) * |x| + 1 elements, brings every linked pair together. Frequent elements come last in the
 order, so that regions are small; the order only affects speed.
 
-Small regions join their members by size, by the rank of the shared element and by a parity
-sketch (512 bits, never farther apart than the sets). What is left forms candidate groups: linked
-pairs are inside one group.
+Small regions join their members by size, by the rank of the shared element and by parity
+sketches, which are never farther apart than the sets: 512 bits for all, and a bit for each element
+or more for larger sets. What is left forms candidate groups: linked pairs are inside one group.
 
 Groups of LEAF sets or fewer are compared exactly in one task. Larger groups recurse: the pivot is the
 group's consensus set b, the elements of more than half of its sets, and each set x is replaced by
@@ -82,16 +82,38 @@ def _signature(elements: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(elements.tobytes()) - (1 << 63)
 
 
-def _sketch(elements: np.ndarray) -> np.ndarray:
-    bits = np.bincount((elements & np.uint64(64 * _SKETCH - 1)).astype(np.int64), minlength=64 * _SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def _sketch(elements: np.ndarray, bits: int = 64 * _SKETCH) -> np.ndarray:
+    """For each of `bits` buckets (a power of two) whether it holds an odd number of elements."""
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _fine_sketch(elements: np.ndarray) -> bytes | None:
+    """A sketch of as many bits as there are elements, or more; none for sets that the common one serves."""
+    return _sketch(elements, 1 << (len(elements) - 1).bit_length()).tobytes() if len(elements) > 64 * _SKETCH else None
+
+
+def _sketch_distance(a: bytes, b: bytes) -> int:
+    """Buckets in which two fine sketches differ; the longer one is folded to the length of the other."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _close_in_detail(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of the pairs whose fine sketches are near enough."""
+    for part in slices(batches, 256):
+        columns = [part.column(c).to_pylist() for c in ("sketch_u", "sketch_v", "total")]
+        keep = pa.array([(t[0] + t[1]) * _sketch_distance(a, b) <= (t[1] - t[0]) * n for a, b, n in zip(*columns)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], names=["u", "v"])
 
 
 def _signed(elements: np.ndarray) -> np.ndarray:
     return elements.view(np.int64)
 
 
-_SUMMARY = "doc_id bigint, n bigint, sig bigint, " + ", ".join(f"b{k} bigint" for k in range(_SKETCH)) + ", element bigint, times bigint"
+_SUMMARY = "doc_id bigint, n bigint, sig bigint, " + ", ".join(f"b{k} bigint" for k in range(_SKETCH)) + ", sketch binary, element bigint, times bigint"
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
@@ -104,7 +126,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[p
     def frequent() -> pa.RecordBatch:
         elements, times = np.unique(np.concatenate(held), return_counts=True)
         elements, times = elements[times >= HOT_LOCAL], times[times >= HOT_LOCAL]
-        empty = [pa.nulls(len(elements), pa.int64())] * (3 + _SKETCH)
+        empty = [*[pa.nulls(len(elements), pa.int64())] * (3 + _SKETCH), pa.nulls(len(elements), pa.binary())]
         return pa.RecordBatch.from_arrays([*empty, pa.array(_signed(elements)), pa.array(times)], names=names)
 
     for part in slices(batches):
@@ -113,7 +135,8 @@ def _summaries(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[p
         sketches = np.stack([_sketch(s) for s in sets])
         none = pa.nulls(len(sets), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), *(pa.array(c) for c in sketches.T), none, none], names=names)
+            [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.int64()), *(pa.array(c) for c in sketches.T),
+             pa.array([_fine_sketch(s) for s in sets], pa.binary()), none, none], names=names)
         for s, sig in zip(sets, sigs):
             if sig is not None and sig not in seen:
                 seen.add(sig)
@@ -310,7 +333,13 @@ def _candidate_edges(regions: DataFrame, classes: DataFrame, t: tuple[int, int])
 
     apart = " + ".join(f"bit_count(u{k} ^ v{k})" for k in range(_SKETCH))
     close = pairs.join(sketch("u"), "u").join(sketch("v"), "v").where(f"{t[0] + t[1]}L * ({apart}) <= {t[1] - t[0]}L * (nu + nv)")
-    return close.select("u", "v").unionByName(stars)
+    close = written(close.select("u", "v", (F.col("nu") + F.col("nv")).alias("total"), F.least("nu", "nv").alias("least")), "close")
+    fine = classes.where("sketch IS NOT NULL")
+    detailed = close.where(F.col("least") > 64 * _SKETCH)
+    for end in ("u", "v"):
+        detailed = detailed.join(fine.select(F.col("sig").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+    detailed = detailed.mapInArrow(lambda b: _close_in_detail(b, t), "u bigint, v bigint")
+    return close.where(F.col("least") <= 64 * _SKETCH).select("u", "v").unionByName(detailed).unionByName(stars)
 
 
 def jaccard_groups(docs: DataFrame, words_each: int = 5, at_least: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,7 +354,7 @@ def jaccard_groups(docs: DataFrame, words_each: int = 5, at_least: tuple[int, in
     own = summary.where("times IS NULL")
     hot = spark.sparkContext.broadcast(_hot_elements(summary.where("times IS NOT NULL")))
     classes = own.where("sig IS NOT NULL").groupBy("sig").agg(
-        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(f"b{k}").alias(f"b{k}") for k in range(_SKETCH)))
+        F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(f"b{k}").alias(f"b{k}") for k in range(_SKETCH)), F.max("sketch").alias("sketch"))
     missing = (t[1] - t[0], t[1])
     regions = written(rows.mapInArrow(lambda b: _regions(b, words_each, missing, hot), "element bigint, sig bigint, n int, rank int"), "regions")
     classes = written(classes, "classes")
