@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from cinegrade.llm.common import Memo, bitmap, hinted, in_bitmap, slices, utf8, written
 from cinegrade.llm.components import components
 
-LEAF, LEAF_ELEMENTS = 256, 4_000_000
+LEAF, LEAF_ELEMENTS = 1024, 4_000_000
 REGION = 128
 HOT_LOCAL, HOT, HOT_LIST = 4, 32, 1 << 20
 _CHUNK_ELEMENTS = 2_000_000
@@ -361,11 +361,11 @@ def jaccard_groups(docs: DataFrame, words_each: int = 5, at_least: tuple[int, in
     groups = components(_candidate_edges(regions, classes, t))
     groups = written(groups.join(classes.select(F.col("sig").alias("node"), "doc_id", "n"), "node"), "groups")
     n_groups = groups.count()
-    bits = 1 << min(max(int(n_groups * 16).bit_length(), 16), 27)  # 16 MB at most
+    bits = 1 << min(max(int(n_groups * 128).bit_length(), 16), 27)  # 16 MB at most
     wanted = spark.sparkContext.broadcast(bitmap(groups, "node", bits))
     found = rows.mapInArrow(lambda b: _sets(b, words_each, wanted), "doc_id bigint, sig bigint, elements array<bigint>")
     g = groups.select(F.col("root").alias("group"), F.col("node").alias("sig"), "n", F.col("doc_id").alias("of"))
-    members = found.join(g, "sig").where("doc_id <=> of").select("group", "sig", "n", "elements")
+    members = found.join(hinted(g, 64), "sig").where("doc_id <=> of").select("group", "sig", "n", "elements")
     leaves, large = _split(written(members, "members"))
     links = written(_joined_leaves(leaves, t), "links")
     while not large.isEmpty():
