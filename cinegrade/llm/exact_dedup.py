@@ -4,7 +4,8 @@ Each step marks the buckets of its key that hold two rows or more, in a bit tabl
 does not depend on the input. Rows in a marked bucket go on to the next step; only those that
 are left get their full content hashed. Text is never shuffled: the steps are scans, and what
 is grouped is a key and a count. Groups of any size are one partial aggregate (largest id,
-number), and the copies meet their group in a join on the hash that AQE may split.
+number). Copies of groups with more than 1 / MOST_LARGE of all rows meet them in a broadcast of fewer
+than MOST_LARGE rows; those of smaller groups in a join on the hash.
 
 Defined cases: null text counts as empty; all empty texts are one group; a null id is below
 every other id; of rows with the same id and text one is kept; an empty table gives no rows.
@@ -20,6 +21,7 @@ from cinegrade.llm.common import hinted, written
 PREFIX_CHARS = 256
 LENGTH_BITS = 1 << 20
 PREFIX_BITS = 1 << 22
+MOST_LARGE = 10_000
 _WORD = 62  # bits used of a long
 
 
@@ -74,9 +76,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc_id, keep_id (largest id of the group), group_size, kept, and the carried columns.
     """
     rows = written(hashed_candidates(docs, id_col, text_col, **carry), "hashed")
-    groups = rows.where("content_hash IS NOT NULL").groupBy("content_hash").agg(
-        F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    found = rows.where("content_hash IS NOT NULL").join(groups, "content_hash").select(
+    several = rows.where("content_hash IS NOT NULL")
+    groups = several.groupBy("content_hash").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    groups = written(groups, "groups")
+    bound = rows.count() // MOST_LARGE
+    large = F.broadcast(groups.where(F.col("group_size") > bound))  # fewer than MOST_LARGE groups can be so large
+    met = several.join(large, "content_hash").unionByName(
+        several.join(large, "content_hash", "left_anti").join(groups.where(F.col("group_size") <= bound), "content_hash"))
+    found = met.select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), *carry)
     alone = rows.where("content_hash IS NULL").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *carry)
