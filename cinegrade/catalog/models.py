@@ -1,7 +1,7 @@
 """Model queries: fits, comparison, blending, comment vectors, stream scoring.
 
-The test documents are few, so these use 1,000 features and few iterations; the library
-functions default to the full sizes.
+All sizes are the library's defaults but for the layouts of `layer_search`: the full ones have up to
+25 million weights, which a single machine doesn't fit in useful time.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
 from cinegrade.catalog.guide import _comments
+from cinegrade.fixed_values import NUM_FEATURES
 from cinegrade.functions.text import clean_tokens, remove_stop_words
 from cinegrade.operators.splits import key_hash
 from cinegrade.plans import blend, docvectors, guide, paragraphs, ratings, search
@@ -18,7 +19,7 @@ from cinegrade.session import scratch_path
 from cinegrade.sources import writers
 from cinegrade.streaming.score import arriving, score_stream
 
-FEATURES = 1000
+FEATURES = NUM_FEATURES
 
 
 def _rows(spark, d):
@@ -47,11 +48,11 @@ def _predict(spark, d, model_type, **params):
 
 
 def logreg_predict(spark, d):
-    return _predict(spark, d, "log_reg", maxIter=20, features={"scale": True})
+    return _predict(spark, d, "log_reg", features={"scale": True})
 
 
 def gbt_predict(spark, d):
-    return _predict(spark, d, "gbt", maxIter=5)
+    return _predict(spark, d, "gbt")
 
 
 def rf_predict(spark, d):
@@ -59,7 +60,7 @@ def rf_predict(spark, d):
 
 
 def mlp_predict(spark, d):
-    return _predict(spark, d, "mlp", maxIter=20, layers=[FEATURES, 20, 2])
+    return _predict(spark, d, "mlp")
 
 
 def holdout_accuracy(spark, d):
@@ -69,8 +70,8 @@ def holdout_accuracy(spark, d):
 def cv_scores(spark, d):
     pipelines = {
         "naive_bayes": ratings.rating_pipeline("naive_bayes", FEATURES),
-        "log_reg": ratings.rating_pipeline("log_reg", FEATURES, maxIter=10),
-        "rf": ratings.rating_pipeline("rf", FEATURES, numTrees=10),
+        "log_reg": ratings.rating_pipeline("log_reg", FEATURES),
+        "rf": ratings.rating_pipeline("rf", FEATURES),
     }
     return search.cv_scores(_rows(spark, d), pipelines, "doc_id")
 
@@ -81,7 +82,7 @@ def layer_search(spark, d):
 
 
 def _blend_pipeline():
-    return ratings.rating_pipeline("log_reg", FEATURES, {"min_doc_freq": 0}, maxIter=10)
+    return ratings.rating_pipeline("log_reg", FEATURES, {"min_doc_freq": 0})
 
 
 def fold_predictions(spark, d):
@@ -113,14 +114,14 @@ def final_gbt(spark, d):
     blended = writers.save(blend_all(spark, d), scratch_path(spark, "blended"))
     rated = T.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("rated_r"))
     features = blended.join(rated, "doc_id", "left")
-    model, score = blend.final_model(features, ["quality", "toxic"], "doc_id", "rated_r", max_iter=3)
+    model, score = blend.final_model(features, ["quality", "toxic"], "doc_id", "rated_r")
     scored = model.transform(features).select("doc_id", "prediction", ratings.probability(1).alias("probability"))
     return scored.withColumn("cv_accuracy", F.lit(score))
 
 
 def _comment_vectors(spark, d):
     corpus = guide.training_corpus(_comments(spark, d))
-    return docvectors.skip_gram_vectors(corpus, size=16, epochs=1, partitions=4)
+    return docvectors.skip_gram_vectors(corpus)
 
 
 def doc_vectors(spark, d):
@@ -141,7 +142,7 @@ def comment_sentiment(spark, d):
     positive = (F.col("n_words") > 20).cast("int").alias("label")
     half = _comments(spark, d).where(key_hash(F.col("imdb_id"), 7) % 2 == 0)
     labels = half.select("imdb_id", "category", positive)
-    return docvectors.comment_sentiment(vectors, labels, ["imdb_id", "category"], max_iter=10)
+    return docvectors.comment_sentiment(vectors, labels, ["imdb_id", "category"])
 
 
 def _prepared(docs):
@@ -156,7 +157,7 @@ def stream_score(spark, d):
     query = score_stream(
         arriving(spark, d, schema, "documents.parquet"), _prepared, model,
         ["doc_id", "prediction", ratings.probability(1).alias("probability")],
-        out, scratch_path(spark, "scored-checkpoint"), tasks=spark.sparkContext.defaultParallelism,
+        out, scratch_path(spark, "scored-checkpoint"),
     )
     query.awaitTermination()
     return spark.read.schema("doc_id BIGINT, prediction DOUBLE, probability DOUBLE").parquet(out)

@@ -90,9 +90,10 @@ def term_moments(docs: DataFrame, key: str, tokens: str = "tokens", n_docs: int
     n = float(docs.count() if n_docs is None else n_docs)
     count = F.col("n").cast("double")
     sums = term_counts(docs, key, tokens).groupBy("term").agg(
-        F.count("*").alias("df"), F.sum(count).alias("s1"), F.sum(count * count).alias("s2")
+        F.count("*").alias("df"), F.sum(count).alias("s1"), F.avg(count).alias("m1"), F.var_pop(count).alias("v1")
     )
-    variance = (F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1)
+    # squares about the mean: those among the present rows, and those of the step from 0 to their mean
+    variance = F.col("df") * (F.col("v1") + F.col("m1") ** 2 * (1 - F.col("df") / n)) / (n - 1)
     return sums.select(
         "term", "df", (F.col("s1") / n).alias("mean"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std")
     )

@@ -5,7 +5,7 @@ with negative sampling. A document's vector learns to tell its own words from wo
 at random. The vectors of documents stay on their rows and never leave them. The output
 vectors of words are the only shared state: each task starts a round from the same copy,
 and the tasks' copies are averaged per word between rounds. Their number is bounded by
-hashing words into `max_words` buckets once there are more.
+hashing the words of every corpus into `buckets`.
 """
 
 from __future__ import annotations
@@ -25,27 +25,18 @@ from cinegrade.session import cut_lineage
 _STATE = "tag STRING, ids ARRAY<INT>, vec ARRAY<FLOAT>, word INT"
 
 
-def _encoded(corpus: DataFrame, tag: str, tokens: str, min_count: int, max_words: int) -> tuple[DataFrame, np.ndarray]:
-    """(tag, ids) with words as dense numbers, and the count per number."""
+def _encoded(corpus: DataFrame, tag: str, tokens: str, min_count: int, buckets: int) -> tuple[DataFrame, np.ndarray]:
+    """(tag, ids) with words as hash buckets, and the count per bucket; rare words go first."""
+    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")
     counts = corpus.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     counts = cut_lineage(counts.where(F.col("n") >= min_count))
-    n_words = counts.count()
-    hashed = lambda w: F.pmod(F.xxhash64(w), F.lit(max_words)).cast("int")
-    if n_words > max_words:
-        words = corpus.select(tag, F.posexplode(tokens).alias("pos", "w")).join(counts, "w", "left_semi")
-        ids = words.select(tag, "pos", hashed("w").alias("id"))
-        sizes = counts.groupBy(hashed("w").alias("id")).agg(F.sum("n").alias("n"))
-    else:
-        # at most max_words rows, so ranking and broadcasting them is bounded
-        ranked = counts.agg(F.array_sort(F.collect_list("w")).alias("ws")).select(F.posexplode("ws").alias("id", "w"))
-        ids = corpus.select(tag, F.posexplode(tokens).alias("pos", "w")).join(F.broadcast(ranked), "w").select(tag, "pos", "id")
-        sizes = counts.join(ranked, "w").select("id", "n")
-    table = np.zeros(min(n_words, max_words))
-    for row in sizes.collect():
+    table = np.zeros(buckets)
+    for row in counts.groupBy(hashed("w").alias("id")).agg(F.sum("n").alias("n")).collect():  # at most `buckets` rows
         table[row["id"]] = row["n"]
-    if n_words > max_words and min_count <= 1:
-        # every word counts and its number is a hash: no shuffle
+    if min_count <= 1:  # every word counts: no shuffle
         return corpus.select(F.col(tag).cast("string").alias("tag"), F.transform(tokens, hashed).alias("ids")), table
+    words = corpus.select(tag, F.posexplode(tokens).alias("pos", "w")).join(counts, "w", "left_semi")
+    ids = words.select(tag, "pos", hashed("w").alias("id"))
     bags = ids.groupBy(tag).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
     # a document whose words are all rare keeps its row with no words
     bags = corpus.select(tag).join(bags.select(tag, F.col("p.id").alias("ids")), tag, "left")
@@ -81,7 +72,7 @@ def paragraph_vectors(
     alpha: float = 0.025,
     min_alpha: float = 0.002,
     epochs: int = 20,
-    max_words: int = 50_000,
+    buckets: int = 1 << 16,
     partitions: int | None = None,
     seed: int = 1,
 ) -> DataFrame:
@@ -91,7 +82,7 @@ def paragraph_vectors(
     epoch, and the documents are visited in another order each epoch. Word order plays no
     part in this model, so there is no window.
     """
-    docs, counts = _encoded(corpus, tag, tokens, min_count, max_words)
+    docs, counts = _encoded(corpus, tag, tokens, min_count, buckets)
     share = counts / max(counts.sum(), 1)
     keep = np.minimum(1.0, np.sqrt(sample / np.maximum(share, 1e-300)) + sample / np.maximum(share, 1e-300))
     noise = np.cumsum(counts**0.75) / max((counts**0.75).sum(), 1e-300)
@@ -130,7 +121,7 @@ def paragraph_vectors(
         moved = result.where("word IS NOT NULL").select("word", array_to_vector(F.col("vec")).alias("v"))
         averages = moved.groupBy("word").agg(Summarizer.mean(F.col("v")).alias("v"))
         out = out.copy()
-        for row in averages.collect():  # at most max_words rows
+        for row in averages.collect():  # at most `buckets` rows
             out[row["word"]] = row["v"].toArray()
         shared.unpersist()
     return state.select(F.col("tag").alias(tag), F.col("vec").alias("doc_vector"))

@@ -58,6 +58,7 @@ def feature_stages(
     min_doc_freq: int = MIN_DOC_FREQ,
     feat: str = "tfidf",
     scale: bool = False,
+    centre: bool = False,
     ngram: int = 1,
     tokens: str = "bow",
 ) -> list:
@@ -73,7 +74,7 @@ def feature_stages(
         last = "tfidf" if scale else "features"
         stages.append(IDF(inputCol="counts", outputCol=last, minDocFreq=min_doc_freq))
     if scale:
-        stages.append(StandardScaler(inputCol=last, outputCol="features", withMean=True, withStd=True))
+        stages.append(StandardScaler(inputCol=last, outputCol="features", withMean=centre, withStd=True))
     return stages
 
 

@@ -32,16 +32,24 @@ def prediction_rows(lines: DataFrame) -> DataFrame:
     """(file_id, category, prediction) from CSV lines id,sentiment,prediction."""
     schema = "IDSubtitle STRING, sentiment STRING, prediction STRING"
     kept = lines.where((F.col("value") != "") & ~F.contains("value", F.lit("IDSubtitle")))
-    row = kept.select(F.from_csv("value", schema).alias("row")).select("row.*")
-    return row.select(
-        F.col("IDSubtitle").try_cast("double").try_cast("bigint").cast("string").alias("file_id"),
+    return _predictions(kept.select(F.from_csv("value", schema).alias("row")).select("row.*"))
+
+
+def _predictions(table: DataFrame) -> DataFrame:
+    return table.select(
+        F.coalesce(F.col("IDSubtitle").try_cast("bigint"), F.col("IDSubtitle").try_cast("double").try_cast("bigint")).cast("string").alias("file_id"),
         F.col("sentiment").alias("category"),
         F.col("prediction").try_cast("double").alias("prediction"),
     )
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return prediction_rows(spark.read.text(path))
+    """Predictions from CSV files with a header: columns by name, in any order, beside any others.
+
+    Quoted fields may hold line breaks.
+    """
+    table = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return _predictions(table.where(F.col("IDSubtitle").isNotNull()))
 
 
 def subtitle_rows(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -120,11 +128,11 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def word_vector_rows(lines: DataFrame) -> DataFrame:
-    """(word, vec) from lines `word v1 v2 ..` in column `value`."""
+    """(word, vec) from lines `word v1 v2 ..` in column `value`; what is no number is a null element."""
     parts = F.split(F.trim("value"), " +")
     return lines.where(F.trim("value") != "").select(
         parts[0].alias("word"),
-        F.slice(parts, F.lit(2), F.size(parts)).cast("array<double>").alias("vec"),
+        F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x.try_cast("double")).alias("vec"),
     )
 
 

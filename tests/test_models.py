@@ -183,14 +183,14 @@ def test_doc_vectors_and_sentiment(docs):
     assert {r["id"] for r in got} == {i for i in range(60) if i % 3 == 0}
 
 
-@pytest.mark.parametrize("max_words", [50_000, 5])
-def test_paragraph_vectors_separate_topics(docs, max_words):
+@pytest.mark.parametrize("buckets", [1 << 16, 5])
+def test_paragraph_vectors_separate_topics(docs, buckets):
     corpus = docs.select(F.col("id").cast("string").alias("sentence_tag"), F.array_repeat("bow", 6).alias("b"))
     corpus = corpus.select("sentence_tag", F.flatten("b").alias("clean_comment"))
-    got = paragraph_vectors(corpus, size=8, epochs=8, alpha=0.1, sample=1.0, partitions=2, max_words=max_words)
+    got = paragraph_vectors(corpus, size=8, epochs=8, alpha=0.1, sample=1.0, partitions=2, buckets=buckets)
     vec = {int(r["sentence_tag"]): np.array(r["doc_vector"]) for r in got.collect()}
     assert sorted(vec) == list(range(60)) and all(v.shape == (8,) for v in vec.values())
-    if max_words > 5:
+    if buckets > 5:
         u = {i: v / np.linalg.norm(v) for i, v in vec.items()}
         same = np.mean([u[i] @ u[j] for i in u for j in u if i < j and i % 2 == j % 2])
         other = np.mean([u[i] @ u[j] for i in u for j in u if i % 2 != j % 2])
@@ -203,8 +203,8 @@ def test_paragraph_vectors_keep_empty_documents(spark):
     assert {r["sentence_tag"] for r in got} == {"a", "b", "c"} and all(len(r["doc_vector"]) == 4 for r in got)
 
 
-def test_vocabulary_bound(docs):
-    bounded = docvectors.bounded_words(docs, "bow", 3)
+def test_hashed_vocabulary(docs):
+    bounded = docvectors.hashed_words("bow", 3)
     words = {w for r in docs.select(bounded.alias("w")).collect() for w in r["w"]}
     assert len(words) <= 3 and all(w.startswith("#") for w in words)
 
