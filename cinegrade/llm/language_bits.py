@@ -10,7 +10,7 @@ A language contains an n-gram if it makes up LEAST_SHARE of the n-grams of that
 LEAST_RATIO of its largest share in any language. So a language has at most 1 / LEAST_SHARE n-grams
 however much text there is, and the filter's size is fixed by SLOTS.
 
-N-grams are those of 1 to 4 letters of lower-cased words with a mark at either end. Counting is by
+N-grams are those of 1 to 3 letters of lower-cased words with a mark at either end. Counting is by
 word: tasks add words up before they give n-grams to the shuffle.
 
 Defined cases: null text or text without a letter is `und` with score 0; a text none of whose
@@ -33,14 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinegrade.llm.common import Memo, slices, texts
+from cinegrade.llm.common import Memo, slices, texts, written
 
-SIZES = (1, 2, 3, 4)
+SIZES = (1, 2, 3)
 SLOTS, HASHES = 1 << 20, 3
 LEAST_SHARE, LEAST_RATIO = 1e-5, 0.1
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_FLUSH = 200_000
+_FLUSH = 400_000
+_FIELD = 40  # bits of a count in a packed number
 
 
 def grams(word: str) -> list[str]:
@@ -48,7 +49,8 @@ def grams(word: str) -> list[str]:
     out = []
     for run in _LETTERS.findall(word.lower()):
         marked = f"^{run}$"
-        out += [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
+        out += run
+        out += [marked[i : i + n] for n in SIZES[1:] for i in range(len(marked) - n + 1)]
     return out
 
 
@@ -61,7 +63,7 @@ def _positions(gram: str) -> list[int]:
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """languages by bit; masks: SLOTS x words of 64 bits, as bytes; known: is an n-gram of any language there?"""
+    """languages by bit; masks: SLOTS x words of 64 bits, as bytes."""
 
     languages: tuple[str, ...]
     masks: bytes
@@ -109,7 +111,7 @@ def contained(counts: DataFrame) -> DataFrame:
 
 def fit_filter(rows: DataFrame) -> LanguageFilter:
     """The filter of all (lang, text) rows. SLOTS rows of masks at most come to the driver, and the names of the languages."""
-    held = contained(gram_counts(rows)).persist()
+    held = written(contained(written(gram_counts(rows), "grams")), "contained")
     languages = tuple(sorted(r["lang"] for r in held.select("lang").distinct().collect()))
     number = F.create_map(*(F.lit(x) for pair in zip(languages, range(len(languages))) for x in pair)) if languages else F.lit(None)
     words = max(1, -(-len(languages) // 64))
@@ -122,35 +124,31 @@ def fit_filter(rows: DataFrame) -> LanguageFilter:
         halves = np.zeros((SLOTS, 2 * words), dtype=np.uint32)
         halves[found["slot"].to_numpy(np.int64), found["half"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).astype(np.uint32)
         masks = np.ascontiguousarray(halves).view(np.uint64)
-    held.unpersist()
     return LanguageFilter(languages, masks.tobytes())
 
 
 class Judge:
-    """Counts of a text's n-grams by language, word by word."""
+    """Counts of a text's n-grams by language. The counts are fields of one number: n-grams, then each language's."""
 
     def __init__(self, fitted: LanguageFilter):
         self.languages, self.masks = fitted.languages, fitted.table()
         bits = np.unpackbits(self.masks.view(np.uint8), axis=1, bitorder="little")[:, : len(self.languages)]
         self.false = bits.mean(axis=0) ** HASHES
-        self.words = Memo(self._word)
+        self.grams = Memo(self._gram)
+        self.words = Memo(lambda word: sum(map(self.grams.__getitem__, grams(word))))
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Number of n-grams, then for each language how many it contains by the filter."""
-        found = grams(word)
-        if not found:
-            return (0,) * (1 + len(self.languages))
-        masks = np.bitwise_and.reduce(self.masks[np.array([_positions(g) for g in found])], axis=1)
-        bits = np.unpackbits(masks.view(np.uint8), axis=1, bitorder="little")[:, : len(self.languages)]
-        return (len(found), *bits.sum(axis=0).tolist())
+    def _gram(self, gram: str) -> int:
+        """One n-gram, and one for each language that contains it by the filter."""
+        mask = np.bitwise_and.reduce(self.masks[_positions(gram)], axis=0)
+        return 1 + sum(1 << _FIELD * (k + 1) for k in range(len(self.languages)) if int(mask[k // 64]) >> (k % 64) & 1)
 
     def judge(self, text: str) -> tuple[str, float]:
-        words = text.split()
-        counts = np.fromiter((n for w in words for n in self.words[w]), np.int64).reshape(len(words), 1 + len(self.languages)).sum(axis=0)
-        total = int(counts[0])
+        packed = sum(map(self.words.__getitem__, text.split()))
+        total = packed & ((1 << _FIELD) - 1)
         if not total or not self.languages:
             return UNKNOWN, 0.0
-        corrected = np.clip((counts[1:] - total * self.false) / np.maximum(1 - self.false, 1e-9), 0, total)
+        counts = np.array([packed >> _FIELD * (k + 1) & ((1 << _FIELD) - 1) for k in range(len(self.languages))])
+        corrected = np.clip((counts - total * self.false) / np.maximum(1 - self.false, 1e-9), 0, total)
         best = int(np.argmax(corrected))
         return self.languages[best], float(corrected[best] / total)
 
