@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -57,12 +58,16 @@ class Memo(dict):
     """Results of `make` by key, in two generations of at most `limit` entries, so that memory is bounded.
 
     A full young generation becomes the old one; what is used again moves back to the young one.
-    Keys longer than `longest` are computed each time and not kept.
+    Keys longer than `longest` are computed each time and not kept. A Python worker serves many
+    stages: a memo that fills up empties all others of the process, so stale ones don't add up.
     """
 
-    def __init__(self, make: Callable, limit: int = 300_000, longest: int = 100):
+    _all: list[weakref.ref] = []
+
+    def __init__(self, make: Callable, limit: int = 200_000, longest: int = 100):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+        Memo._all = [r for r in Memo._all if r() is not None] + [weakref.ref(self)]
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -72,6 +77,10 @@ class Memo(dict):
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
+                for other in Memo._all:
+                    if (memo := other()) is not None and memo is not self and len(memo) > 1000:
+                        memo.clear()
+                        memo.old = {}
             self[key] = value
         return value
 

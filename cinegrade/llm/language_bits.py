@@ -139,7 +139,7 @@ class Judge:
 
     def _gram(self, gram: str) -> int:
         """One n-gram, and one for each language that contains it by the filter."""
-        mask = np.bitwise_and.reduce(self.masks[_positions(gram)], axis=0)
+        mask = np.bitwise_and.reduce(self.masks[_positions(gram)], axis=0)  # one word for each 64 languages
         return 1 + sum(1 << _FIELD * (k + 1) for k in range(len(self.languages)) if int(mask[k // 64]) >> (k % 64) & 1)
 
     def judge(self, text: str) -> tuple[str, float]:

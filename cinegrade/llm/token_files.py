@@ -80,7 +80,7 @@ def _encoder(model: str, width: int) -> tuple[Memo, Memo]:
             return np.array(fast.encode_ordinary(unit), dtype=kind).tobytes()
         return np.array(tokenizer.encode(unit, add_special_tokens=False).ids, dtype=kind).tobytes()
 
-    return Memo(ids, limit=1000), Memo(lambda unit: ids(" " + unit))
+    return Memo(ids, limit=1000), Memo(lambda unit: ids(" " + unit), limit=300_000)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], model: str, width: int) -> Iterator[pa.RecordBatch]:
