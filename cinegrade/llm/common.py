@@ -11,13 +11,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegrade.session import scratch_path
+from cinegrade.session import scratch_path, ship_package
 
 SLICE_ROWS = 512
 BROADCAST_BYTES = 64 << 20
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the workers, and bound Arrow batches by bytes.
+
+    A batch lies in memory outside the heap and in the Python worker at once, for each core; a bound
+    in rows alone lets it grow with the length of the texts. A smaller bound that is set stays.
+    """
+    ship_package(spark)
+    if not 0 < _bytes(spark.conf.get(_BATCH_SETTING)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def _bytes(setting: str) -> int:
+    """The value of a size setting, which may have a unit behind it; 0 if its unit is not of these."""
+    found = re.fullmatch(r"(-?\d+)([kmgb]?)b?", setting.strip().lower())
+    return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,10 +58,17 @@ def hinted(df: DataFrame, row_bytes: int, max_bytes: int = BROADCAST_BYTES) -> D
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Parts of at most `rows` rows, so that few texts exist as Python objects at a time."""
+    """Parts of at most `rows` rows, so that few texts exist as Python objects at a time.
+
+    Arrow keeps the memory of batches that are gone; it is given back after each, as the worker
+    waits beside the executor's other stages.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -171,6 +171,8 @@ def tail_column(text: Column, model: OrdinalModel, select: int) -> Column:
     def tail(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for body in bodies:
             yield pd.Series(model.tails(scores(body.fillna("").tolist(), model))[:, select - 1])
+            del body
+            pa.default_memory_pool().release_unused()
 
     return tail(text)
 

@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinegrade.llm import chunked_bpe, exact_dedup, jaccard_join, mixing, ordinal
-from cinegrade.llm.common import table, written
-from cinegrade.session import ship_package
+from cinegrade.llm.common import prepare, table, written
 
 LEAST_TAIL = 0.75
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose top grade (good and not toxic) has a probability of LEAST_TAIL or more."""
-    ship_package(spark)
+    prepare(spark)
     model = ordinal.fit_ordinal(docs, ordinal.grades_of(table(spark, sf_dir, "labels")))
     rows = docs.select(F.struct("*").alias("whole"), ordinal.tail_column(F.col("text"), model, len(model.thresholds)).alias("tail"))
     return rows.where(F.col("tail") >= LEAST_TAIL).select("whole.*")
@@ -32,7 +31,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
-    ship_package(spark)
+    prepare(spark)
     return jaccard_join.drop_near_copies(docs, words_each=5, at_least=(4, 5))
 
 
@@ -43,7 +42,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of each document of the mixture."""
-    ship_package(spark)
+    prepare(spark)
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ids = chunked_bpe.encode(docs, f.read(), public_tokenizers.PATTERN)
     return chunked_bpe.as_arrays(ids)

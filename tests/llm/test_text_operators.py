@@ -276,3 +276,17 @@ def test_hash_of_the_query_is_that_of_the_text(spark, sf_dir):
 
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
     assert all(r.text_sha256 == hashlib.sha256((rows[r.doc_id] or "").encode()).hexdigest() for r in op9_exact_dedup(spark, sf_dir).collect())
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    from cinegrade.llm.common import BATCH_BYTES, prepare
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for given, left in (("64m", str(BATCH_BYTES)), ("-1", str(BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(setting, given)
+            prepare(spark)
+            assert spark.conf.get(setting) == left
+    finally:
+        spark.conf.set(setting, before)
