@@ -284,7 +284,7 @@ def test_arrow_batches_are_bounded_by_bytes(spark):
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(setting)
     try:
-        for given, left in (("64m", str(BATCH_BYTES)), ("-1", str(BATCH_BYTES)), ("1m", "1m")):
+        for given, left in (("64m", str(BATCH_BYTES)), ("1g", str(BATCH_BYTES)), ("1m", "1m")):
             spark.conf.set(setting, given)
             prepare(spark)
             assert spark.conf.get(setting) == left
