@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinegrade.llm.common import Memo, slices, space_units, texts, written
+from cinegrade.llm.common import Memo, keep_only, slices, space_units, texts, written
 
 CHUNK, OVERLAP, MARGIN = 32_768, 2_048, 8
 _CHUNKS = "row string, doc_id bigint, chunk_no int, body string"
@@ -59,9 +59,12 @@ def encode_text(text: str, raw: bytes, pattern: str) -> bytes:
 
 def _encoded(batches: Iterator[pa.RecordBatch], raw: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
     """The last column, texts, turned into `ids`."""
+    keep_only(*_encoder(raw, pattern))
     for part in slices(batches, 256):
         ids = [encode_text(t, raw, pattern) for t in texts(part.columns[-1])]
-        yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], "ids"])
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+        yield pa.RecordBatch.from_arrays([*part.columns[:-1], listed], names=[*part.schema.names[:-1], "ids"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -116,13 +119,13 @@ def stitched(chunks: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int =
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids (little-endian 32-bit integers) of each document.
+    """doc_id and ids (array of integers) of each document.
 
     ranks: the content of a file of ranks. Of a piece only the chunk's own part is encoded.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     long = F.length("body") > chunk
-    short_ids = rows.where(~long).mapInArrow(lambda b: _encoded(b, ranks, pattern), "doc_id bigint, ids binary")
+    short_ids = rows.where(~long).mapInArrow(lambda b: _encoded(b, ranks, pattern), "doc_id bigint, ids array<int>")
     named = rows.where(long).select(F.expr("uuid()").alias("row"), "doc_id", "body")
     chunks = written(named.mapInArrow(lambda b: _cut(b, chunk, overlap), _CHUNKS), "chunks")
     plan = written(stitched(chunks, pattern, chunk, overlap), "pieces")
@@ -131,9 +134,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     whole = pieces.where("parts > 1").groupBy("row", "doc_id", "piece").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "body"))), lambda x: x["body"]), "").alias("body"))
     to_encode = pieces.where("parts = 1").select("row", "doc_id", "piece", "body").unionByName(whole)
-    pieces_ids = to_encode.mapInArrow(lambda b: _encoded(b, ranks, pattern), "row string, doc_id bigint, piece bigint, ids binary")
+    pieces_ids = to_encode.mapInArrow(lambda b: _encoded(b, ranks, pattern), "row string, doc_id bigint, piece bigint, ids array<int>")
     joined = pieces_ids.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("pieces"))
-    joined = joined.select("doc_id", F.array_join(F.transform("pieces", lambda x: x["ids"].cast("string")), "").cast("binary").alias("ids"))
+    joined = joined.select("doc_id", F.flatten(F.transform("pieces", lambda x: x["ids"])).alias("ids"))
     return short_ids.unionByName(joined)
 
 
@@ -154,7 +157,8 @@ def decoded(batches: Iterator[pa.RecordBatch], raw: bytes) -> Iterator[pa.Record
     """doc_id, n_tokens, decimal ids joined by commas, and the bytes that the ids stand for."""
     token_bytes, decimal = _token_bytes(raw)
     for part in slices(batches, 128):
-        ids = [np.frombuffer(b, dtype="<i4") for b in part.column("ids").to_pylist()]
+        values, ends = part.column("ids").values.to_numpy(), part.column("ids").offsets.to_numpy()
+        ids = [values[a:b] for a, b in zip(ends, ends[1:])]
         listed = [",".join(map(decimal.__getitem__, i.tolist())) for i in ids]
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), pa.array(listed), pa.array([decode(i, token_bytes) for i in ids], pa.binary())],
@@ -166,16 +170,6 @@ def decode_table(encoded: DataFrame, ranks: bytes) -> DataFrame:
     return encoded.mapInArrow(lambda b: decoded(b, ranks), "doc_id bigint, n_tokens bigint, listed string, bytes binary")
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        ids = [np.frombuffer(b, dtype="<i4") for b in part.column("ids").to_pylist()]
-        ends = np.cumsum([0, *map(len, ids)])
-        values = pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-            names=["doc_id", "n_tokens", "ids"])
-
-
 def as_arrays(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and ids as an array of each row of encode()."""
-    return encoded.mapInArrow(_listed, "doc_id bigint, n_tokens bigint, ids array<int>")
+    """doc_id, n_tokens and ids of each row of encode()."""
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

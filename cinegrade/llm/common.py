@@ -112,6 +112,14 @@ class Memo(dict):
         return value
 
 
+def keep_only(*memos: Memo) -> None:
+    """Empty all memos of the process but these: a worker goes on from another stage with what that left."""
+    for other in Memo._all:
+        if (memo := other()) is not None and not any(memo is m for m in memos):
+            memo.clear()
+            memo.old = {}
+
+
 _SPACE_BESIDE_SPACE = re.compile(r" \s|\s ")
 _UNIT_START = re.compile(r"(?<=\S) (?=\S)")
 

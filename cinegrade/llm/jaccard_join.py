@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinegrade.llm.common import Memo, bitmap, hinted, in_bitmap, slices, utf8, written
+from cinegrade.llm.common import Memo, bitmap, hinted, in_bitmap, keep_only, slices, utf8, written
 from cinegrade.llm.components import components
 
 LEAF, LEAF_ELEMENTS = 1024, 4_000_000
@@ -118,6 +118,7 @@ _SUMMARY = "doc_id bigint, n bigint, sig bigint, " + ", ".join(f"b{k} bigint" fo
 
 def _summaries(batches: Iterator[pa.RecordBatch], words_each: int) -> Iterator[pa.RecordBatch]:
     """One row for each document, and (element, times) rows for elements frequent among some documents of the task."""
+    keep_only(_word_hashes())
     names = [f.split()[0] for f in _SUMMARY.split(", ")]
     seen: set[int] = set()
     held: list[np.ndarray] = []
@@ -177,6 +178,7 @@ def _regions(batches: Iterator[pa.RecordBatch], words_each: int, missing: tuple[
 
     missing: numerator and denominator of the share of a set that a linked set may lack.
     """
+    keep_only(_word_hashes())
     seen: set[int] = set()
     for part in slices(batches):
         out: list[list[np.ndarray]] = [[], [], [], []]
@@ -203,6 +205,7 @@ def _regions(batches: Iterator[pa.RecordBatch], words_each: int, missing: tuple[
 
 def _sets(batches: Iterator[pa.RecordBatch], words_each: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
     """doc_id, sig and elements of documents whose class is, or seems to be, in the bit table."""
+    keep_only(_word_hashes())
     for part in slices(batches):
         ids, sigs, out = [], [], []
         for doc_id, text in zip(part.column("doc_id").to_pylist(), utf8(part.column("text"))):
@@ -217,6 +220,17 @@ def _sets(batches: Iterator[pa.RecordBatch], words_each: int, wanted: Broadcast)
             [pa.array(ids, pa.int64()), pa.array(sigs, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "sig", "elements"])
 
 
+def _numbered(elements: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in place of elements, the same for equal ones, in half of their memory."""
+    order = np.argsort(elements)
+    step = np.empty(len(order), dtype=np.int32)
+    step[0] = 0
+    step[1:] = elements[order[1:]] != elements[order[:-1]]
+    out = np.empty(len(order), dtype=np.int32)
+    out[order] = np.cumsum(step, out=step)
+    return out
+
+
 def links_within(sizes: np.ndarray, moved: list[np.ndarray], t: tuple[int, int]) -> list[tuple[int, int]]:
     """Positions of linked pairs that join the groups of the sets: at most one fewer than sets.
 
@@ -226,7 +240,7 @@ def links_within(sizes: np.ndarray, moved: list[np.ndarray], t: tuple[int, int])
     sizes, moved = sizes[order], [moved[i] for i in order]
     lengths = np.array([len(m) for m in moved])
     ends = np.concatenate([[0], np.cumsum(lengths)])
-    numbers = np.unique(np.concatenate(moved), return_inverse=True)[1] if ends[-1] else np.empty(0, dtype=np.int64)
+    numbers = _numbered(np.concatenate(moved)) if ends[-1] else np.empty(0, dtype=np.int32)
     parent = list(range(len(sizes)))
 
     def root(i: int) -> int:
@@ -236,14 +250,14 @@ def links_within(sizes: np.ndarray, moved: list[np.ndarray], t: tuple[int, int])
         return i
 
     out = []
-    flags = np.zeros(int(numbers.max()) + 1 if len(numbers) else 1, dtype=np.int64)
+    flags = np.zeros(int(numbers.max()) + 1 if len(numbers) else 1, dtype=np.int32)
     for i in range(len(sizes) - 1):
         last = int(np.searchsorted(sizes, sizes[i] * t[1] // t[0], side="right"))
         if last <= i + 1:
             continue
         own = numbers[ends[i] : ends[i + 1]]
         flags[own] = 1
-        running = np.concatenate([[0], np.cumsum(flags[numbers[ends[i + 1] : ends[last]]])])
+        running = np.concatenate([[0], np.cumsum(flags[numbers[ends[i + 1] : ends[last]]], dtype=np.int32)])
         flags[own] = 0
         cuts = ends[i + 1 : last + 1] - ends[i + 1]
         shared = running[cuts[1:]] - running[cuts[:-1]]
@@ -258,6 +272,7 @@ def links_within(sizes: np.ndarray, moved: list[np.ndarray], t: tuple[int, int])
 
 def _leaf_links(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Links inside each group; a group's rows (group, sig, n, elements) follow one another."""
+    keep_only()
     group, held = None, []
 
     def links() -> pa.RecordBatch:
