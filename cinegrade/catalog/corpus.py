@@ -12,6 +12,7 @@ from cinegrade.functions import xml
 from cinegrade.functions.labels import binary_rating, current_rating, is_valid_rating
 from cinegrade.operators import joins, scores
 from cinegrade.operators.terms import stem_vocabulary as stem_vocabulary_of
+from cinegrade.plans import ratings
 from cinegrade.session import scratch_path
 from cinegrade.sources import readers, writers
 
@@ -135,6 +136,18 @@ def stem_vocabulary(spark, d):
     return stem_vocabulary_of(T.tokenised(spark, d), "tokens")
 
 
+def stemmed_bags(spark, d):
+    """XML -> bag -> stop words -> stems of every usable subtitle."""
+    bags = ratings.stemmed_bags(T.subtitles(spark, d))
+    return bags.select("file_id", F.array_join("bow", " ").alias("bow"))
+
+
+def labelled_bags(spark, d):
+    """The rows that rating models are fitted on: stemmed bags of labelled subtitles."""
+    rows = ratings.training_rows(T.subtitle_xml(spark, d), T.labels(spark, d))
+    return rows.select("path", "file_id", "rating", F.array_join("bow", " ").alias("bow"))
+
+
 def normalise_title(spark, d):
     text = F.col("text")
     return T.table(spark, d, "documents").select(
@@ -157,14 +170,21 @@ QUERIES = {
         load_labels, load_category_predictions, xml_scan, labelled_paths, limited_scan,
         checkpoint_roundtrip, file_id_from_path, valid_ratings, binary_label, merge_ratings,
         sentence_rows, drop_corrupted, doc_meta, doc_meta_features, percent_parsed, clean_tokens,
-        bag_of_words, raw_words, remove_stopwords, stem_vocabulary, normalise_title, craft_key,
-        unique_ratings,
+        bag_of_words, raw_words, remove_stopwords, stem_vocabulary, stemmed_bags, labelled_bags, normalise_title,
+        craft_key, unique_ratings,
     )
 }
 
 _USABLE = "source NOT IN ('src7', 'src13')"
 _FILE_ID = r"split_part(list_extract(string_split({0}, '/'), -1), '.', 1)"
 
+_STEMMED = f"""
+    m AS MATERIALIZED ({stem_sql(f"SELECT DISTINCT term, 1 AS n FROM ({T.TERMS_SQL})")}),
+    k AS (SELECT doc_id, list_filter({T.TOKENS_SQL}, lambda w: w NOT IN {T.STOP_SQL}) AS t FROM documents WHERE {_USABLE}),
+    b AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY i) AS bow
+        FROM (SELECT doc_id, t[i] AS term, i FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM k)) JOIN m USING (term)
+        GROUP BY doc_id)"""
+
 ORACLES = {
     "load_labels": f"SELECT file_id, rating FROM ({T.LABELS_SQL})",
     "load_category_predictions": """
@@ -230,6 +250,13 @@ ORACLES = {
         SELECT doc_id, array_to_string(list_filter({T.TOKENS_SQL}, lambda w: w NOT IN {T.STOP_SQL}), ' ') AS tokens
         FROM documents""",
     "stem_vocabulary": stem_sql(f"SELECT term, CAST(sum(n) AS BIGINT) AS n FROM ({T.TERMS_SQL}) GROUP BY term"),
+    "stemmed_bags": f"""
+        WITH {_STEMMED}
+        SELECT CAST(doc_id AS VARCHAR) AS file_id, coalesce(bow, '') AS bow FROM k LEFT JOIN b USING (doc_id)""",
+    "labelled_bags": f"""
+        WITH {_STEMMED}
+        SELECT {T.PATH_SQL} AS path, file_id, CASE WHEN rating = 'R' THEN 'R' ELSE 'NOT_R' END AS rating, coalesce(bow, '') AS bow
+        FROM documents JOIN ({T.VALID_SQL}) v USING (doc_id) JOIN k USING (doc_id) LEFT JOIN b USING (doc_id)""",
     "normalise_title": r"""
         SELECT doc_id, regexp_replace(lower(text), '\p{P}+', '', 'g') AS title,
             regexp_replace(lower(trim(left(text, greatest(length(text) - 6, 0)), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))),

@@ -6,12 +6,14 @@ import math
 
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
 from cinegrade.catalog.guide import _reasons
 from cinegrade.operators import joins, terms
 from cinegrade.operators import vectors as V
+from cinegrade.operators.scores import accuracy
 from cinegrade.operators.splits import train_test_split
 from cinegrade.plans import bayes, reasons
 from cinegrade.plans.ratings import extract_labels
@@ -93,6 +95,33 @@ def naive_bayes_predict(spark, d):
     return scored.select("doc_id", "prediction", *[F.round(c, 3).alias(c) for c in CLASSES])
 
 
+def nb_holdout_accuracy(spark, d):
+    """Accuracy on the held-out side of the labelled documents."""
+    train, test = train_test_split(_labelled(spark, d), "file_id")
+    params = bayes.term_parameters(train, CLASSES, "rating", "tokens")
+    scored = bayes.predict(test, params, bayes.priors(train, CLASSES, "rating"), "doc_id", "tokens")
+    judged = scored.join(test.select("doc_id", "rating"), "doc_id")
+    return judged.agg(F.count("*").alias("n"), F.round(accuracy("rating", "prediction"), 9).alias("accuracy"))
+
+
+def _out_of_fold(spark, d):
+    return bayes.out_of_fold(_labelled(spark, d), CLASSES, "rating", "tokens", "doc_id", k=3)
+
+
+def nb_fold_predictions(spark, d):
+    """Each labelled document by the model of the other two folds."""
+    scored = _out_of_fold(spark, d)
+    return scored.select("doc_id", F.col("fold").cast("long").alias("fold"), "rating", "prediction", *[F.round(c, 3).alias(c) for c in CLASSES])
+
+
+def nb_cv_scores(spark, d):
+    """Accuracy of each of three folds, beside the mean of the folds."""
+    folds = _out_of_fold(spark, d).groupBy("fold").agg(F.count("*").alias("n"), accuracy("rating", "prediction").alias("accuracy"))
+    mean = F.avg("accuracy").over(Window.partitionBy(F.lit(0)))  # three rows
+    return folds.select(
+        F.col("fold").cast("long").alias("fold"), "n", F.round("accuracy", 9).alias("accuracy"), F.round(mean, 9).alias("mean_accuracy"))
+
+
 def _vectors(spark, d):
     """Embeddings as lines of a word-vector file, read back."""
     rows = T.table(spark, d, "embeddings")
@@ -134,7 +163,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         tfidf_terms, term_counts, doc_freq, feature_moments, standardise, bounded_vocab, tfidf_l2, key_words,
-        bigram_counts, hashing_tf, naive_bayes_params, naive_bayes_predict, word_vectors,
+        bigram_counts, hashing_tf, naive_bayes_params, naive_bayes_predict,
+        nb_holdout_accuracy, nb_fold_predictions, nb_cv_scores, word_vectors,
         vocab_vectors, cosine_pairs, vector_groups, pca_2d, kmeans_6,
     )
 }
@@ -161,6 +191,22 @@ def _bayes(where: str) -> str:
     p AS (SELECT c.term, ln((c.r + 1)::DOUBLE / (s.r + s.v)) AS r, ln((c.o + 1)::DOUBLE / (s.o + s.v)) AS o FROM c, s)"""
 
 
+_FOLDS = f"""
+    t AS MATERIALIZED ({T.TERMS_SQL}),
+    l AS MATERIALIZED (SELECT doc_id, CASE WHEN rating = 'R' THEN 'R' ELSE 'NOT_R' END AS rating, {T.hash_sql('doc_id')} % 3 AS fold FROM ({T.VALID_SQL})),
+    f AS (SELECT unnest(range(3)) AS fold),
+    c AS (SELECT f.fold, term, sum(CASE WHEN rating = 'R' THEN n ELSE 0 END) AS r, sum(CASE WHEN rating = 'R' THEN 0 ELSE n END) AS o
+        FROM f JOIN l ON l.fold <> f.fold JOIN t USING (doc_id) GROUP BY f.fold, term),
+    s AS (SELECT fold, count(*) AS v, sum(r) AS r, sum(o) AS o FROM c GROUP BY fold),
+    p AS (SELECT fold, term, ln((c.r + 1)::DOUBLE / (s.r + s.v)) AS r, ln((c.o + 1)::DOUBLE / (s.o + s.v)) AS o FROM c JOIN s USING (fold)),
+    k AS (SELECT f.fold, ln((count(*) FILTER (rating = 'R') + 1)::DOUBLE / (count(*) + 2)) AS r,
+            ln((count(*) FILTER (rating <> 'R') + 1)::DOUBLE / (count(*) + 2)) AS o FROM f JOIN l ON l.fold <> f.fold GROUP BY f.fold),
+    z AS (SELECT l.doc_id, sum(n * p.r) AS r, sum(n * p.o) AS o
+        FROM l JOIN t USING (doc_id) JOIN p ON p.term = t.term AND p.fold = l.fold GROUP BY l.doc_id),
+    q AS (SELECT l.doc_id, fold, rating, coalesce(z.r, 0) + k.r AS r, coalesce(z.o, 0) + k.o AS o
+        FROM l JOIN k USING (fold) LEFT JOIN z USING (doc_id)),
+    j AS (SELECT *, CASE WHEN o >= r THEN 'NOT_R' ELSE 'R' END AS prediction FROM q)"""
+
 _TRAIN = f"{T.hash_sql('doc_id', 1)} / 4294967296.0::DOUBLE >= 0.2"
 
 from cinegrade.catalog.guide import _REASONS  # noqa: E402
@@ -204,6 +250,20 @@ ORACLES = {
         q AS (SELECT d.doc_id, coalesce(z.r, 0) + k.r AS r, coalesce(z.o, 0) + k.o AS o
               FROM documents d LEFT JOIN z USING (doc_id), k)
         SELECT doc_id, CASE WHEN o >= r THEN 'NOT_R' ELSE 'R' END AS prediction, round(o, 3) AS "NOT_R", round(r, 3) AS "R" FROM q""",
+    "nb_holdout_accuracy": f"""
+        WITH {_bayes(_TRAIN)},
+        k AS (SELECT ln((count(*) FILTER (rating = 'R') + 1)::DOUBLE / (count(*) + 2)) AS r,
+                ln((count(*) FILTER (rating <> 'R') + 1)::DOUBLE / (count(*) + 2)) AS o FROM l),
+        h AS (SELECT doc_id, CASE WHEN rating = 'R' THEN 'R' ELSE 'NOT_R' END AS rating FROM ({T.VALID_SQL}) WHERE NOT ({_TRAIN})),
+        z AS (SELECT doc_id, sum(n * r) AS r, sum(n * o) AS o FROM t JOIN p USING (term) GROUP BY doc_id)
+        SELECT count(*) AS n, round(avg(CASE WHEN (coalesce(z.o, 0) + k.o >= coalesce(z.r, 0) + k.r) = (rating = 'NOT_R') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy
+        FROM h LEFT JOIN z USING (doc_id), k""",
+    "nb_fold_predictions": f"""
+        WITH {_FOLDS} SELECT doc_id, fold, rating, prediction, round(o, 3) AS "NOT_R", round(r, 3) AS "R" FROM j""",
+    "nb_cv_scores": f"""
+        WITH {_FOLDS},
+        a AS (SELECT fold, count(*) AS n, avg(CASE WHEN rating = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM j GROUP BY fold)
+        SELECT fold, n, round(accuracy, 9) AS accuracy, round((SELECT avg(accuracy) FROM a), 9) AS mean_accuracy FROM a""",
     "word_vectors": """
         SELECT 'w' || vec_id AS word, i - 1 AS pos, round(embedding[i]::DOUBLE, 9) AS x
         FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",

@@ -17,6 +17,7 @@ from cinegrade.operators.splits import key_hash
 from cinegrade.plans import blend, docvectors, guide, paragraphs, ratings, search
 from cinegrade.session import scratch_path
 from cinegrade.sources import writers
+from cinegrade.sources.readers import subtitle_rows
 from cinegrade.streaming.score import arriving, score_stream
 
 FEATURES = NUM_FEATURES
@@ -36,10 +37,12 @@ def _all_rows(spark, d):
 
 
 def rating_fit(spark, d):
-    """Naive Bayes on the labelled documents, applied to every document."""
-    model = ratings.rating_pipeline("naive_bayes", FEATURES).fit(_rows(spark, d))
-    docs = T.tokenised(spark, d).withColumnRenamed("tokens", "bow")
-    return model.transform(docs).select("doc_id", "prediction", ratings.probability(1).alias("probability"))
+    """Naive Bayes on the stemmed bags of labelled subtitles, applied to every usable subtitle."""
+    subtitles = T.subtitle_xml(spark, d)
+    train = ratings.training_rows(subtitles, T.labels(spark, d)).withColumn("label", (F.col("rating") == "R").cast("double"))
+    model = ratings.rating_pipeline("naive_bayes", FEATURES).fit(train)
+    bags = ratings.stemmed_bags(subtitle_rows(subtitles)).select("file_id", "bow")
+    return model.transform(bags).select("file_id", "prediction", ratings.probability(1).alias("probability"))
 
 
 def _predict(spark, d, model_type, **params):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinegrade.functions.text import counted_terms
+from cinegrade.operators.splits import with_fold
 from cinegrade.operators.terms import term_counts
 from cinegrade.session import broadcast_if_small, cut_lineage
 
@@ -66,3 +67,50 @@ def predict(
     best = F.greatest(*classes) if len(classes) > 1 else F.col(classes[0])
     first = F.coalesce(*[F.when(F.col(c) == best, c) for c in classes])
     return scored.withColumn("prediction", first)
+
+
+def out_of_fold(
+    docs: DataFrame, classes: Sequence[str], label: str, tokens: str, key: str, k: int, smoothing: float = 1.0
+) -> DataFrame:
+    """(key, fold, label, prediction, one score column per class): each row by the model of the other folds.
+
+    One scan counts the terms for all models and one scores the rows: a term holds an array with the
+    likelihoods of every model, and a row reads its own. A term that the other folds lack carries no weight.
+    """
+    rows = with_fold(docs, key, k)
+
+    def inside(c: str, f: int):
+        return (F.col(label) == c) & (F.col("fold") != f)
+
+    cells = {(c, f): f"c{i}_{f}" for i, c in enumerate(classes) for f in range(k)}
+    per_term = cut_lineage(
+        rows.select(label, "fold", F.inline(counted_terms(F.col(tokens))))
+        .groupBy("term")
+        .agg(*[F.sum(F.when(inside(c, f), F.col("n")).otherwise(0)).alias(name) for (c, f), name in cells.items()])
+    )
+    seen = [F.greatest(*[F.col(cells[c, f]) for c in classes]) > 0 for f in range(k)]
+    totals = per_term.agg(*[F.count_if(s).alias(f"v{f}") for f, s in enumerate(seen)], *[F.sum(n).alias(n) for n in cells.values()]).first()
+
+    def likelihood(c: str, f: int):
+        name = cells[c, f]
+        return F.log((F.col(name) + smoothing) / F.lit((totals[name] or 0) + totals[f"v{f}"] * smoothing))
+
+    models = [F.when(seen[f], F.struct(*[likelihood(c, f).alias(c) for c in classes])) for f in range(k)]
+    params = broadcast_if_small(per_term.select("term", F.array(*models).alias("models")))
+    counts = rows.agg(*[F.count_if(inside(c, f)).alias(name) for (c, f), name in cells.items()]).first()
+
+    def log_prior(c: str, f: int) -> float:
+        return math.log((counts[cells[c, f]] + smoothing) / (sum(counts[cells[x, f]] for x in classes) + smoothing * len(classes)))
+
+    model = F.get("models", F.col("fold"))
+    summed = (
+        rows.select(key, "fold", F.inline(counted_terms(F.col(tokens))))
+        .join(params, "term")
+        .groupBy(key)
+        .agg(*[F.sum(F.col("n") * model[c]).alias(c) for c in classes])
+    )
+    scored = rows.select(key, "fold", label).join(summed, key, "left")
+    prior = {c: F.get(F.array(*[F.lit(log_prior(c, f)) for f in range(k)]), F.col("fold")) for c in classes}
+    scored = scored.select(key, "fold", label, *[(F.coalesce(c, F.lit(0.0)) + prior[c]).alias(c) for c in classes])
+    best = F.greatest(*classes) if len(classes) > 1 else F.col(classes[0])
+    return scored.withColumn("prediction", F.coalesce(*[F.when(F.col(c) == best, F.lit(c)) for c in classes]))

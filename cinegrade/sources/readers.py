@@ -122,9 +122,17 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV table with a header line and a fixed schema."""
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=False)
+def read_table(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """CSV table with a header line and a fixed schema.
+
+    Bytes that are no UTF-8 are dropped. Quoted fields may hold line breaks; without `multi_line`
+    they may not, and large files are split.
+    """
+    table = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=multi_line)
+    strings = {name for name, kind in table.dtypes if kind == "string"}
+    return table.select(*[
+        F.replace(name, F.lit("\ufffd"), F.lit("")).alias(name) if name in strings else F.col(name) for name in table.columns
+    ])
 
 
 def word_vector_rows(lines: DataFrame) -> DataFrame:

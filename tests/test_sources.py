@@ -157,3 +157,10 @@ def test_guide_page(spark):
 
 def test_entities_do_not_decode_twice(spark):
     assert one(spark, "&amp;lt; &#60; &unknown; &#xD800; a&#b", H.decode_entities) == "&lt; < &unknown; &#xD800; a&#b"
+
+
+def test_table_with_line_breaks_and_broken_bytes(spark, tmp_path):
+    path = tmp_path / "records.csv"
+    path.write_bytes(b'TITLE,RATING,REASON,YEAR\n"A ""b"",\nc",R,caf\xff\xc3\xa9,1999\nD,PG,,2001\n')
+    rows = readers.read_table(spark, str(path), readers.RATING_RECORDS_SCHEMA).orderBy("YEAR").collect()
+    assert [tuple(r) for r in rows] == [('A "b",\nc', "R", "caf\u00e9", 1999), ("D", "PG", None, 2001)]
