@@ -98,7 +98,7 @@ def extract_grade(spark, d):
 def html_records(spark, d):
     """Navigation lists laid out as result pages; pages with a fragment address have none."""
     item = r'(?is)<li><a href="([^"]*)">([^<]*)</a></li>'
-    row = '<div style="width:1000px;"><span>$2</span><span>$1</span></div>'
+    row = '<div style="width:1000px;"><span><b>No.</b> <i>$2</i></span><div><span>$1</span></div></div>'
     rows = F.regexp_replace(H.inner(F.col("html"), "nav"), item, row)
     head = F.lit('<div style="width:1000px;"><span>TITLE</span><span>LINK</span></div>')
     page = F.when(F.contains("url", F.lit("#")), F.lit("<html><body></body></html>")).otherwise(
@@ -114,15 +114,15 @@ def html_records(spark, d):
 
 
 def page_sections(spark, d):
-    """Pages re-laid as guide pages: title, info boxes and comment sections of each."""
+    """Pages re-laid as guide pages: title, info boxes and comment sections of each, with elements inside."""
     src = F.col("html")
     page = F.concat(
         F.lit('<html><body><a class="main" href="/">'), H.inner(src, "title"),
-        F.lit('</a><div class="info"><h5>MPAA:</h5><div>'), H.inner(src, "div", 'class="ad"'),
-        F.lit('</div></div><div class="info"><h5>Web Address</h5><div>'), F.col("url"),
-        F.lit('</div></div><div id="swiki.2.1"><h3>Sex &amp; Nudity</h3><div class="display">'),
+        F.lit('</a><div class="info"><h5>MPAA:</h5><div><div>'), H.inner(src, "div", 'class="ad"'),
+        F.lit('</div> (rated)</div></div><div class="info"><h5>Web Address</h5><div>'), F.col("url"),
+        F.lit('</div></div><div id="swiki.2.1"><h3>Sex &amp; Nudity</h3><div class="display"><div>'),
         H.inner(src, "article"),
-        F.lit('</div></div><div id="swiki.2.2"><h3>Profanity</h3><div class="display"><p>'),
+        F.lit('</div><p>End</p></div></div><div id="swiki.2.2"><h3>Profanity</h3><div class="display"><p>'),
         H.inner(src, "footer"), F.lit("</p></div></div></body></html>"),
     )
     pages = T.table(spark, d, "pages").select("page_id", page.alias("html"))
@@ -262,12 +262,12 @@ ORACLES = {
         i AS (SELECT page_id, unnest(range(len(t))) AS pos, t, h FROM (
             SELECT page_id, regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t,
                 regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h FROM n))
-        SELECT page_id, pos, page_id % 49 + 1968 AS YEAR, replace(t[pos + 1], '&amp;', '&') AS TITLE, replace(h[pos + 1], '&amp;', '&') AS LINK FROM i""",
+        SELECT page_id, pos, page_id % 49 + 1968 AS YEAR, 'No. ' || replace(t[pos + 1], '&amp;', '&') AS TITLE, replace(h[pos + 1], '&amp;', '&') AS LINK FROM i""",
     "page_sections": f"""
         SELECT page_id, {T._decode_sql(T.inner_sql('title'))} AS title,
-            lower({T._decode_sql("regexp_replace(" + T.inner_sql('div', 'class="ad"') + ", '<[^>]*>', '', 'g')")}) AS mpaa_reason,
+            lower({T._decode_sql("regexp_replace(" + T.inner_sql('div', 'class="ad"') + ", '<[^>]*>', '', 'g')")}) || ' (rated)' AS mpaa_reason,
             lower(url) AS web_address,
-            array_to_string({T.strings_sql(T.inner_sql('article'))}, '|') AS sex_nudity,
+            array_to_string(list_append({T.strings_sql(T.inner_sql('article'))}, 'End'), '|') AS sex_nudity,
             array_to_string({T.strings_sql(T.inner_sql('footer'))}, '|') AS profanity
         FROM pages""",
     "certification_map": r"""

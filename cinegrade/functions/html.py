@@ -56,14 +56,14 @@ def stripped_strings(html: Column) -> Column:
 def last_wins(entries: Column) -> Column:
     """Map of (key, value) entries in which a later entry replaces an earlier one."""
 
-    def final(pairs: Column) -> Column:
-        def is_last(pair: Column, i: Column) -> Column:
-            later = F.slice(pairs, i + 2, F.size(pairs))
-            return ~F.exists(later, lambda o: o["key"] == pair["key"])
+    def final(placed: Column) -> Column:
+        def is_last(entry: Column, i: Column) -> Column:
+            return F.coalesce(F.get(placed, i + 1)["key"] != entry["key"], F.lit(True))
 
-        return F.filter(pairs, is_last)
+        return F.transform(F.filter(placed, is_last), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
 
-    return F.map_from_entries(F.flatten(F.transform(F.array(entries), final)))
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value"))))
+    return F.map_from_entries(F.flatten(F.transform(F.array(placed), final)))
 
 
 def _strip(text: Column) -> Column:
@@ -76,38 +76,68 @@ def inner(html: Column, tag: str, attribute: str = "") -> Column:
     return F.regexp_extract(html, rf"(?is)<{tag}{extra}>(.*?)</{tag}>", 1)
 
 
-def _chunks_after(html: Column, opening: str) -> Column:
-    """What follows each opening tag, up to the next one."""
-    return F.filter(F.split(html, opening), lambda _, i: i > 0)
+def element(html: Column, tag: str, attribute: str = "") -> Column:
+    """Content of the first element with this tag, up to the end tag that balances it; '' if there is none.
+
+    An element that is never closed goes to the end.
+    """
+    extra = rf"[^>]*{attribute}[^>]*" if attribute else r"(?:\s[^>]*)?"
+    rest = F.regexp_extract(html, rf"(?is)<{tag}{extra}>(.*)", 1)
+
+    def step(state: Column, piece: Column) -> Column:
+        """depth of open elements, and pieces that belong to the content"""
+        moved = F.when(piece.rlike(rf"(?i)^</{tag}"), -1).when(piece.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)
+        depth = F.when(state["depth"] > 0, state["depth"] + moved).otherwise(0)
+        return F.struct(depth.alias("depth"), (state["n"] + (depth > 0).cast("int")).alias("n"))
+
+    def content(pieces: Column) -> Column:
+        n = F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n")), step)["n"]
+        return F.array_join(F.slice(pieces, F.lit(1), n), "")
+
+    return F.transform(F.array(F.split(rest, rf"(?i)(?=</?{tag}\b)")), content)[0]
 
 
-def page_sections(html: Column, sections: dict[str, tuple[str, str]]) -> Column:
-    """Map of section name to its list of text pieces; absent sections are left out.
+def child_texts(html: Column) -> Column:
+    """Text of each element at the top of a fragment, with that of the elements inside it.
 
-    `sections` gives each name a (tag, attribute text).
+    Text beside the elements is left out; an end tag that closes more than was opened ends the fragment.
     """
-    shown = visible(html)
-    entries = [
-        F.struct(F.lit(name).alias("key"), stripped_strings(inner(shown, *where)).alias("value"))
-        for name, where in sections.items()
-    ]
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
+    void = r"(?is)^<(?:(?:br|hr|img|input|wbr|link|meta)\b|[^>]*/>|[^\w/])"
+
+    def step(state: Column, piece: Column) -> Column:
+        text = F.regexp_replace(piece, "^<[^>]*>", "")
+        depth, now = state["depth"], F.concat(state["now"], text)
+        opens = piece.startswith("<") & ~piece.startswith("</") & ~piece.rlike(void)
+        ends = piece.startswith("</") & (depth == 1)
+
+        def to(depth: Column, cells: Column, now: Column) -> Column:
+            return F.struct(depth.alias("depth"), cells.alias("cells"), now.alias("now"))
+
+        return (
+            F.when(depth < 0, state)
+            .when(opens, to(depth + 1, state["cells"], F.when(depth == 0, text).otherwise(now)))
+            .when(ends, to(depth - 1, F.array_append(state["cells"], state["now"]), F.lit("")))
+            .when(piece.startswith("</"), to(depth - 1, state["cells"], now))
+            .otherwise(to(depth, state["cells"], F.when(depth > 0, now).otherwise(F.lit(""))))
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("cells"), F.lit("").alias("now"))
+    return F.aggregate(F.split(html, "(?=<)"), start, step)["cells"]
+
+
+def _chunks_after(html: Column, opening: str) -> Column:
+    """What follows each opening tag, up to the next one."""
+    return F.filter(F.split(html, opening), lambda _, i: i > 0)
 
 
 def result_records(html: Column, marker: str = 'style="width:1000px;"') -> Column:
     """Rows of a result page as maps from header name to cell text.
 
-    Each marked `div` is a row of leaf cells; the first one holds the header. A page
-    without marked rows gives an empty list.
+    Each marked `div` is a row and each element in it a cell, with all text inside; the first row
+    holds the header. A page without marked rows gives an empty list.
     """
     chunks = _chunks_after(visible(html), rf"<div [^>]*{marker}[^>]*>")
-    cell = r"(?is)<(\w+)[^>]*>([^<]*)</\1>"
-    rows = F.transform(
-        chunks,
-        lambda c: F.transform(
-            F.regexp_extract_all(c, F.lit(cell), F.lit(2)), lambda t: decode_entities(t)
-        ),
-    )
+    rows = F.transform(chunks, lambda c: F.transform(child_texts(c), decode_entities))
 
     def records(all_rows: Column) -> Column:
         header = F.get(all_rows, 0)
@@ -140,7 +170,7 @@ def guide_info(html: Column) -> Column:
         key = craft_key(plain(inner(box, "h5")))
         return F.struct(
             F.when(key == "mpaa", "mpaa_reason").otherwise(key).alias("key"),
-            F.lower(plain(inner(box, "div"))).alias("value"),
+            F.lower(plain(element(box, "div"))).alias("value"),
         )
 
     return last_wins(F.transform(boxes, entry))
@@ -157,7 +187,7 @@ def guide_sections(html: Column) -> Column:
         heading = decode_entities(F.regexp_replace(inner(chunk, "h3"), "<[^>]*>", ""))
         return F.struct(
             craft_key(heading).alias("key"),
-            stripped_strings(inner(chunk, "div", 'class="display"')).alias("value"),
+            stripped_strings(element(chunk, "div", 'class="display"')).alias("value"),
         )
 
     return last_wins(F.transform(chunks, entry))

@@ -164,3 +164,17 @@ def test_table_with_line_breaks_and_broken_bytes(spark, tmp_path):
     path.write_bytes(b'TITLE,RATING,REASON,YEAR\n"A ""b"",\nc",R,caf\xff\xc3\xa9,1999\nD,PG,,2001\n')
     rows = readers.read_table(spark, str(path), readers.RATING_RECORDS_SCHEMA).orderBy("YEAR").collect()
     assert [tuple(r) for r in rows] == [('A "b",\nc', "R", "caf\u00e9", 1999), ("D", "PG", None, 2001)]
+
+
+def test_elements_inside_elements(spark):
+    box = '<div class="display"><p>one</p><div>two<div>three</div></div><p>four</p></div><div>no</div>'
+    assert one(spark, box, lambda c: H.element(c, "div", 'class="display"')) == "<p>one</p><div>two<div>three</div></div><p>four</p>"
+    assert one(spark, "<p>none</p>", lambda c: H.element(c, "div")) == ""
+    assert one(spark, "<div>open", lambda c: H.element(c, "div")) == "open"
+    cells = 'beside<span><b>A</b> film<br>x</span> <div><i>PG</i></div><span></span></div><span>after</span>'
+    assert one(spark, cells, H.child_texts) == ["A filmx", "PG", ""]
+
+
+def test_last_entry_wins(spark):
+    entries = "array(named_struct('key', 'b', 'value', 1), named_struct('key', 'a', 'value', 2), named_struct('key', 'b', 'value', 3))"
+    assert spark.range(1).select(H.last_wins(F.expr(entries)).alias("out")).first()["out"] == {"a": 2, "b": 3}
