@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
 from cinegrade.catalog.guide import _reasons
 from cinegrade.operators import joins, terms
 from cinegrade.operators import vectors as V
-from cinegrade.operators.scores import accuracy
+from cinegrade.operators.scores import accuracy, confusion_rates
 from cinegrade.operators.splits import train_test_split
 from cinegrade.plans import bayes, reasons
 from cinegrade.plans.ratings import extract_labels
 from cinegrade.sources import readers
 
 CLASSES = ["NOT_R", "R"]
+DIMENSIONS = ["quality", "toxic"]
 
 
 def term_counts(spark, d):
@@ -122,6 +124,17 @@ def nb_cv_scores(spark, d):
         F.col("fold").cast("long").alias("fold"), "n", F.round("accuracy", 9).alias("accuracy"), F.round(mean, 9).alias("mean_accuracy"))
 
 
+def nb_dimension_scores(spark, d):
+    """Accuracy, precision, false and true positive rate of each dimension, every document judged by the other folds."""
+    labels, parts = T.table(spark, d, "labels"), []
+    for dimension in DIMENSIONS:
+        marked = labels.where(F.col(dimension).isNotNull()).select("doc_id", F.when(F.col(dimension) == 1, "yes").otherwise("no").alias("mark"))
+        scored = bayes.out_of_fold(T.labelled_tokens(spark, d, marked), ["no", "yes"], "mark", "tokens", "doc_id", k=3)
+        parts.append(scored.select(F.lit(dimension).alias("dimension"), *[(F.col(c) == "yes").cast("int").alias(a) for c, a in (("mark", "label"), ("prediction", "prediction"))]))
+    rates = confusion_rates(reduce(DataFrame.unionByName, parts), "dimension")
+    return rates.select("dimension", "tp", "fp", "tn", "fn", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "fp_rate", "tp_rate")])
+
+
 def _vectors(spark, d):
     """Embeddings as lines of a word-vector file, read back."""
     rows = T.table(spark, d, "embeddings")
@@ -164,7 +177,7 @@ QUERIES = {
     for f in (
         tfidf_terms, term_counts, doc_freq, feature_moments, standardise, bounded_vocab, tfidf_l2, key_words,
         bigram_counts, hashing_tf, naive_bayes_params, naive_bayes_predict,
-        nb_holdout_accuracy, nb_fold_predictions, nb_cv_scores, word_vectors,
+        nb_holdout_accuracy, nb_fold_predictions, nb_cv_scores, nb_dimension_scores, word_vectors,
         vocab_vectors, cosine_pairs, vector_groups, pca_2d, kmeans_6,
     )
 }
@@ -191,9 +204,10 @@ def _bayes(where: str) -> str:
     p AS (SELECT c.term, ln((c.r + 1)::DOUBLE / (s.r + s.v)) AS r, ln((c.o + 1)::DOUBLE / (s.o + s.v)) AS o FROM c, s)"""
 
 
-_FOLDS = f"""
+def _folds(source: str, positive: str) -> str:
+    return f"""
     t AS MATERIALIZED ({T.TERMS_SQL}),
-    l AS MATERIALIZED (SELECT doc_id, CASE WHEN rating = 'R' THEN 'R' ELSE 'NOT_R' END AS rating, {T.hash_sql('doc_id')} % 3 AS fold FROM ({T.VALID_SQL})),
+    l AS MATERIALIZED (SELECT doc_id, CASE WHEN {positive} THEN 'R' ELSE 'NOT_R' END AS rating, {T.hash_sql('doc_id')} % 3 AS fold FROM {source}),
     f AS (SELECT unnest(range(3)) AS fold),
     c AS (SELECT f.fold, term, sum(CASE WHEN rating = 'R' THEN n ELSE 0 END) AS r, sum(CASE WHEN rating = 'R' THEN 0 ELSE n END) AS o
         FROM f JOIN l ON l.fold <> f.fold JOIN t USING (doc_id) GROUP BY f.fold, term),
@@ -207,6 +221,20 @@ _FOLDS = f"""
         FROM l JOIN k USING (fold) LEFT JOIN z USING (doc_id)),
     j AS (SELECT *, CASE WHEN o >= r THEN 'NOT_R' ELSE 'R' END AS prediction FROM q)"""
 
+
+_FOLDS = _folds(f"({T.VALID_SQL})", "rating = 'R'")
+
+
+def _dimension(name: str) -> str:
+    return f"""
+        WITH {_folds(f"(SELECT * FROM labels WHERE {name} IS NOT NULL)", f"{name} = 1")},
+        n AS (SELECT count(*) FILTER (rating = 'R' AND prediction = 'R') AS tp, count(*) FILTER (rating <> 'R' AND prediction = 'R') AS fp,
+                count(*) FILTER (rating <> 'R' AND prediction <> 'R') AS tn, count(*) FILTER (rating = 'R' AND prediction <> 'R') AS fn FROM j)
+        SELECT '{name}' AS dimension, tp, fp, tn, fn, round((tp + tn)::DOUBLE / nullif(tp + fp + tn + fn, 0), 9) AS accuracy,
+            round(tp::DOUBLE / nullif(tp + fp, 0), 9) AS "precision", round(fp::DOUBLE / nullif(fp + tn, 0), 9) AS fp_rate,
+            round(tp::DOUBLE / nullif(tp + fn, 0), 9) AS tp_rate FROM n"""
+
+
 _TRAIN = f"{T.hash_sql('doc_id', 1)} / 4294967296.0::DOUBLE >= 0.2"
 
 from cinegrade.catalog.guide import _REASONS  # noqa: E402
@@ -264,6 +292,7 @@ ORACLES = {
         WITH {_FOLDS},
         a AS (SELECT fold, count(*) AS n, avg(CASE WHEN rating = prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy FROM j GROUP BY fold)
         SELECT fold, n, round(accuracy, 9) AS accuracy, round((SELECT avg(accuracy) FROM a), 9) AS mean_accuracy FROM a""",
+    "nb_dimension_scores": " UNION ALL ".join(f"SELECT * FROM ({_dimension(name)})" for name in DIMENSIONS),
     "word_vectors": """
         SELECT 'w' || vec_id AS word, i - 1 AS pos, round(embedding[i]::DOUBLE, 9) AS x
         FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",

@@ -120,21 +120,18 @@ def page_sections(spark, d):
         F.lit('<html><body><a class="main" href="/">'), H.inner(src, "title"),
         F.lit('</a><div class="info"><h5>MPAA:</h5><div><div>'), H.inner(src, "div", 'class="ad"'),
         F.lit('</div> (rated)</div></div><div class="info"><h5>Web Address</h5><div>'), F.col("url"),
+        F.lit('</div></div><div class="info"><h5>Certification:</h5><div>UK:15 / USA:'), (F.col("page_id") % 18).cast("string"),
         F.lit('</div></div><div id="swiki.2.1"><h3>Sex &amp; Nudity</h3><div class="display"><div>'),
         H.inner(src, "article"),
         F.lit('</div><p>End</p></div></div><div id="swiki.2.2"><h3>Profanity</h3><div class="display"><p>'),
         H.inner(src, "footer"), F.lit("</p></div></div></body></html>"),
     )
     pages = T.table(spark, d, "pages").select("page_id", page.alias("html"))
-    guide = pages.select(
-        "page_id",
-        H.guide_title(F.col("html")).alias("title"),
-        H.guide_info(F.col("html")).alias("info"),
-        H.guide_sections(F.col("html")).alias("sections"),
-    )
+    guide = pages.select("page_id", H.guide_record(F.col("html")).alias("r")).select("page_id", "r.*")
     return guide.select(
         "page_id", "title",
         F.col("info")["mpaa_reason"].alias("mpaa_reason"), F.col("info")["web_address"].alias("web_address"),
+        F.col("certification")["usa"].alias("usa"),
         F.array_join(F.col("sections")["sex_nudity"], "|").alias("sex_nudity"),
         F.array_join(F.col("sections")["profanity"], "|").alias("profanity"),
     )
@@ -266,7 +263,7 @@ ORACLES = {
     "page_sections": f"""
         SELECT page_id, {T._decode_sql(T.inner_sql('title'))} AS title,
             lower({T._decode_sql("regexp_replace(" + T.inner_sql('div', 'class="ad"') + ", '<[^>]*>', '', 'g')")}) || ' (rated)' AS mpaa_reason,
-            lower(url) AS web_address,
+            lower(url) AS web_address, CAST(page_id % 18 AS VARCHAR) AS usa,
             array_to_string(list_append({T.strings_sql(T.inner_sql('article'))}, 'End'), '|') AS sex_nudity,
             array_to_string({T.strings_sql(T.inner_sql('footer'))}, '|') AS profanity
         FROM pages""",

@@ -204,3 +204,14 @@ def certification_map(text: Column) -> Column:
         lambda e: F.struct(craft_key(e[0]).alias("key"), e[1].alias("value")),
     )
     return last_wins(named)
+
+
+def guide_record(html: Column) -> Column:
+    """A guide page as one record: title, info boxes, certifications as a map, and comment sections."""
+    info = guide_info(html)
+    return F.struct(
+        guide_title(html).alias("title"),
+        F.map_filter(info, lambda k, _: k != "certification").alias("info"),
+        certification_map(F.try_element_at(info, F.lit("certification"))).alias("certification"),
+        guide_sections(html).alias("sections"),
+    )

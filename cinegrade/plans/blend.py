@@ -26,6 +26,7 @@ from cinegrade.fixed_values import BLEND_FOLDS
 from cinegrade.operators.splits import key_hash
 from cinegrade.plans.ratings import probability, shared_stages
 from cinegrade.plans.search import cv_scores, mean_scores
+from cinegrade.session import broadcast_if_small, cut_lineage
 
 
 def fold_of(key: str, label: str, k: int, seed: int) -> Column:
@@ -117,6 +118,7 @@ def oof_target_mean(
     known = F.filter("means", lambda m: m.isNotNull())
     average = F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, m: s + m), F.size(known))
     value = F.when(fold.isNotNull(), F.get("means", fold)).otherwise(average)
+    means = broadcast_if_small(cut_lineage(means))  # few buckets: rows need no shuffle by them
     return rows.join(means, bucket, "left").select(key, value.alias("blend"))
 
 

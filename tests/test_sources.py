@@ -152,6 +152,9 @@ def test_guide_page(spark):
     info = one(spark, GUIDE, H.guide_info)
     assert info["mpaa_reason"] == "rated r for violence"
     assert one(spark, info["certification"], H.certification_map) == {"usa": "pg", "uk": "15", "west_germany": "12:a"}
+    record = one(spark, GUIDE, H.guide_record)
+    assert record["title"] == "The Film" and record["info"].keys() == {"mpaa_reason"} and record["certification"]["usa"] == "pg"
+    assert one(spark, "<p>none</p>", H.guide_record)["certification"] is None
     assert one(spark, GUIDE, H.guide_sections) == {"violence_gore": ["A fight & a féte", "More"], "profanity": ["None"]}
 
 
