@@ -297,6 +297,17 @@ def _joined_leaves(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     return ordered.mapInArrow(lambda b: _leaf_links(b, t), "u bigint, v bigint")
 
 
+def _once(members: DataFrame) -> DataFrame:
+    """One row for each (group, sig): rows repeat with their id and text, and copies may all be without an id."""
+    key = ["group", "sig"]
+    repeats = written(members.groupBy(key).agg(F.count("*").alias("times")).where("times > 1").select(key), "repeats")
+    if repeats.isEmpty():
+        return members
+    repeats = hinted(repeats, 64)
+    once = members.join(repeats, key).dropDuplicates(key).unionByName(members.join(repeats, key, "left_anti"))
+    return written(once.select(members.columns), "once")
+
+
 def _split(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members of groups that fit in a leaf, and of those that don't."""
     sizes = members.groupBy("group").agg(F.count("*").alias("size"), F.sum(F.size("elements")).alias("total"))
@@ -381,7 +392,7 @@ def jaccard_groups(docs: DataFrame, words_each: int = 5, at_least: tuple[int, in
     found = rows.mapInArrow(lambda b: _sets(b, words_each, wanted), "doc_id bigint, sig bigint, elements array<bigint>")
     g = groups.select(F.col("root").alias("group"), F.col("node").alias("sig"), "n", F.col("doc_id").alias("of"))
     members = found.join(hinted(g, 64), "sig").where("doc_id <=> of").select("group", "sig", "n", "elements")
-    leaves, large = _split(written(members, "members"))
+    leaves, large = _split(_once(written(members, "members")))
     links = written(_joined_leaves(leaves, t), "links")
     while not large.isEmpty():
         star, below = _recursed(large, t)

@@ -72,6 +72,19 @@ def test_recursion_and_hot_regions_equal_brute_force(spark, monkeypatch):
     assert groups(spark, rows, 3, (9, 10)) == brute(rows, 3, (9, 10))
 
 
+def test_repeated_rows_in_recursion_equal_brute_force(spark, monkeypatch):
+    """Rows with the same id and text, and copies without ids, count once in the windows of large groups."""
+    draw = random.Random(11)
+    rows = []
+    for i, text in corpus(4, n_bases=4, copies=60, length=40):
+        i = None if i % 4 == 0 else i
+        rows += [(i, text)] * draw.choice((1, 4, 9))
+    for name, value in (("LEAF", 4), ("REGION", 3), ("HOT", 4), ("HOT_LOCAL", 2)):
+        monkeypatch.setattr(J, name, value)
+    assert groups(spark, rows, 3, (9, 10)) == brute(rows, 3, (9, 10))
+    assert groups(spark, rows, 3, (4, 5)) == brute(rows, 3, (4, 5))
+
+
 def test_hot_list_bound_changes_no_result(spark, monkeypatch):
     rows = corpus(5)
     monkeypatch.setattr(J, "HOT_LIST", 1)
