@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
 from cinegrade.catalog.guide import _comments
-from cinegrade.fixed_values import NUM_FEATURES
+from cinegrade.fixed_values import NUM_FEATURES, SEARCH_MIN_DOC_FREQ
 from cinegrade.functions.text import clean_tokens, remove_stop_words
 from cinegrade.operators.splits import key_hash
 from cinegrade.plans import blend, docvectors, guide, paragraphs, ratings, search
@@ -71,11 +71,8 @@ def holdout_accuracy(spark, d):
 
 
 def cv_scores(spark, d):
-    pipelines = {
-        "naive_bayes": ratings.rating_pipeline("naive_bayes", FEATURES),
-        "log_reg": ratings.rating_pipeline("log_reg", FEATURES),
-        "rf": ratings.rating_pipeline("rf", FEATURES),
-    }
+    models = ("naive_bayes", "log_reg", "gbt", "rf", "mlp")
+    pipelines = {m: ratings.rating_pipeline(m, FEATURES, {"min_doc_freq": SEARCH_MIN_DOC_FREQ}) for m in models}
     return search.cv_scores(_rows(spark, d), pipelines, "doc_id")
 
 

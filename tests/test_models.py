@@ -9,6 +9,7 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import functions as F
 
+from cinegrade.catalog import models as registered
 from cinegrade.operators import scores, splits, terms
 from cinegrade.plans import bayes, blend, docvectors, ratings, search
 from cinegrade.plans.paragraphs import paragraph_vectors
@@ -159,6 +160,20 @@ def test_search(docs):
     assert [r["layers"] for r in layers] == ["32-4-2", "32-2"] and all(0 <= r["accuracy"] <= 1 for r in layers)
 
 
+def test_registered_comparison_covers_all_models_and_rare_terms(docs, monkeypatch):
+    """The registered comparison has each model at its full size, over terms of 20 documents or more."""
+    given = {}
+    monkeypatch.setattr(registered, "_rows", lambda spark, d: docs)
+    monkeypatch.setattr(search, "cv_scores", lambda rows, pipelines, key: given.update(pipelines))
+    registered.cv_scores(docs.sparkSession, "")
+    assert {"gbt", "rf", "mlp"} <= set(given)
+    for pipeline in given.values():
+        hashed, idf = pipeline.getStages()[1:3]
+        assert (hashed.getNumFeatures(), idf.getMinDocFreq()) == (10_000, 20)
+    last = given["mlp"].getStages()[-1]
+    assert (last.getLayers(), last.getMaxIter(), given["gbt"].getStages()[-1].getMaxIter()) == ([10_000, 100, 2], 100, 20)
+
+
 def test_model_is_saved_once(docs, tmp_path):
     rows = docs.withColumn("label", (F.col("rating") == "R").cast("double"))
     path = str(tmp_path / "model")
