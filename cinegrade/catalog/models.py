@@ -132,7 +132,7 @@ def doc_vectors(spark, d):
 def paragraph_vectors(spark, d):
     """Paragraph vectors of all comments of one corpus, as text."""
     corpus = guide.training_corpus(_comments(spark, d))
-    vectors = paragraphs.paragraph_vectors(corpus, size=16, epochs=2)
+    vectors = paragraphs.paragraph_vectors(corpus)
     return vectors.select("sentence_tag", F.array_join(F.col("doc_vector").cast("array<string>"), " ").alias("doc_vector"))
 
 

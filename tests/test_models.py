@@ -212,6 +212,16 @@ def test_paragraph_vectors_separate_topics(docs, buckets):
         assert same > other + 0.3
 
 
+def test_registered_paragraph_vectors_use_the_defaults(docs, monkeypatch):
+    given = []
+    monkeypatch.setattr(registered, "_comments", lambda spark, d: docs)
+    monkeypatch.setattr(registered.guide, "training_corpus", lambda comments: comments)
+    monkeypatch.setattr(registered.paragraphs, "paragraph_vectors", lambda corpus, **sizes: given.append(sizes) or docs.select(
+        F.col("id").alias("sentence_tag"), F.array(F.lit(0.0)).alias("doc_vector")))
+    registered.paragraph_vectors(docs.sparkSession, "")
+    assert given == [{}]
+
+
 def test_paragraph_vectors_keep_empty_documents(spark):
     corpus = spark.createDataFrame([("a", []), ("b", ["x", "y", "x"]), ("c", ["rare"])], "sentence_tag STRING, clean_comment ARRAY<STRING>")
     got = paragraph_vectors(corpus, size=4, epochs=1, min_count=2, partitions=2).collect()
