@@ -174,6 +174,14 @@ def test_registered_comparison_covers_all_models_and_rare_terms(docs, monkeypatc
     assert (last.getLayers(), last.getMaxIter(), given["gbt"].getStages()[-1].getMaxIter()) == ([10_000, 100, 2], 100, 20)
 
 
+def test_registered_layer_search_uses_the_defaults(docs, monkeypatch):
+    given = []
+    monkeypatch.setattr(registered, "_rows", lambda spark, d: docs)
+    monkeypatch.setattr(search, "layer_search", lambda rows, *key, **sizes: given.append((key, sizes)))
+    registered.layer_search(docs.sparkSession, "")
+    assert given == [(("doc_id",), {})]
+
+
 def test_model_is_saved_once(docs, tmp_path):
     rows = docs.withColumn("label", (F.col("rating") == "R").cast("double"))
     path = str(tmp_path / "model")
