@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cinegrade.llm import (
     chunked_bpe,
+    divergence_audit,
     exact_dedup,
     jaccard_join,
     language_bits,
     license_scan,
     mixing,
     ordinal,
+    pu_toxicity,
     token_counts,
     token_files,
     tree_rules,
@@ -33,11 +35,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), file_bytes("piece_bpe_32k.model"))
 
 
+def held_out_rows() -> Column:
+    """Rows that teach nothing: the checksum of the id leaves 2."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def op2_language_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    fitted = language_bits.fit_filter(docs.where(~held_out).select("lang", "text"))
-    return language_bits.predict(docs, fitted, held_out=held_out)
+    fitted = language_bits.fit_filter(docs.where(~held_out_rows()).select("lang", "text"))
+    return language_bits.predict(docs, fitted, held_out=held_out_rows())
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +88,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), words_each=3, at_least=(9, 10))
 
 
+def op11_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = pu_toxicity.fit_toxicity(docs.where(~held_out_rows()), labels.where(~held_out_rows()))
+    return pu_toxicity.predict(docs, model, held_out_rows())
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_language_bits, op3_license_scan, op4_tree_rules, op5_ordinal_grades,
-    op6_chunked_bpe, op7_temperature_mixing, op8_token_files, op9_exact_dedup, op10_jaccard_join,
+    op6_chunked_bpe, op7_temperature_mixing, op8_token_files, op9_exact_dedup, op10_jaccard_join, op11_pu_toxicity,
+    op13_divergence_audit,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
 
@@ -94,6 +111,36 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op13_divergence_audit": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+occurring AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM occurring GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counted AS (SELECT lang, source, term, count(*) AS n FROM occurring JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grid AS (
+    SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source)::HUGEINT AS n_all, v
+    FROM groups JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN counted USING (lang, source, term)),
+shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (n_all + 2 * v) AS p,
+           1 + (1000000000 * (sum(n) OVER (PARTITION BY lang, term)::HUGEINT + 2)) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + 2 * v) AS q
+    FROM grid),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM parts)
+WHERE part = 'pair' OR rank <= 10
 """,
 }
 if corpus_pipeline.ORACLE_SQL:
