@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cinegrade.llm import (
     chunked_bpe,
+    conversation_repair,
     divergence_audit,
     exact_dedup,
     jaccard_join,
@@ -94,13 +95,18 @@ def op11_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_toxicity.predict(docs, model, held_out_rows())
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(rows, conversation_repair.damaged(rows))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.audit(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_language_bits, op3_license_scan, op4_tree_rules, op5_ordinal_grades,
-    op6_chunked_bpe, op7_temperature_mixing, op8_token_files, op9_exact_dedup, op10_jaccard_join, op11_pu_toxicity,
+    op6_chunked_bpe, op7_temperature_mixing, op8_token_files, op9_exact_dedup, op10_jaccard_join, op11_pu_toxicity, op12_conversation_repair,
     op13_divergence_audit,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
@@ -111,6 +117,72 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::UBIGINT)),
+               lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: 0::UBIGINT)),
+                   lambda d, z: xor(d >> 1, 3988292384::UBIGINT * (d & 1)))), 4294967295::UBIGINT) % 20 AS kind
+    FROM conversations),
+rows AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM keyed, unnest(CASE WHEN kind = 0 THEN []::INT[] WHEN kind = 3 THEN [1, 2] ELSE [1] END) WHERE kind <> 0),
+numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(length(role) || ':' || role || text)) AS i,
+           regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS ending FROM rows),
+faults AS (
+    SELECT conv_id, turn, role, text, i,
+           CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial,
+           CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS beside
+    FROM numbered),
+facts AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (beside NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id),
+-- cost to go from the states before row i: b (nothing), s, u, a; and what each edit of the row costs
+costs AS (
+    SELECT conv_id, n + 1 AS i, 0 AS b, 10 AS s, 5 AS u, 0 AS a, '' AS eb, 'I' AS es, 'I' AS eu, '' AS ea FROM facts
+    UNION ALL
+    SELECT conv_id, i, least(b0, 5 + least(u0, 5 + a0)), least(s0, 5 + least(u0, 5 + a0)), least(u0, 5 + a0), least(a0, 5 + u0),
+           CASE WHEN db <= b0 AND db <= 5 + least(u0, 5 + a0) THEN 'D' WHEN 5 + least(u0, 5 + a0) <= b0 THEN 'I' WHEN kb <= b0 THEN 'K' ELSE 'R' END,
+           CASE WHEN ds <= s0 AND ds <= 5 + least(u0, 5 + a0) THEN 'D' WHEN 5 + least(u0, 5 + a0) <= s0 THEN 'I' WHEN ks <= s0 THEN 'K' ELSE 'R' END,
+           CASE WHEN du <= u0 AND du <= 5 + a0 THEN 'D' WHEN 5 + a0 <= u0 THEN 'I' WHEN ku <= u0 THEN 'K' ELSE 'R' END,
+           CASE WHEN da <= a0 AND da <= 5 + u0 THEN 'D' WHEN 5 + u0 <= a0 THEN 'I' WHEN ka <= a0 THEN 'K' ELSE 'R' END
+    FROM (
+        SELECT *, least(db, kb, ru) AS b0, least(ds, ks, ru) AS s0, least(du, ku, ra) AS u0, least(da, ka, ru) AS a0
+        FROM (
+            SELECT c.conv_id, f.i, 2 + c.b AS db, 2 + c.s AS ds, 2 + c.u AS du, 2 + c.a AS da, h + 1 + c.u AS ru, h + 1 + c.a AS ra,
+                   CASE initial WHEN 's' THEN h + c.s WHEN 'u' THEN h + c.u ELSE 1000000000 END AS kb,
+                   CASE initial WHEN 'u' THEN h + c.u ELSE 1000000000 END AS ks, CASE initial WHEN 'a' THEN h + c.a ELSE 1000000000 END AS ku,
+                   CASE initial WHEN 'u' THEN h + c.u ELSE 1000000000 END AS ka
+            FROM costs c JOIN (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 5 ELSE 1000000 END AS h FROM faults) f
+              ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.i - 1))),
+walk AS (
+    SELECT conv_id, 1::BIGINT AS i, 'b' AS state, 0 AS step, '' AS edit, '' AS line FROM facts
+    UNION ALL
+    SELECT w.conv_id, w.i + (e <> 'I')::INT, CASE WHEN e = 'D' THEN w.state WHEN e = 'K' THEN f.initial WHEN w.state = 'u' THEN 'a' ELSE 'u' END,
+           w.step + 1, e, CASE WHEN e = 'D' THEN NULL WHEN e = 'K' THEN f.role || ':' || f.text
+                               ELSE CASE w.state WHEN 'u' THEN 'assistant:' ELSE 'user:' END || CASE e WHEN 'R' THEN f.text ELSE '' END END
+    FROM (
+        SELECT w.*, CASE w.state WHEN 'b' THEN c.eb WHEN 's' THEN c.es WHEN 'u' THEN c.eu ELSE c.ea END AS e
+        FROM walk w JOIN costs c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i) w
+    LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i
+    WHERE e <> ''),
+audits AS (
+    SELECT conv_id, string_agg(edit, '' ORDER BY step) AS audit, sha256(coalesce(string_agg(line, chr(10) ORDER BY step) FILTER (step > 0), '')) AS repaired_sha256
+    FROM walk GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(c.b, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN costs c ON c.conv_id IS NOT DISTINCT FROM o.conv_id AND c.i = 1
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
 """,
     "op13_divergence_audit": r"""
 WITH docs AS (
