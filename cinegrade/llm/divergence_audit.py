@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 
 from cinegrade.llm.common import bitmap, in_bitmap, slices, utf8, written
 
-FIRST_WIDTH = 4
+FIRST_WIDTH = 6
 MAX_BITS = 1 << 26
 TERMS, SOURCES = 2048, 128
 SCALE = 1_000_000_000
-_FLUSH = 200_000
+GATHERED = 8 << 20  # bytes of documents' terms that a task counts together
 _CUT = bytes(c if c > 0x7F or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 
 
@@ -53,95 +53,124 @@ def terms_of(text: bytes) -> list[bytes]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         counted = [Counter(terms_of(t)) for t in utf8(part.column("text"))]
-        ends = np.cumsum([0, *map(len, counted)]).astype(np.int32)
-        names = pa.array([t for c in counted for t in c], pa.binary())
-        times = pa.array([n for c in counted for n in c.values()], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [part.column("lang"), part.column("source"), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, times)],
-            names=["lang", "source", "terms", "times"])
+        terms = pa.array([b" ".join(c) for c in counted], pa.binary())
+        times = pa.array([np.fromiter(c.values(), "<i8", len(c)).tobytes() for c in counted], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("source"), terms, times], names=["lang", "source", "terms", "times"])
 
 
 def cut_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, distinct terms and how often each occurs, for each row of docs."""
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    return docs.select(*named).mapInArrow(_cut, "lang string, source string, terms array<binary>, times array<bigint>")
-
-
-def key_hash(group: bytes, name: bytes) -> int:
-    """What Spark's xxhash64 gives for a string and a binary column, as an unsigned number."""
-    return xxhash.xxh64_intdigest(name, xxhash.xxh64_intdigest(group, 42))
-
+    """lang, source, distinct terms and how often each occurs, for each row of docs.
 
-def _coded(column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
-    coded = column.cast(pa.binary()).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-
-
-class _Batch:
-    """The term occurrences of a batch as numbers, and the distinct (group, term) pairs among them."""
+    Terms hold no space, so one stands between each two; the times are 64-bit numbers. Spark passes both on as they are.
+    """
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
+    return docs.select(*named).mapInArrow(_cut, "lang string, source string, terms binary, times binary")
 
-    def __init__(self, part: pa.RecordBatch, groups: pa.Array):
-        lists = part.column("terms")
-        self.lengths = np.diff(lists.offsets.to_numpy())
-        code, self.terms = _coded(lists.flatten())
-        group, self.groups = _coded(groups)
-        self.row = np.repeat(np.arange(part.num_rows), self.lengths)
-        distinct, self.pair = np.unique(group[self.row] * max(len(self.terms), 1) + code, return_inverse=True)
-        self.pairs = [(self.groups[k // len(self.terms)], self.terms[k % len(self.terms)]) for k in distinct.tolist()]
 
+def _coded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
-def _alive(pairs: list[tuple[bytes, bytes]], bits: np.ndarray | None) -> np.ndarray:
-    if bits is None:
-        return np.ones(len(pairs), dtype=bool)
-    return in_bitmap(bits, np.fromiter((key_hash(g, n) for g, n in pairs), np.uint64, len(pairs)))
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = GATHERED) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their terms take `most` bytes: the more documents together, the fewer distinct terms each.
 
-def _sent(counts: Counter, kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
-    columns = [list(c) for c in zip(*(key + (n,) for key, n in counts.items()))] or [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).cast(k) if k == pa.string() else pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    Rows without a term are left out.
+    """
+    held, n = [], 0
+    for batch in batches:
+        batch = batch.filter(pc.greater(pc.binary_length(batch.column("terms")), 0))
+        held.append(batch)
+        n += pc.sum(pc.binary_length(batch.column("terms"))).as_py() or 0
+        if n >= most:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+            pa.default_memory_pool().release_unused()
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _rows_and_terms(batch: pa.RecordBatch, longer: int = 0) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each term of each document of more than `longer` bytes: the row and the term's number; and the distinct terms."""
+    lists = pc.split_pattern(batch.column("terms"), " ")
+    row, flat = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+    if longer:
+        there = pc.greater(pc.binary_length(flat), longer)
+        row, flat = row[there.to_numpy(zero_copy_only=False)], flat.filter(there)
+    return row, *_coded(flat)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by a sort."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=-1))]
+
+
+def _alive(langs: pa.Array, names: pa.Array, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which keys (number of the language times the number of names, plus that of the name) are in the bit set."""
+    distinct = _distinct(keys)
+    seeds = [xxhash.xxh64_intdigest(g, 42) for g in langs.cast(pa.binary()).to_pylist()]
+    lang, name = np.divmod(distinct, max(len(names), 1))
+    hashes = (xxhash.xxh64_intdigest(x, seeds[g]) for g, x in zip(lang.tolist(), names.take(pa.array(name)).to_pylist()))
+    alive = in_bitmap(bits, np.fromiter(hashes, np.uint64, len(distinct)))
+    return alive[np.searchsorted(distinct, keys)]
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], before: int, width: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Documents that hold each prefix of `width` bytes whose first `before` bytes are alive, and each term that ends there."""
-    counts: Counter = Counter()
-    kinds, names = [pa.string(), pa.binary(), pa.bool_(), pa.int64()], ["lang", "prefix", "complete", "docs"]
-    for part in slices(batches):
-        b = _Batch(part, part.column("lang"))
-        numbers: dict[tuple[bytes, bytes, bool], int] = {}
-        number = np.full(len(b.pairs), -1)
-        longer = [k for k, (_, term) in enumerate(b.pairs) if len(term) > before]
-        alive = _alive([(b.pairs[k][0], b.pairs[k][1][:before]) for k in longer], bits)
-        for k in np.array(longer, dtype=np.int64)[alive].tolist():
-            lang, term = b.pairs[k]
-            number[k] = numbers.setdefault((lang, term[:width], len(term) <= width), len(numbers))
-        found = number[b.pair]
-        held = np.unique(b.row[found >= 0] * max(len(numbers), 1) + found[found >= 0])  # a document counts once
-        docs = np.bincount(held % max(len(numbers), 1), minlength=len(numbers))
-        counts.update(dict(zip(numbers, docs.tolist())))
-        if len(counts) >= _FLUSH:
-            yield _sent(counts, kinds, names)
-            counts = Counter()
-    yield _sent(counts, kinds, names)
+    for batch in _gathered(batches):
+        row, code, terms = _rows_and_terms(batch, before)
+        lang_of_row, langs = _coded(batch.column("lang"))
+        size = pc.binary_length(terms).to_numpy(zero_copy_only=False)
+        prefix, prefixes = _coded(pc.binary_slice(terms, 0, width))
+        item = 2 * prefix + (size <= width)
+        if before:
+            parent, parents = _coded(pc.binary_slice(terms, 0, before))
+            alive = _alive(langs, parents, lang_of_row[row] * max(len(parents), 1) + parent[code], bits)
+            row, code = row[alive], code[alive]
+        n_items = max(2 * len(prefixes), 1)
+        held_row, held = np.divmod(_distinct(row * n_items + item[code]), n_items)  # a document counts once
+        key, docs = np.unique(lang_of_row[held_row] * n_items + held, return_counts=True)
+        lang, held = np.divmod(key, n_items)
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(lang)), prefixes.take(pa.array(held // 2)), pa.array(held % 2 == 1), pa.array(docs.astype(np.int64))],
+            names=["lang", "prefix", "complete", "docs"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each term in each language and source, of terms that may be kept."""
-    counts: Counter = Counter()
-    kinds, names = [pa.string(), pa.string(), pa.binary(), pa.int64()], ["lang", "source", "term", "n"]
-    for part in slices(batches):
-        lang, langs = _coded(part.column("lang"))
-        source, sources = _coded(part.column("source"))
-        b = _Batch(part, pa.array(lang * max(len(sources), 1) + source).cast(pa.string()))
-        total = np.zeros(len(b.pairs), dtype=np.int64)
-        np.add.at(total, b.pair, part.column("times").flatten().to_numpy())
-        places = [divmod(int(g), len(sources)) for g, _ in b.pairs]
-        alive = _alive([(langs[p[0]], term) for p, (_, term) in zip(places, b.pairs)], bits)
-        for k in np.flatnonzero(alive).tolist():
-            counts[langs[places[k][0]], sources[places[k][1]], b.pairs[k][1]] += int(total[k])
-        if len(counts) >= _FLUSH:
-            yield _sent(counts, kinds, names)
-            counts = Counter()
-    yield _sent(counts, kinds, names)
+    """For each term that may be kept, in each language: the sources that use it, and how often."""
+    for batch in _gathered(batches):
+        row, code, terms = _rows_and_terms(batch)
+        lang_of_row, langs = _coded(batch.column("lang"))
+        source_of_row, sources = _coded(batch.column("source"))
+        n_terms, n_sources = max(len(terms), 1), max(len(sources), 1)
+        key = (lang_of_row[row] * n_terms + code) * n_sources + source_of_row[row]
+        order = np.argsort(key)
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        times = np.frombuffer(b"".join(batch.column("times").to_pylist()), "<i8")[order]
+        key, times = key[order][first], np.add.reduceat(times, first) if len(first) else times
+        pair, source = np.divmod(key, n_sources)
+        alive = _alive(langs, terms, pair, bits)
+        pair, source, times = pair[alive], source[alive], times[alive]
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        ends = pa.array(np.append(starts, len(pair)).astype(np.int32))
+        lang, term = np.divmod(pair[starts], n_terms)
+        yield pa.RecordBatch.from_arrays(
+            [langs.take(pa.array(lang)), terms.take(pa.array(term)),
+             pa.ListArray.from_arrays(ends, sources.take(pa.array(source))), pa.ListArray.from_arrays(ends, pa.array(times))],
+            names=["lang", "term", "sources", "times"])
+
+
+def term_counts(cut: DataFrame, kept: DataFrame) -> DataFrame:
+    """lang, source, term and occurrences n of the kept terms.
+
+    A term's sources travel in one row, dealt by language and term; there they are added up where they are.
+    """
+    bits = _bits(kept, "term")
+    listed = cut.mapInArrow(lambda b: _occurrences(b, bits), "lang string, term binary, sources array<string>, times array<bigint>")
+    listed = listed.repartition("lang", "term").join(kept, ["lang", "term"], "left_semi")  # the bits may let others through
+    each = listed.select("lang", "term", F.explode(F.arrays_zip("sources", "times")).alias("at"))
+    return each.groupBy("lang", "term", F.col("at.sources").alias("source")).agg(F.sum("at.times").alias("n"))
 
 
 def _bits(keys: DataFrame, name: str) -> np.ndarray:
@@ -246,10 +275,7 @@ def audit(docs: DataFrame, least_docs: int = 10, top: int = 10, text_col: str =
     """
     cut = written(cut_documents(docs, text_col, lang_col, source_col), "cut-documents")
     kept = written(kept_terms(cut, least_docs, first_width), "kept-terms")
-    bits = _bits(kept, "term")
-    counted = cut.mapInArrow(lambda b: _occurrences(b, bits), "lang string, source string, term binary, n bigint")
-    counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    counted = written(counted.join(kept, ["lang", "term"], "left_semi"), "term-counts")  # the bits may let others through
+    counted = written(term_counts(cut, kept), "term-counts")
     groups = cut.select("lang", "source").distinct()
     n_terms, n_sources = kept.groupBy("lang").agg(F.count("*").alias("n_terms")), groups.groupBy("lang").agg(F.count("*").alias("n_sources"))
     totals = counted.groupBy("lang", "source").agg(F.sum("n").alias("n_all"))
