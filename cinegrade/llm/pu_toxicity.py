@@ -84,33 +84,36 @@ def risk_parts(toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple
             float(_softplus(unlabelled).mean()) - prior * float(_softplus(toxic).mean()))
 
 
-def telling(toxic: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
-    """The `most` buckets whose shares of texts differ most, in standard errors; ties by bucket."""
+def telling(toxic: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` buckets whose shares of texts differ most, in standard errors, and those over the largest; ties by bucket."""
     a, b = (np.bincount(np.concatenate(x) if x else [], minlength=BUCKETS).astype(float) for x in (toxic, unlabelled))
     pa_, pb_ = (a + 0.5) / (len(toxic) + 1), (b + 0.5) / (len(unlabelled) + 1)
     z = np.abs(pa_ - pb_) / np.sqrt(pa_ * (1 - pa_) / (len(toxic) + 1) + pb_ * (1 - pb_) / (len(unlabelled) + 1))
     z[(a == 0) & (b == 0)] = -1
     best = np.lexsort((np.arange(BUCKETS), -z))[:most]
-    return np.sort(best[z[best] >= 0])
+    best = np.sort(best[z[best] >= 0])
+    return best, z[best] / max(z[best].max(initial=0.0), 1e-9)
 
 
 def fit_member(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES,
-               steps: int = 400, ridge: float = 0.5) -> Member:
+               steps: int = 400, ridge: float = 0.2) -> Member:
     """One classifier by full gradient steps with momentum on the non-negative risk.
 
-    The penalty on the weights is ridge for all toxic examples together, so it counts more where they are few.
+    The penalty on the weights is ridge for all toxic examples together, so it counts more where they are few;
+    and less on a bucket the more telling it is.
     """
-    chosen = telling(toxic, unlabelled, most)
+    chosen, scale = telling(toxic, unlabelled, most)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     kept = [(t := place[x])[t >= 0] for x in [*toxic, *unlabelled]]
     row, at = np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.concatenate(kept).astype(np.int64)
+    value = scale[at]
     n_t, n = len(toxic), len(kept)
     pull = ridge / n_t
     state = np.append(np.zeros(len(chosen)), np.log(prior / (1 - prior)))
     mean, square = np.zeros_like(state), np.zeros_like(state)
     for step in range(1, steps + 1):
-        z = np.bincount(row, state[:-1][at], n) + state[-1]
+        z = np.bincount(row, state[:-1][at] * value, n) + state[-1]
         p, slope = _sigmoid(z), np.zeros(n)
         if risk_parts(z[:n_t], z[n_t:], prior)[1] >= 0:
             slope[:n_t] = prior * (p[:n_t] - 1) / n_t - prior * p[:n_t] / n_t
@@ -118,10 +121,10 @@ def fit_member(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: flo
         else:  # back up on the part that has left its range
             slope[:n_t] = prior * p[:n_t] / n_t
             slope[n_t:] = -p[n_t:] / (n - n_t)
-        gradient = np.append(np.bincount(at, slope[row], len(chosen)) + pull * state[:-1], slope.sum())
+        gradient = np.append(np.bincount(at, slope[row] * value, len(chosen)) + pull * state[:-1], slope.sum())
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         state = state - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    return Member(tuple(chosen.tolist()), tuple(state[:-1].tolist()), float(state[-1]))
+    return Member(tuple(chosen.tolist()), tuple((state[:-1] * scale).tolist()), float(state[-1]))
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +168,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", prio
         group = group.sort_values(["toxic", "packed"])  # the same order in each run, and so the same sums
         sides = [[np.frombuffer(b, "<i4") for b in group.loc[group.toxic == side, "packed"]] for side in (True, False)]
         if not all(sides):
-            return pd.DataFrame({"buckets": [], "weights": [], "bias": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("buckets", "weights", "bias")})
         m = fit_member(*sides, prior, **descent)
         return pd.DataFrame({"buckets": [list(m.buckets)], "weights": [list(m.weights)], "bias": [m.bias]})
 
