@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cinegrade.catalog import tables as T
 from cinegrade.catalog.guide import _reasons
 from cinegrade.operators import joins, terms
+from cinegrade.operators import linkage
 from cinegrade.operators import vectors as V
 from cinegrade.operators.scores import accuracy, confusion_rates
 from cinegrade.operators.splits import train_test_split
@@ -164,6 +165,16 @@ def vector_groups(spark, d):
     return V.vector_groups(T.table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
 
 
+def complete_groups(spark, d):
+    return linkage.complete_groups(T.table(spark, d, "embeddings"), "vec_id", "embedding", 0.6)
+
+
+def probable_pairs(spark, d):
+    """Close pairs by shared signs: at 0.6 the pairs are far apart, so many short bands."""
+    pairs = V.probable_pairs(T.table(spark, d, "embeddings"), "vec_id", "embedding", 0.6, bits=4, bands=24)
+    return pairs.select("a", "b", F.round("distance", 6).alias("distance"))
+
+
 def pca_2d(spark, d):
     return V.planar(T.table(spark, d, "embeddings"), "vec_id", "embedding")
 
@@ -178,7 +189,7 @@ QUERIES = {
         tfidf_terms, term_counts, doc_freq, feature_moments, standardise, bounded_vocab, tfidf_l2, key_words,
         bigram_counts, hashing_tf, naive_bayes_params, naive_bayes_predict,
         nb_holdout_accuracy, nb_fold_predictions, nb_cv_scores, nb_dimension_scores, word_vectors,
-        vocab_vectors, cosine_pairs, vector_groups, pca_2d, kmeans_6,
+        vocab_vectors, cosine_pairs, vector_groups, complete_groups, probable_pairs, pca_2d, kmeans_6,
     )
 }
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinegrade.fixed_values import VECTOR_DISTANCE
-from cinegrade.session import cut_lineage
-
-_SLACK = 1e-6  # on angles; keeps rounding from losing a pair
+from cinegrade.operators import pivot_tree
+from cinegrade.session import cut_lineage, scratch_path
+from cinegrade.sources.writers import save
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,98 +36,44 @@ def unit(vec: Column) -> Column:
     return F.flatten(F.transform(F.array(vec), scaled))
 
 
-def _angles_to(pivots: list[list[float]], u: Column) -> Column:
-    """Angles between a unit vector and each pivot."""
-    cosine = lambda p: F.greatest(F.least(dot(p, u), F.lit(1.0)), F.lit(-1.0))
-    return F.transform(F.lit(pivots), lambda p: F.acos(cosine(p)))
+def close_pairs(vectors: DataFrame, key: str, vec: str, max_distance: float = VECTOR_DISTANCE, leaf: int = pivot_tree.LEAF) -> DataFrame:
+    """All pairs a < b with cosine distance <= max_distance, exact."""
+    leaves = pivot_tree.tree(pivot_tree.packed_units(vectors, key, vec), pivot_tree.theta_of(max_distance), leaf)
+    return pivot_tree.in_blocks(leaves, pivot_tree.pairs_within(max_distance), ["a", "b", "distance"])
 
 
-def _placed(vectors: DataFrame, key: str, vec: str, n_pivots: int) -> tuple[DataFrame, int]:
-    """Unit vectors with their angles to a few pivots, nearest angle and home cell.
+def close_links(vectors: DataFrame, key: str, vec: str, max_distance: float = VECTOR_DISTANCE, leaf: int = pivot_tree.LEAF) -> DataFrame:
+    """Edges (a, b) that connect what all close pairs connect, without listing those pairs.
 
-    The pivots are n_pivots vectors picked by the hash of their key, whatever the size of
-    the table. The one-row explode keeps the angles from being evaluated by every use.
+    Equal vectors become one: a copy links to the smallest key. A block of vectors gives one link for each
+    at most, so a dense cluster gives stars and not all of its pairs.
     """
-    units = vectors.select(key, unit(F.col(vec)).alias("u")).where(F.col("u").isNotNull())
-    first = units.orderBy(F.xxhash64(key), key).limit(n_pivots).select("u").collect()
-    pivots = [list(r["u"]) for r in first] or [[0.0]]
-    angles = F.explode(F.array(_angles_to(pivots, F.col("u")))).alias("angles")
-    placed = units.select(key, "u", angles).withColumn("near", F.array_min("angles"))
-    home = (F.array_position("angles", F.col("near")) - 1).cast("int")
-    return placed.withColumn("home", home), len(pivots)
-
-
-def _candidates(placed: DataFrame, n_pivots: int, key: str, theta: float, keep: list[str]) -> DataFrame:
-    """Pairs (a, b) with a < b that may lie within theta; each such pair comes up once.
-
-    Angles obey the triangle inequality. Every vector lives in the cell of its nearest
-    pivot, in a ring by its angle to it. A partner within theta sees that pivot at most
-    2 * theta farther than its own nearest one, and falls within theta of the same ring.
-    So each vector also visits those cells and rings, and an equi-join on (cell, ring)
-    forms the pairs. Columns in `keep` come along as <name>a and <name>b.
-    """
-    tagged = lambda side: [F.col(c).alias(c + side) for c in ["u", *keep]]
-    at_home = placed.select(
-        F.col(key).alias("b"), *tagged("b"), F.col("home").alias("cell"),
-        F.floor(F.col("near") / theta).cast("int").alias("ring"),
-    )
-    angle = F.get("angles", F.col("cell"))
-    rings = F.sequence(
-        F.greatest(F.floor((angle - theta) / theta), F.lit(0)).cast("int"),
-        F.floor((angle + theta) / theta).cast("int"),
-    )
-    visits = (
-        placed.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_pivots - 1))))
-        .where(angle <= F.col("near") + 2 * theta)
-        .select(F.col(key).alias("a"), *tagged("a"), "cell", F.explode(rings).alias("ring"))
-    )
-    return visits.join(at_home, ["cell", "ring"]).where(F.col("a") < F.col("b"))
-
-
-def _theta(max_distance: float) -> float:
-    return math.acos(max(-1.0, 1.0 - max_distance)) + _SLACK
+    units = save(pivot_tree.packed_units(vectors, key, vec), scratch_path(vectors.sparkSession, "units"))
+    firsts = save(units.groupBy("u").agg(F.min("key").alias("key")), scratch_path(vectors.sparkSession, "firsts"))
+    copies = units.join(firsts.withColumnRenamed("key", "first"), "u").where(F.col("key") > F.col("first"))
+    leaves = pivot_tree.tree(firsts.select("key", "u"), pivot_tree.theta_of(max_distance), leaf)
+    links = pivot_tree.in_blocks(leaves, pivot_tree.links_within(max_distance), ["a", "b"]).where("a <> b")
+    return copies.select(F.col("key").alias("a"), F.col("first").alias("b")).unionByName(links)
 
 
-def close_pairs(
-    vectors: DataFrame, key: str, vec: str, max_distance: float = VECTOR_DISTANCE, n_pivots: int = 16
+def probable_pairs(
+    vectors: DataFrame, key: str, vec: str, max_distance: float = VECTOR_DISTANCE, bits: int = 12, bands: int = 20, seed: int = 1
 ) -> DataFrame:
-    """All pairs a < b with cosine distance <= max_distance, exact."""
-    placed, n = _placed(vectors, key, vec, n_pivots)
-    pairs = _candidates(placed, n, key, _theta(max_distance), [])
-    distance = (1 - dot(F.col("ua"), F.col("ub"))).alias("distance")
-    return pairs.select("a", "b", distance).where(F.col("distance") <= max_distance)
+    """Pairs a < b within max_distance that share a band of hyperplane signs: distances exact, recall expected_recall().
 
+    For vectors without structure in many dimensions, where no exact index can exclude anything and close_pairs
+    compares all. A band's hot bucket is compared in blocks, like a leaf.
+    """
+    units = save(pivot_tree.packed_units(vectors, key, vec), scratch_path(vectors.sparkSession, "units"))
+    signed = units.mapInArrow(lambda b: pivot_tree.signed_bands(b, bits, bands, seed), f"{pivot_tree.rows_schema(units)}, node bigint, home boolean")
+    pairs = pivot_tree.in_blocks(signed, pivot_tree.pairs_within(max_distance), ["a", "b", "distance"])
+    return pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
 
-def close_links(
-    vectors: DataFrame, key: str, vec: str, max_distance: float = VECTOR_DISTANCE, n_pivots: int = 16
-) -> DataFrame:
-    """Edges (a, b) that connect what all close pairs connect, without listing those pairs.
 
-    Equal vectors become one: a copy links to the smallest key. Vectors within half the
-    angle of one pivot are all close to each other: each links to the smallest key of that
-    core, which also stands in for them in all other edges. A dense cluster thus gives a
-    star and not all of its pairs.
-    """
-    theta = _theta(max_distance)
-    placed, n = _placed(vectors, key, vec, n_pivots)
-    firsts = placed.groupBy("u").agg(F.min(key).alias("first"))
-    copies = placed.join(firsts, "u").where(F.col(key) > F.col("first")).select(F.col(key).alias("a"), F.col("first").alias("b"))
-    single = placed.join(firsts.select(F.col("first").alias(key)), key, "left_semi")
-    # half the exact angle, so that rounding cannot draw in a vector too far away
-    core = F.col("near") <= (theta - _SLACK) / 2 - _SLACK
-    centres = single.where(core).groupBy("home").agg(F.min(key).alias("centre"))
-    # centres has one row per pivot at most
-    stars = single.join(F.broadcast(centres), "home", "left").withColumn("centre", F.when(core, F.col("centre")))
-    stars = cut_lineage(stars.withColumn("rep", F.coalesce("centre", F.col(key))))
-    apart = F.col("centrea").isNull() | F.col("centreb").isNull() | (F.col("centrea") != F.col("centreb"))
-    links = (
-        _candidates(stars, n, key, theta, ["rep", "centre"])
-        .where(apart & (1 - dot(F.col("ua"), F.col("ub")) <= max_distance))
-        .select(F.col("repa").alias("a"), F.col("repb").alias("b"))
-        .distinct()
-    )
-    spokes = stars.where(F.col("centre").isNotNull()).select(F.col(key).alias("a"), F.col("centre").alias("b"))
-    return copies.unionByName(links).unionByName(spokes.where("a <> b"))
+def expected_recall(distance: float, bits: int = 12, bands: int = 20) -> float:
+    """Share of pairs at a cosine distance that probable_pairs finds; closer ones are found more often."""
+    agree = 1 - math.acos(1 - distance) / math.pi
+    return 1 - (1 - agree**bits) ** bands
 
 
 def connected_groups(keys: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -176,10 +122,7 @@ def connected_groups(keys: DataFrame, edges: DataFrame, key: str) -> DataFrame:
 def vector_groups(
     vectors: DataFrame, key: str, vec: str, max_distance: float = VECTOR_DISTANCE
 ) -> DataFrame:
-    """Groups of vectors linked by pairs within max_distance.
-
-    Single linkage: complete linkage has no exact form that avoids a full distance matrix.
-    """
+    """Groups of vectors linked by pairs within max_distance: single linkage; see linkage.complete_groups for the other."""
     edges = close_links(vectors, key, vec, max_distance)
     return connected_groups(vectors, edges, key)
 
