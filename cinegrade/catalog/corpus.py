@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
@@ -39,6 +40,28 @@ def xml_scan(spark, d):
     )
 
 
+def _in_one_element(lines):
+    """The documents of a partition, which becomes a file, inside one root element."""
+    yield pa.RecordBatch.from_arrays([pa.array(["<all>"])], names=["value"])
+    yield from lines
+    yield pa.RecordBatch.from_arrays([pa.array(["</all>"])], names=["value"])
+
+
+def xml_records(spark, d):
+    """Documents written together as large XML files and read back record by record; files split inside.
+
+    The malformed ones of src13 stay out: without their end a record would run into the next.
+    """
+    whole = T.subtitle_xml(spark, d).where(F.endswith("xml", F.lit("</document>")))
+    lines = whole.select(F.replace("xml", F.lit("<source>"), F.concat(F.lit("<source><path>"), F.col("path"), F.lit("</path>"))).alias("value"))
+    folder = scratch_path(spark, "xml-records")
+    lines.mapInArrow(_in_one_element, "value string").write.text(folder)
+    records = readers.read_subtitle_records(spark, folder)
+    return records.select(
+        F.col("meta")["path"].alias("path"), "corrupted", F.col("reject").isNotNull().alias("malformed"),
+        F.size("sentences").cast("long").alias("n_sentences"), F.array_join(X.raw_words(F.col("sentences")), "|").alias("words"))
+
+
 def labelled_paths(spark, d):
     return joins.labelled_paths(T.documents(spark, d).select("path"), T.labels(spark, d))
 
@@ -167,7 +190,7 @@ def unique_ratings(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        load_labels, load_category_predictions, xml_scan, labelled_paths, limited_scan,
+        load_labels, load_category_predictions, xml_scan, xml_records, labelled_paths, limited_scan,
         checkpoint_roundtrip, file_id_from_path, valid_ratings, binary_label, merge_ratings,
         sentence_rows, drop_corrupted, doc_meta, doc_meta_features, percent_parsed, clean_tokens,
         bag_of_words, raw_words, remove_stopwords, stem_vocabulary, stemmed_bags, labelled_bags, normalise_title,
@@ -196,6 +219,11 @@ ORACLES = {
             CASE WHEN {_USABLE} THEN len(string_split(text, chr(10))) ELSE 0 END AS n_sentences,
             CASE WHEN {_USABLE} THEN array_to_string({T.WORDS_SQL}, '|') ELSE '' END AS words
         FROM documents""",
+    "xml_records": f"""
+        SELECT {T.PATH_SQL} AS path, source = 'src7' AS corrupted, false AS malformed,
+            CASE WHEN {_USABLE} THEN len(string_split(text, chr(10))) ELSE 0 END AS n_sentences,
+            CASE WHEN {_USABLE} THEN array_to_string({T.WORDS_SQL}, '|') ELSE '' END AS words
+        FROM documents WHERE source <> 'src13'""",
     "labelled_paths": f"""
         SELECT DISTINCT rating, {T.PATH_SQL} AS path
         FROM documents JOIN ({T.LABELS_SQL}) l USING (doc_id)""",

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
-from cinegrade.fixed_values import ALL_RATINGS, GUIDE_CATEGORIES
+from cinegrade.fixed_values import ALL_RATINGS, DENIALS, GUIDE_CATEGORIES
 from cinegrade.functions import html as H
 from cinegrade.functions import labels as L
 from cinegrade.functions import text as X
+from cinegrade.operators.terms import grouped_key_words
 from cinegrade.plans import guide as G
 from cinegrade.plans import reasons as R
 from cinegrade.session import scratch_path
 from cinegrade.sources import readers, writers
+from cinegrade.streaming import ingest
+from cinegrade.streaming.score import arriving
 
 SECTIONS = list(GUIDE_CATEGORIES)
 
-# Key words per dimension, taken from the frequent words of the test documents.
-KEYWORDS = {
-    "drugs": ["erth", "anst", "onth"],
-    "violence": ["tion", "haer"],
-    "nudity": ["thha", "ndst", "stea"],
-    "profanity": ["ered", "aux"],
-    "scary": ["entha", "leau", "inre"],
-}
+DIMENSIONS = [name.lower() for name in GUIDE_CATEGORIES.values()]
+N_KEY_WORDS = 12
 
 
 def guide_find(spark, d):
@@ -182,6 +179,19 @@ def insert_if_absent(spark, d):
     return spark.read.schema(new.schema).parquet(path)
 
 
+def stream_insert(spark, d):
+    """Orders as they arrive, the first of each customer inserted where the supplier table has none; the last batch comes twice."""
+    supplier = T.table(spark, d, "supplier")
+    stored = supplier.select(F.col("s_suppkey").alias("cust"), F.lit(None).cast("long").alias("orderkey"), F.col("s_acctbal").alias("price"))
+    orders = arriving(spark, d, spark.read.parquet(f"{d}/orders.parquet").schema, "orders.parquet")
+    as_records = lambda df: df.select(F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"))
+    path = scratch_path(spark, "stream-insert")
+    ingest.insert_batch(stored, -1, path, "cust", ["price"])
+    ingest.insert_arriving(as_records(orders), path, "cust", ["orderkey"], scratch_path(spark, "insert-checkpoint")).awaitTermination()
+    ingest.insert_batch(as_records(T.table(spark, d, "orders")), 0, path, "cust", ["orderkey"])
+    return ingest.inserted(stored, path)
+
+
 def _reasons(spark, d):
     docs = T.table(spark, d, "documents")
     records = docs.select(F.col("doc_id").alias("record_id"), F.col("lang").alias("RATING"), F.col("text").alias("REASON"))
@@ -200,8 +210,35 @@ def reason_tokens(spark, d):
     return _reasons(spark, d).select("record_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+def _key_words(spark, d):
+    """The telling words of each dimension, from the guide comments about it."""
+    comments = _comments(spark, d).select(F.lower("category").alias("dimension"), X.alpha_tokens(F.col("comment")).alias("tokens"))
+    return grouped_key_words(comments, "dimension", N_KEY_WORDS)
+
+
+def dimension_key_words(spark, d):
+    return _key_words(spark, d).select("dimension", "term", "weight", F.col("rank").cast("long").alias("rank"))
+
+
 def dimension_flags(spark, d):
-    return R.flag_dimensions(_reasons(spark, d), KEYWORDS)
+    return R.flag_by_key_words(_reasons(spark, d), _key_words(spark, d), DIMENSIONS)
+
+
+def _targets(spark, d):
+    """Comments, some with a grade or a denial put in, against the flags of labelled films."""
+    page = F.col("imdb_id").cast("long")
+    graded = F.concat("comment", F.array((page % 13).cast("string"), F.lit("10")))
+    said = F.when(page % 7 == 0, F.array(F.lit("Nil"))).when(page % 5 == 0, graded).otherwise(F.col("comment"))
+    comments = _comments(spark, d).withColumn("comment", said)
+    comments = comments.withColumns({"binary_target": L.denial_label(F.col("comment")), "grade": L.grade(F.col("comment"))})
+    flags = dimension_flags(spark, d).join(T.table(spark, d, "labels").select(F.col("doc_id").alias("record_id")).distinct(), "record_id", "left_semi")
+    flags = flags.unpivot("record_id", DIMENSIONS, "category", "flagged")
+    flags = flags.select(F.col("record_id").cast("string").alias("imdb_id"), F.upper("category").alias("category"), "flagged")
+    return G.comment_targets(comments, flags)
+
+
+def comment_targets(spark, d):
+    return _targets(spark, d)
 
 
 QUERIES = {
@@ -210,7 +247,7 @@ QUERIES = {
         guide_find, unpivot_sections, guide_tokens, rename_categories, n_words, alpha_tokens,
         sentence_tag, doc_corpus, category_sizes, negative_single, extract_grade, html_records,
         page_sections, certification_map, crawl_frontier, pending_ids, records_per_group,
-        insert_if_absent, reason_clean, reason_tokens, dimension_flags,
+        insert_if_absent, stream_insert, reason_clean, reason_tokens, dimension_key_words, dimension_flags, comment_targets,
     )
 }
 
@@ -231,6 +268,18 @@ _REASONS = rf"""
     r AS (SELECT record_id, list_filter(kept, lambda w: w NOT IN {T.STOP_SQL}
             AND NOT regexp_full_match(w, '[!-/:-@\[-`{{-~]')) AS tokens FROM k)"""
 
+_KEY_WORDS = f"""{_COMMENTS},
+    a AS MATERIALIZED (SELECT lower(category) AS dimension, list_distinct({_ALPHA}) AS tokens FROM c),
+    s AS (SELECT dimension, count(*) AS n_in FROM a GROUP BY dimension),
+    u AS (SELECT dimension, term, count(*) AS df_in FROM (SELECT dimension, unnest(tokens) AS term FROM a) GROUP BY dimension, term),
+    o AS (SELECT *, sum(df_in) OVER (PARTITION BY term) AS df FROM u JOIN s USING (dimension)),
+    w AS (SELECT dimension, term, round(df_in::DOUBLE / n_in * ln(((SELECT count(*) FROM a) + 1 - n_in)::DOUBLE / (df - df_in + 1)), 9) AS weight FROM o),
+    q AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY weight DESC, term) AS rank FROM w QUALIFY rank <= {N_KEY_WORDS})"""
+_FLAGS = f"""{_KEY_WORDS}, {_REASONS.strip().removeprefix("WITH ")},
+    h AS (SELECT DISTINCT record_id, dimension FROM (SELECT record_id, unnest(tokens) AS term FROM r) JOIN q USING (term)),
+    flags AS (SELECT record_id, {', '.join(f"coalesce(bool_or(dimension = '{name}'), false) AS {name}" for name in DIMENSIONS)}
+        FROM r LEFT JOIN h USING (record_id) GROUP BY record_id)"""
+
 ORACLES = {
     "guide_find": f"""
         WITH g AS ({T.GUIDES_SQL})
@@ -281,11 +330,25 @@ ORACLES = {
         SELECT s_suppkey AS cust, CAST(NULL AS BIGINT) AS orderkey, s_acctbal AS price FROM supplier
         UNION ALL SELECT o_custkey, min(o_orderkey), arg_min(o_totalprice, o_orderkey) FROM orders
         WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY o_custkey""",
+    "stream_insert": """
+        SELECT s_suppkey AS cust, CAST(NULL AS BIGINT) AS orderkey, s_acctbal AS price FROM supplier
+        UNION ALL SELECT o_custkey, min(o_orderkey), arg_min(o_totalprice, o_orderkey) FROM orders
+        WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY o_custkey""",
     "reason_clean": """
         SELECT doc_id AS record_id, lang AS RATING, text AS REASON FROM documents
         WHERE text <> '' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     "reason_tokens": f"{_REASONS} SELECT record_id, array_to_string(tokens, ' ') AS tokens FROM r",
-    "dimension_flags": f"{_REASONS} SELECT record_id, "
-    + ", ".join(f"list_has_any(tokens, {words}) AS {name}" for name, words in KEYWORDS.items())
-    + " FROM r",
+    "dimension_key_words": f"{_KEY_WORDS} SELECT dimension, term, weight, rank FROM q",
+    "dimension_flags": f"{_FLAGS} SELECT * FROM flags",
+    "comment_targets": f"""
+        {_FLAGS}, x AS (SELECT imdb_id, category, CAST(imdb_id AS BIGINT) AS page, comment FROM c),
+        y AS (SELECT imdb_id, category, CASE WHEN page % 7 = 0 THEN ['Nil'] WHEN page % 5 = 0
+            THEN list_concat(comment, [CAST(page % 13 AS VARCHAR), '10']) ELSE comment END AS t FROM x),
+        z AS (SELECT imdb_id, category, len(t) = 1 AND lower(t[1]) IN ({', '.join(f"'{w}'" for w in DENIALS)}) AS denied,
+            list_filter(list_transform(range(len(t)), lambda i: CASE WHEN t[i + 1] = '10' THEN CASE WHEN i = 0 THEN CASE WHEN t[2] = '10' THEN 10 END
+                WHEN TRY_CAST(t[i] AS INT) < 11 THEN TRY_CAST(t[i] AS INT) END END), lambda g: g IS NOT NULL)[1] AS grade FROM y),
+        v AS (UNPIVOT (SELECT * FROM flags WHERE record_id IN (SELECT doc_id FROM labels)) ON {', '.join(DIMENSIONS)} INTO NAME dimension VALUE flagged)
+        SELECT z.imdb_id, z.category, CASE WHEN denied THEN 0 WHEN grade IS NOT NULL THEN (grade >= 5)::INT ELSE flagged::INT END AS label,
+            CASE WHEN denied THEN 'denial' WHEN grade IS NOT NULL THEN 'grade' WHEN flagged IS NOT NULL THEN 'flag' END AS vote
+        FROM z LEFT JOIN v ON CAST(v.record_id AS VARCHAR) = z.imdb_id AND upper(v.dimension) = z.category""",
 }

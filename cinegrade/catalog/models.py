@@ -10,11 +10,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
-from cinegrade.catalog.guide import _comments
+from cinegrade.catalog.guide import _comments, comment_targets
 from cinegrade.fixed_values import NUM_FEATURES, SEARCH_MIN_DOC_FREQ
 from cinegrade.functions.text import clean_tokens, remove_stop_words
-from cinegrade.operators.splits import key_hash
-from cinegrade.plans import blend, docvectors, guide, paragraphs, ratings, search
+from cinegrade.plans import blend, docvectors, factors, guide, ratings, search
 from cinegrade.session import scratch_path
 from cinegrade.sources import writers
 from cinegrade.sources.readers import subtitle_rows
@@ -108,6 +107,11 @@ def dimension_models(spark, d):
     return blend.dimension_models(_all_rows(spark, d), _blend_pipeline(), "doc_id", ["quality", "toxic"])
 
 
+def dimension_scores(spark, d):
+    """Accuracy, precision and rates of the logistic model of each dimension, out of fold."""
+    return blend.dimension_scores(_all_rows(spark, d), _blend_pipeline(), "doc_id", ["quality", "toxic"])
+
+
 def final_gbt(spark, d):
     """Boosted trees on the blended features, against the binary rating of labelled rows."""
     blended = writers.save(blend_all(spark, d), scratch_path(spark, "blended"))
@@ -128,19 +132,16 @@ def doc_vectors(spark, d):
     return _comment_vectors(spark, d).select("sentence_tag", "category", F.array_join(vector.cast("array<string>"), " ").alias("doc_vector"))
 
 
-def paragraph_vectors(spark, d):
-    """Paragraph vectors of all comments of one corpus, as text."""
-    corpus = guide.training_corpus(_comments(spark, d))
-    vectors = paragraphs.paragraph_vectors(corpus)
-    return vectors.select("sentence_tag", F.array_join(F.col("doc_vector").cast("array<string>"), " ").alias("doc_vector"))
+def factor_vectors(spark, d):
+    """Vectors of all comments from a factorised table of (comment, word), as text."""
+    vectors = factors.doc_factors(guide.training_corpus(_comments(spark, d)))
+    return vectors.select("sentence_tag", "category", F.array_join(F.col("doc_vector").cast("array<string>"), " ").alias("doc_vector"))
 
 
 def comment_sentiment(spark, d):
-    """Comments labelled by page for a half of the pages; the rest is predicted."""
+    """Comments with a weak label (comment_targets) teach; the rest is predicted."""
     vectors = _comment_vectors(spark, d).select("imdb_id", "category", "doc_vector")
-    positive = (F.col("n_words") > 20).cast("int").alias("label")
-    half = _comments(spark, d).where(key_hash(F.col("imdb_id"), 7) % 2 == 0)
-    labels = half.select("imdb_id", "category", positive)
+    labels = comment_targets(spark, d).where("label IS NOT NULL").select("imdb_id", "category", "label")
     return docvectors.comment_sentiment(vectors, labels, ["imdb_id", "category"])
 
 
@@ -166,8 +167,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         rating_fit, logreg_predict, gbt_predict, rf_predict, mlp_predict, holdout_accuracy, cv_scores,
-        layer_search, fold_predictions, blend_features, blend_all, oof_target_mean, dimension_models,
-        final_gbt, doc_vectors, paragraph_vectors, comment_sentiment, stream_score,
+        layer_search, fold_predictions, blend_features, blend_all, oof_target_mean, dimension_models, dimension_scores,
+        final_gbt, doc_vectors, factor_vectors, comment_sentiment, stream_score,
     )
 }
 

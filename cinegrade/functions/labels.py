@@ -45,6 +45,18 @@ def grade(tokens: Column) -> Column:
     return F.get(F.filter(F.transform(places, at), lambda g: g.isNotNull()), 0)
 
 
+def resolved_vote(denial: Column, grade: Column, flag: Column) -> Column:
+    """(label, vote) of a comment: 1 for sensitive content, 0 for none, null without any vote.
+
+    The order: a denial says 0; else a grade says whether it is in the upper half of the scale; else the
+    film's flag of the dimension holds.
+    """
+    votes = [("denial", F.when(denial == "NEGATIVE", 0)), ("grade", (grade >= 5).cast("int")), ("flag", flag.cast("int"))]
+    label = F.coalesce(*[v for _, v in votes])
+    vote = F.coalesce(*[F.when(v.isNotNull(), name) for name, v in votes])
+    return F.struct(label.alias("label"), vote.alias("vote"))
+
+
 def dimension_flags(tokens: Column, keywords: Mapping[str, Iterable[str]]) -> list[Column]:
     """One boolean column per dimension: does the text use any of its keywords?"""
     return [

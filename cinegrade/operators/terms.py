@@ -82,6 +82,24 @@ def tfidf_unit(
     return weighed.select(key, "term", (F.col("weight") / norm).alias("weight"))
 
 
+def grouped_key_words(docs: DataFrame, group: str, n: int, tokens: str = "tokens") -> DataFrame:
+    """(group, term, weight, rank): the n terms of each group with the largest weight against the rest.
+
+    A term's weight is the share of the group's documents that use it, times the inverse document frequency
+    ln((R + 1) / (r + 1)) over the R documents of all other groups, r of which use it. Frequencies combine on the map side;
+    the best of a group are kept in each task before they meet.
+    """
+    sizes = docs.groupBy(group).agg(F.count("*").alias("n_in"))
+    n_all = docs.count()
+    used = docs.select(group, F.explode(F.array_distinct(tokens)).alias("term")).groupBy(group, "term").agg(F.count("*").alias("df_in"))
+    total = used.groupBy("term").agg(F.sum("df_in").alias("df"))
+    rest = F.log((F.lit(n_all + 1.0) - F.col("n_in")) / (F.col("df") - F.col("df_in") + 1))
+    weight = F.round(F.col("df_in") / F.col("n_in") * rest, 9).alias("weight")
+    weighed = used.join(total, "term").join(sizes, group).select(group, "term", weight)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weight"), "term"))
+    return weighed.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
 def term_moments(docs: DataFrame, key: str, tokens: str = "tokens", n_docs: int | None = None) -> DataFrame:
     """(term, df, mean, std) of each term's count over all documents, absent ones as 0.
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinegrade.fixed_values import BLEND_FOLDS
+from cinegrade.operators.scores import confusion_rates
 from cinegrade.operators.splits import key_hash
 from cinegrade.plans.ratings import probability, shared_stages
 from cinegrade.plans.search import cv_scores, mean_scores
@@ -74,15 +75,29 @@ def blend_all(
     """
     shared, fitted_part = shared_stages(pipeline)
     scored = shared.transform(rows.select(key, "bow", *labels)).drop("bow", "words")
-    hashed, columns = scored, []
-    for label in labels:
-        models = fit_folds(hashed, fitted_part, key, label, k, seed)
-        scored = with_probabilities(scored, models, f"{label}_p")
-        names = [f"{label}_p{i}" for i in range(k)]
-        columns.append(blended(names, fold_of(key, label, k, seed)).alias(label))
+    hashed, columns = scored.where(reduce(or_, [F.col(label).isNotNull() for label in labels])).persist(), []
+    try:
+        for label in labels:
+            models = fit_folds(hashed, fitted_part, key, label, k, seed)
+            scored = with_probabilities(scored, models, f"{label}_p")
+            names = [f"{label}_p{i}" for i in range(k)]
+            columns.append(blended(names, fold_of(key, label, k, seed)).alias(label))
+    finally:
+        hashed.unpersist()
     return scored.select(key, *columns)
 
 
+def dimension_scores(rows: DataFrame, pipeline: Pipeline, key: str, labels: Sequence[str], k: int = 3, seed: int = 1) -> DataFrame:
+    """Accuracy, precision and rates of each dimension's model, every labelled row judged by the model that has not seen its fold."""
+    rows = rows.where(reduce(or_, [F.col(label).isNotNull() for label in labels]))
+    scored = blend_all(rows, pipeline, key, labels, k, seed).select(key, *[F.col(label).alias(f"p_{label}") for label in labels])
+    judged = F.inline(F.array(*[
+        F.struct(F.lit(label).alias("dimension"), F.col(label).cast("int").alias("label"), (F.col(f"p_{label}") > 0.5).cast("int").alias("prediction"))
+        for label in labels]))
+    both = scored.join(rows.select(key, *labels), key).select(judged)
+    return confusion_rates(both.where(F.col("label").isNotNull()), "dimension")
+
+
 def fold_predictions(
     rows: DataFrame, pipeline: Pipeline, key: str, label: str, k: int = BLEND_FOLDS, seed: int = 1
 ) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.ml.feature import CountVectorizer, StringIndexer
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import models as registered
+from cinegrade.functions.labels import denial_label, grade, resolved_vote
 from cinegrade.operators import scores, splits, terms
-from cinegrade.plans import bayes, blend, docvectors, ratings, search
-from cinegrade.plans.paragraphs import paragraph_vectors
+from cinegrade.plans import bayes, blend, docvectors, factors, ratings, search
 from cinegrade.session import broadcast_if_small, shared_dir
-from cinegrade.sources.writers import fit_unless_saved
+from cinegrade.sources.writers import fit_unless_saved, is_published, publish
+from cinegrade.streaming import ingest
 from cinegrade.streaming.score import arriving, score_stream
 
 
@@ -206,34 +207,84 @@ def test_doc_vectors_and_sentiment(docs):
     assert {r["id"] for r in got} == {i for i in range(60) if i % 3 == 0}
 
 
-@pytest.mark.parametrize("buckets", [1 << 16, 5])
-def test_paragraph_vectors_separate_topics(docs, buckets):
-    corpus = docs.select(F.col("id").cast("string").alias("sentence_tag"), F.array_repeat("bow", 6).alias("b"))
-    corpus = corpus.select("sentence_tag", F.flatten("b").alias("clean_comment"))
-    got = paragraph_vectors(corpus, size=8, epochs=8, alpha=0.1, sample=1.0, partitions=2, buckets=buckets)
-    vec = {int(r["sentence_tag"]): np.array(r["doc_vector"]) for r in got.collect()}
-    assert sorted(vec) == list(range(60)) and all(v.shape == (8,) for v in vec.values())
-    if buckets > 5:
-        u = {i: v / np.linalg.norm(v) for i, v in vec.items()}
-        same = np.mean([u[i] @ u[j] for i in u for j in u if i < j and i % 2 == j % 2])
-        other = np.mean([u[i] @ u[j] for i in u for j in u if i % 2 != j % 2])
-        assert same > other + 0.3
+def test_factor_vectors_separate_topics(docs):
+    corpus = docs.select(F.col("id").cast("string").alias("sentence_tag"), F.col("bow").alias("clean_comment"), F.lit("SCARY").alias("category"))
+    empty = docs.limit(1).select(F.lit("none").alias("sentence_tag"), F.array().cast("array<string>").alias("clean_comment"), F.lit("NUDITY").alias("category"))
+    got = {r["sentence_tag"]: np.array(r["doc_vector"]) for r in factors.doc_factors(corpus.union(empty), size=6, epochs=5).collect()}
+    assert len(got) == 61 and all(v.shape == (6,) for v in got.values()) and not got.pop("none").any()
+    u = {int(k): v / np.linalg.norm(v) for k, v in got.items() if v.any()}
+    assert len(u) > 50
+    same = np.mean([u[i] @ u[j] for i in u for j in u if i < j and i % 2 == j % 2])
+    other = np.mean([u[i] @ u[j] for i in u for j in u if i % 2 != j % 2])
+    assert same > other + 0.3
 
 
-def test_registered_paragraph_vectors_use_the_defaults(docs, monkeypatch):
-    given = []
-    monkeypatch.setattr(registered, "_comments", lambda spark, d: docs)
-    monkeypatch.setattr(registered.guide, "training_corpus", lambda comments: comments)
-    monkeypatch.setattr(registered.paragraphs, "paragraph_vectors", lambda corpus, **sizes: given.append(sizes) or docs.select(
-        F.col("id").alias("sentence_tag"), F.array(F.lit(0.0)).alias("doc_vector")))
-    registered.paragraph_vectors(docs.sparkSession, "")
-    assert given == [{}]
-
-
-def test_paragraph_vectors_keep_empty_documents(spark):
-    corpus = spark.createDataFrame([("a", []), ("b", ["x", "y", "x"]), ("c", ["rare"])], "sentence_tag STRING, clean_comment ARRAY<STRING>")
-    got = paragraph_vectors(corpus, size=4, epochs=1, min_count=2, partitions=2).collect()
-    assert {r["sentence_tag"] for r in got} == {"a", "b", "c"} and all(len(r["doc_vector"]) == 4 for r in got)
+def test_shifted_information_and_dense_ids(spark):
+    counts = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), ("b", "y", 4)], "doc STRING, term STRING, n LONG").repartition(3)
+    got = {(r["doc"], r["term"]): r["pmi"] for r in factors.shifted_information(counts, "doc", ["term"]).collect()}
+    assert got == {("a", "x"): pytest.approx(np.log(3 * 8 / (4 * 3))), ("b", "y"): pytest.approx(np.log(4 * 8 / (4 * 5)))}
+    ids = factors.dense_ids(counts.repartition(5, "doc"), ["doc", "term"], "id").collect()
+    assert sorted(r["id"] for r in ids) == [0, 1, 2]
+
+
+def test_finished_layouts_are_not_fitted_again(docs, tmp_path, monkeypatch):
+    rows = docs.withColumn("label", (F.col("rating") == "R").cast("double"))
+    sizes = dict(num_features=32, min_doc_freq=0, max_iter=2, fraction=0.9, progress=str(tmp_path / "progress"))
+    first = search.layer_search(rows, "id", [[32, 2]], **sizes).collect()
+    fitted, fit = [], search.MultilayerPerceptronClassifier
+    monkeypatch.setattr(search, "MultilayerPerceptronClassifier", lambda **given: fitted.append(given["layers"]) or fit(**given))
+    both = search.layer_search(rows, "id", [[32, 4, 2], [32, 2]], **sizes).collect()
+    assert fitted == [[32, 4, 2]] and [r["layers"] for r in both] == ["32-4-2", "32-2"] and both[1] == first[0]
+    search.layer_search(rows, "id", [[32, 2]], **{**sizes, "max_iter": 3})
+    assert fitted == [[32, 4, 2], [32, 2]]  # other settings, another search
+
+
+def test_models_of_categories_are_published_once(docs, tmp_path, monkeypatch):
+    corpus = docs.select("id", F.col("bow").alias("clean_comment"), F.when(F.col("id") % 2 == 0, "SC/ARY").otherwise("DRUGS").alias("category"))
+    store = str(tmp_path / "store")
+    first = {r["id"]: r["doc_vector"] for r in docvectors.skip_gram_vectors(corpus, size=4, epochs=1, store=store).collect()}
+    assert sorted(p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")) == ["DRUGS.vectors", "SC%2FARY.vectors"]
+    monkeypatch.setattr(docvectors.Word2Vec, "fit", lambda *a: pytest.fail("fitted again"))
+    again = {r["id"]: r["doc_vector"] for r in docvectors.skip_gram_vectors(corpus, size=4, epochs=1, store=store).collect()}
+    assert again == first
+
+
+def test_a_half_written_model_is_not_taken(spark, tmp_path):
+    path = str(tmp_path / "model")
+    with pytest.raises(ValueError):
+        publish(spark, lambda draft: (spark.range(3).write.parquet(draft), (_ for _ in ()).throw(ValueError())), path)
+    assert not is_published(spark, path)
+    publish(spark, lambda draft: spark.range(3).write.parquet(draft), path)
+    publish(spark, lambda draft: spark.range(9).write.parquet(draft), path)
+    assert spark.read.parquet(path).count() == 3 and is_published(spark, path)
+
+
+def test_logistic_dimension_scores_are_out_of_fold(docs):
+    rows = docs.withColumn("even", F.when(F.col("id") % 5 > 0, (F.col("id") % 2 == 0).cast("int"))).withColumn("none", F.lit(None).cast("int"))
+    got = {r["dimension"]: r for r in blend.dimension_scores(rows, light("log_reg"), "id", ["even"]).collect()}
+    assert got["even"]["tp"] + got["even"]["fp"] + got["even"]["tn"] + got["even"]["fn"] == 48
+    assert got["even"]["accuracy"] > 0.9 and got["even"]["precision"] > 0.9
+
+
+def test_weak_labels_follow_their_order(spark):
+    rows = [(1, ["Nope"], True), (2, ["so", "bad", "7", "10"], False), (3, ["mild", "2", "10"], True), (4, ["plain", "words"], True), (5, ["plain"], None), (6, [], False)]
+    df = spark.createDataFrame(rows, "id INT, comment ARRAY<STRING>, flagged BOOLEAN")
+    vote = resolved_vote(denial_label(F.col("comment")), grade(F.col("comment")), F.col("flagged")).alias("v")
+    got = {r["id"]: (r["label"], r["vote"]) for r in df.select("id", vote).select("id", "v.*").collect()}
+    assert got == {1: (0, "denial"), 2: (1, "grade"), 3: (0, "grade"), 4: (1, "flag"), 5: (None, None), 6: (0, "flag")}
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    batch = lambda *rows: spark.createDataFrame(rows, "k INT, v INT")
+    state = lambda: sorted(map(tuple, ingest.inserted(batch(), path).collect()))
+    ingest.insert_batch(batch((1, 5), (1, 3), (2, 9)), 0, path, "k", ["v"])
+    ingest.insert_batch(batch((1, 0), (3, 7)), 1, path, "k", ["v"])
+    once = state()
+    assert once == [(1, 3), (2, 9), (3, 7)]
+    for number, rows in ((1, batch((1, 0), (3, 7))), (0, batch((1, 5), (1, 3), (2, 9)))):
+        ingest.insert_batch(rows, number, path, "k", ["v"])
+        assert state() == once
 
 
 def test_hashed_vocabulary(docs):
