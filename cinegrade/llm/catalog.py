@@ -58,8 +58,8 @@ def op4_tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = ordinal.fit_ordinal(docs, ordinal.grades_of(table(spark, sf_dir, "labels")))
-    return ordinal.grade(docs, model, select=len(model.thresholds))
+    model = ordinal.fit_ordinal(docs, ordinal.grades_of(table(spark, sf_dir, "labels")), grades=ordinal.GRADES)
+    return ordinal.grade(docs, model, select=ordinal.GRADES - 1)
 
 
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,15 +39,23 @@ SIZES = (1, 2, 3)
 SLOTS, HASHES = 1 << 20, 3
 LEAST_SHARE, LEAST_RATIO = 1e-5, 0.1
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDLIKE = re.compile(r"[^\W\d_]+")  # letters, and number signs such as ½ or Ⅷ
 _FLUSH = 400_000
 _FIELD = 40  # bits of a count in a packed number
 
 
+def letter_runs(word: str) -> list[str]:
+    """Runs of letters (the Unicode categories L*) of a word in lower case."""
+    found = _WORDLIKE.findall(word.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for part in found for run in "".join(c if c.isalpha() else " " for c in part).split(" ") if run]
+
+
 def grams(word: str) -> list[str]:
     """N-grams of the letter runs of a word."""
     out = []
-    for run in _LETTERS.findall(word.lower()):
+    for run in letter_runs(word):
         marked = f"^{run}$"
         out += run
         out += [marked[i : i + n] for n in SIZES[1:] for i in range(len(marked) - n + 1)]

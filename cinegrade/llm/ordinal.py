@@ -12,9 +12,10 @@ words, a word's weight is looked up once and remembered.
 The fit uses a bounded sample of rated documents (MAX_ROWS, by hash of the id) whose hashed counts,
 at most MAX_ROWS x BUCKETS numbers, go to the driver; all documents are scored.
 
-Defined cases: null or wordless text has s = 0; ratings with a null id or grade are not used; with
-fewer than two grades in the sample nothing is learned and every tail is 1, so nothing is rejected;
-rows may repeat; an empty table gives no rows.
+Defined cases: null or wordless text has s = 0; ratings with a null id or grade are not used. Where no
+rating, or every rating, reaches a grade, nothing is learned of it and its tail is 1, so nothing is
+rejected on it; so it is without ratings. Rows may repeat; an empty table gives no rows. Few ratings
+give small weights, as the penalty is shared by all of them.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from cinegrade.llm.common import Memo, slices, texts
 from cinegrade.llm.tree_rules import labelled_sample
 
 MAX_ROWS = 8_000
+GRADES = 3  # that grades_of gives
 BUCKETS = 1 << 16
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -45,7 +47,7 @@ def word_features(word: str) -> tuple[int, ...]:
     """Buckets of a word: its letters, and its other characters if it has any."""
     letters = "".join(_LETTERS.findall(word)).lower()
     rest = _LETTERS.sub("", word)
-    named = (["w " + letters] if letters else []) + (["r " + rest[:20]] if rest else [])
+    named = (["w " + letters] if letters else []) + (["r " + rest] if rest else [])
     return tuple(zlib.crc32(n.encode("utf-8", "replace")) % BUCKETS for n in named)
 
 
@@ -73,29 +75,37 @@ class OrdinalModel:
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... in columns."""
-        return 1 / (1 + np.exp(-np.clip(scores[:, None] - np.array(self.thresholds), -35, 35)))
+        cuts = np.array(self.thresholds)
+        return np.where(np.isneginf(cuts), 1.0, 1 / (1 + np.exp(-np.clip(scores[:, None] - cuts, -35, 35))))
 
 
-def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], steps: int = 150, ridge: float = 1e-3, least_z: float = 6.0) -> OrdinalModel:
+def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], grades: int | None = None, steps: int = 150, ridge: float = 8.0, features: int = 500) -> OrdinalModel:
     """Weights and thresholds by gradient descent with momentum and adaptive steps on the mean loss.
 
-    rows: grade, buckets and values. Grades are 0, 1, 2, ...; every grade is one target of a tail.
-    Features are screened first: only those whose covariance with a tail is least_z standard errors
-    from 0 get a weight, so words that are merely rare don't overfit. They are scaled to unit mean
-    square for the descent, so that rare telling words move as fast as common ones.
+    rows: grade, buckets and values. Grades are 0, 1, 2, ..., as many as `grades` says or the largest one shows;
+    each above 0 that some ratings reach and others don't is one target of a tail.
+    The `features` buckets whose covariance with a tail is the most standard errors from 0 get a weight: the best by
+    rank, so few ratings are no special case. They are scaled to unit mean square for the descent, so that rare
+    telling words move as fast as common ones, and by those standard errors over the largest. The penalty is
+    ridge for all rows together.
     """
-    grades = np.array([int(r[0]) for r in rows], dtype=np.int64)
-    top = int(grades.max()) if len(grades) else 0
-    if len(np.unique(grades)) < 2:
-        return OrdinalModel(np.zeros(BUCKETS).tobytes(), (-np.inf,) * max(top, 1))
+    given = np.array([int(r[0]) for r in rows], dtype=np.int64)
+    tops = np.arange(1, max(grades or 0, given.max(initial=1) + 1))
+    known = tops[[0 < (given >= k).sum() < len(given) for k in tops]]
+    if not len(known):
+        return OrdinalModel(np.zeros(BUCKETS).tobytes(), (-np.inf,) * len(tops))
+    top = len(known)
     at = np.concatenate([r[1] for r in rows])
     value = np.concatenate([r[2] for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     scale = np.sqrt(len(rows) / np.maximum(np.bincount(at, value**2, BUCKETS), 1e-12))
-    reaches = (grades[:, None] >= np.arange(1, top + 1)).astype(float)
+    reaches = (given[:, None] >= known).astype(float)
     centred = (reaches - reaches.mean(axis=0)) / np.maximum(reaches.std(axis=0), 1e-9)
-    z = [np.abs(np.bincount(at, c[row] * value, BUCKETS)) * scale / np.sqrt(len(rows)) for c in centred.T]
-    scale[np.max(z, axis=0) < least_z] = 0
+    z = np.max([np.abs(np.bincount(at, c[row] * value, BUCKETS)) * scale / np.sqrt(len(rows)) for c in centred.T], axis=0)
+    best = np.lexsort((np.arange(BUCKETS), -z))[:features]
+    telling = np.zeros(BUCKETS)
+    telling[best] = z[best] / max(z.max(), 1e-9)
+    scale *= telling
     value = value * scale[at]
     share = np.clip(reaches.mean(axis=0), 1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
@@ -106,14 +116,16 @@ def fit(rows: list[tuple[float, np.ndarray, np.ndarray]], steps: int = 150, ridg
         weights, cuts = state[:BUCKETS], state[BUCKETS] + np.concatenate([[0.0], np.cumsum(np.exp(state[BUCKETS + 1 :]))])
         scores = np.bincount(row, weights[at] * value, len(rows))
         error = 1 / (1 + np.exp(-np.clip(scores[:, None] - cuts, -35, 35))) - reaches
-        slope = np.bincount(at, error.sum(axis=1)[row] * value, BUCKETS) / len(rows) + ridge * weights
+        slope = np.bincount(at, error.sum(axis=1)[row] * value, BUCKETS) / len(rows) + ridge / len(rows) * weights
         down = -error.mean(axis=0)
         steps_up = np.exp(state[BUCKETS + 1 :]) * np.array([down[k:].sum() for k in range(1, top)])
         gradient = np.concatenate([slope, [down.sum()], steps_up])
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         state = state - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     cuts = state[BUCKETS] + np.concatenate([[0.0], np.cumsum(np.exp(state[BUCKETS + 1 :]))])
-    return OrdinalModel((state[:BUCKETS] * scale).tobytes(), tuple(cuts.tolist()))
+    thresholds = np.full(len(tops), -np.inf)
+    thresholds[known - 1] = cuts
+    return OrdinalModel((state[:BUCKETS] * scale).tobytes(), tuple(thresholds.tolist()))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,13 +136,13 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["target", "buckets", "counts"])
 
 
-def fit_ordinal(docs: DataFrame, ratings: DataFrame, grade: str = "grade", max_rows: int = MAX_ROWS,
+def fit_ordinal(docs: DataFrame, ratings: DataFrame, grade: str = "grade", grades: int | None = None, max_rows: int = MAX_ROWS,
                 id_col: str = "doc_id", text_col: str = "text", **descent) -> OrdinalModel:
     """Fit on at most max_rows rated documents; ratings has the id and the grade (0, 1, 2, ...)."""
     sample = labelled_sample(docs, ratings, grade, max_rows, id_col, text_col)
     found = sample.mapInArrow(_hashed, "target double, buckets binary, counts binary").toArrow().to_pydict()
     rows = sorted(zip(found["target"], found["buckets"], found["counts"]))  # the same order in each run
-    return fit([(g, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<f4").astype(float)) for g, b, c in rows], **descent)
+    return fit([(g, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<f4").astype(float)) for g, b, c in rows], grades, **descent)
 
 
 @lru_cache(maxsize=1)

@@ -5,7 +5,8 @@ own writer: its commit protocol keeps the output whole when executors are lost,
 that Spark can write to will do.
 
   part=ids/part-NNNNN-*   little-endian unsigned integers: the ids of each document, then the end id
-  part=index/part-NNNNN-* records of 16 bytes: document id (signed 64 bit), number of ids (64 bit)
+  part=index/part-NNNNN-* records of 24 bytes, 64 bit each: document id (signed), offset of its first id in the
+                          file of ids (counted in ids), number of ids
 
 The width is two bytes if the vocabulary has at most 65,536 ids, else four. Spark's text writer
 puts a line separator behind each row; here the separator is the end id itself, in the width of
@@ -17,7 +18,7 @@ which is one small row for each file.
 
 Defined cases: null text counts as empty and gives the end id alone; a null document id is
 written as the smallest 64-bit integer and read as null; rows with the same id follow one another
-in no fixed order; an empty table gives no files and reads as no rows.
+in no fixed order, the same in both files; an empty table gives no files and reads as no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from cinegrade.llm.common import Memo, slices, space_units, texts
 
 NULL_ID = -(1 << 63)
-INDEX = np.dtype([("doc_id", "<i8"), ("n_tokens", "<i8")])
-_ROW = "part string, doc_id bigint, value binary"
+INDEX = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("n_tokens", "<i8")])
+_ROW = "part string, place bigint, value binary"
 
 
 def _rank_order(model: dict) -> dict[bytes, int] | None:
@@ -84,8 +85,12 @@ def _encoder(model: str, width: int) -> tuple[Memo, Memo]:
 
 
 def encoded(batches: Iterator[pa.RecordBatch], model: str, width: int) -> Iterator[pa.RecordBatch]:
-    """Two rows for each document: its ids, and its index record without the separator's bytes."""
+    """Two rows for each document: its ids, and its index record without the separator's bytes.
+
+    Both carry the document's place in the partition, by which they are sorted: ids may repeat.
+    """
     first, later = _encoder(model, width)
+    place, start = 0, 0
     for part in slices(batches, 256):
         doc_ids = part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8")
         bodies = []
@@ -95,12 +100,15 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, width: int) -> Iterat
         counts = np.array([len(b) // width + 1 for b in bodies], dtype="<i8")
         records = np.empty(len(bodies), dtype=INDEX)
         records["doc_id"], records["n_tokens"] = doc_ids, counts
+        records["start"] = start + np.cumsum(counts) - counts
+        places = place + np.arange(len(bodies))
+        place, start = place + len(bodies), start + int(counts.sum())
         raw, keep = records.tobytes(), INDEX.itemsize - width
         index = [raw[i : i + keep] for i in range(0, len(raw), INDEX.itemsize)]
         kinds = ["ids"] * len(bodies) + ["index"] * len(bodies)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds), pa.array(np.concatenate([doc_ids, doc_ids])), pa.array(bodies + index, pa.binary())],
-            names=["part", "doc_id", "value"])
+            [pa.array(kinds), pa.array(np.concatenate([places, places])), pa.array(bodies + index, pa.binary())],
+            names=["part", "place", "value"])
 
 
 def write_token_files(docs: DataFrame, path: str, model: str, vocab_size: int, end_id: int = 0,
@@ -115,7 +123,7 @@ def write_token_files(docs: DataFrame, path: str, model: str, vocab_size: int, e
     ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id")
     ordered = ordered.sortWithinPartitions("doc_id")
     rows = ordered.mapInArrow(lambda batches: encoded(batches, model, width), _ROW)
-    rows = rows.sortWithinPartitions("part", "doc_id").select(F.col("value").cast("string").alias("value"), "part")
+    rows = rows.sortWithinPartitions("part", "place").select(F.col("value").cast("string").alias("value"), "part")
     rows.write.partitionBy("part").option("lineSep", "\0" * width).option("compression", "none").text(path)
     return width
 
@@ -154,8 +162,8 @@ def read_contents(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
 
 def _digests(ids: np.ndarray, index: np.ndarray, base: int, rows: int = 8192) -> Iterator[pa.RecordBatch]:
     counts = np.asarray(index["n_tokens"]).astype(np.int64)
-    ends = np.cumsum(counts)
-    starts = ends - counts
+    starts = np.asarray(index["start"]).astype(np.int64)
+    ends = starts + counts
     doc_ids = np.asarray(index["doc_id"]).astype(np.int64)
     for at in range(0, len(counts), rows):
         some = slice(at, at + rows)

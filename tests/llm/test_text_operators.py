@@ -217,6 +217,96 @@ def test_grades_are_ordered_and_separate(spark):
     assert all(r.kept for r in ordinal.grade(docs, nothing, select=1).collect())
 
 
+def plain_loss(weights, thresholds, rows, known):
+    """Mean loss of the tails, one text and one grade at a time."""
+    total = 0.0
+    for grade, buckets, values in rows:
+        s = sum(weights[b] * v for b, v in zip(buckets, values))
+        for k in known:
+            p = 1 / (1 + np.exp(-(s - thresholds[k - 1])))
+            total -= np.log(p if grade >= k else 1 - p)
+    return total / len(rows)
+
+
+@pytest.mark.parametrize("n", [2, 30, 3000])
+def test_few_and_many_ratings_keep_good_texts(n):
+    draw = random.Random(n)
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    bad = lambda g: ["garble", "junkish"][g] if g < 2 else "plain"
+    text = lambda g: " ".join(draw.choices(words, k=30) + [bad(g)] * 3)
+    grades = [(2, 2, 0, 2, 2, 1)[i % 6] for i in range(n)]
+    rows = [(g, *ordinal.hashed_counts(text(g))) for g in grades]
+    model = ordinal.fit(rows, grades=3)
+    assert len(model.thresholds) == 2
+    fresh = [(g, text(g)) for g in (0, 1, 2, 2) * 50]
+    tails = model.tails(ordinal.scores([t for _, t in fresh], model))[:, 1]
+    if n == 2:  # only good texts: nothing to tell apart
+        assert (tails == 1).all()
+        return
+    good = np.array([g == 2 for g, _ in fresh])
+    assert tails[good].mean() > tails[~good].mean() + (0.05 if n == 30 else 0.5)
+    weights = np.frombuffer(model.weights)
+    base = [float(np.log((1 - s) / s)) for s in (np.mean([g >= k for g in grades]) for k in (1, 2))]
+    assert plain_loss(weights, model.thresholds, rows[:300], (1, 2)) < plain_loss(np.zeros_like(weights), base, rows[:300], (1, 2))
+
+
+def test_grades_that_nobody_gives_reject_nothing():
+    rows = [(i % 2, *ordinal.hashed_counts("good text here" if i % 2 else "bad words there")) for i in range(40)]
+    model = ordinal.fit(rows, grades=3)
+    tails = model.tails(ordinal.scores(["good text here", "bad words there", ""], model))
+    assert (tails[:, 1] == 1).all() and tails[0, 0] > 0.5 > tails[1, 0]
+    assert ordinal.word_features("-" * 25 + "x") != ordinal.word_features("-" * 26 + "x")
+
+
+def test_letters_are_those_of_unicode(spark):
+    assert language_bits.letter_runs("½") == language_bits.letter_runs("x²")[1:] == []
+    assert language_bits.letter_runs("aⅧb3Éc_d") == ["a", "b", "éc", "d"]
+    docs = table(spark, ["the cat sat on the mat", "le chat noir", "½", "²", "Ⅷ 12", "cat", None, "the cat sat on the mat", "the cat " * 40_000])
+    fitted = language_bits.fit_filter(docs.where("doc_id < 2").selectExpr("if(doc_id = 0, 'en', 'fr') as lang", "text"))
+    found = by_id(language_bits.predict(docs, fitted))
+    assert [found[i].lang_pred for i in (2, 3, 4, 6)] == ["und"] * 4 and {found[i].score for i in (2, 3, 4, 6)} == {0.0}
+    assert found[5].lang_pred == found[8].lang_pred == "en" and found[0].score == found[7].score
+    assert language_bits.predict(docs.limit(0), fitted).count() == 0
+
+
+def test_rows_of_one_id_stay_together_when_sorts_spill(spark, tmp_path):
+    """Ids and index records of repeated ids belong together, in whatever order spilled parts are merged."""
+    from tokenizers import Tokenizer
+
+    model = file_bytes("byte_bpe_50k.json").decode()
+    library = Tokenizer.from_str(model)
+    draw = random.Random(11)
+    texts = [" ".join(draw.choice("abcdefg") * draw.randint(1, 4) for _ in range(draw.randint(0, 12))) for _ in range(3000)]
+    docs = spark.createDataFrame([(7 if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    conf = spark._jvm.org.apache.spark.SparkEnv.get().conf()
+    conf.set("spark.shuffle.spill.numElementsForceSpillThreshold", "200")
+    try:
+        path = str(tmp_path / "tokens")
+        width = token_files.write_token_files(docs, path, model, vocab_size=50_257)
+        found = token_files.read_token_files(spark, path, width).collect()
+    finally:
+        conf.remove("spark.shuffle.spill.numElementsForceSpillThreshold")
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want[(7 if i % 2 else None, len(ids), zlib.crc32(ids.tobytes()))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == want
+
+
+def test_places_order_both_files():
+    """Every row of a partition's pass has its own place, the same for its ids and its index record, over batches."""
+    import pyarrow as pa
+
+    model = file_bytes("byte_bpe_50k.json").decode()
+    batch = lambda ids, texts: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(token_files.encoded(iter([batch([7, 7, None], ["a b", "", "c"]), batch([7, 8], ["d", "e f g"])]), model, 2))
+    places = {k: [p for o in out for kind, p in zip(o.column("part").to_pylist(), o.column("place").to_pylist()) if kind == k] for k in ("ids", "index")}
+    assert places["ids"] == places["index"] == [0, 1, 2, 3, 4]
+    records = b"".join(v + b"\0\0" for o in out for kind, v in zip(o.column("part").to_pylist(), o.column("value").to_pylist()) if kind == "index")
+    index = np.frombuffer(records, token_files.INDEX)
+    assert (index["start"] == np.cumsum(index["n_tokens"]) - index["n_tokens"]).all() and index["doc_id"].tolist() == [7, 7, token_files.NULL_ID, 7, 8]
+
+
 def test_grades_of_labels(spark):
     labels = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 1, None), (5, None, 1)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.grade for r in ordinal.grades_of(labels).collect()} == {1: 0, 2: 1, 3: 2, 4: 2, 5: None}
