@@ -2,6 +2,9 @@
 
 Each stage takes the documents that the stage before it kept, and all but the last return rows with
 the columns of documents. Fitted models and counts are those of the stage's own input.
+
+Defined cases, for all stages: an empty table gives no rows; null texts count as empty, null sources and ids
+are values like any other; rows may repeat; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,20 +20,27 @@ LEAST_TAIL = 0.75
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose top grade (good and not toxic) has a probability of LEAST_TAIL or more."""
+    """Documents whose top grade (good and not toxic) has a probability of LEAST_TAIL or more.
+
+    All stay if no label, or every label, has that grade. Few labels give small weights, and tails near the
+    share of the grade among them.
+    """
     prepare(spark)
-    model = ordinal.fit_ordinal(docs, ordinal.grades_of(table(spark, sf_dir, "labels")))
-    rows = docs.select(F.struct("*").alias("whole"), ordinal.tail_column(F.col("text"), model, len(model.thresholds)).alias("tail"))
+    model = ordinal.fit_ordinal(docs, ordinal.grades_of(table(spark, sf_dir, "labels")), grades=ordinal.GRADES)
+    rows = docs.select(F.struct("*").alias("whole"), ordinal.tail_column(F.col("text"), model, ordinal.GRADES - 1).alias("tail"))
     return rows.where(F.col("tail") >= LEAST_TAIL).select("whole.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
+    """Of equal texts, the document with the largest id; a null id is smaller than any."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles.
+
+    A document without words is linked with nothing and stays.
+    """
     prepare(spark)
     return jaccard_join.drop_near_copies(docs, words_each=5, at_least=(4, 5))
 
