@@ -174,14 +174,14 @@ def _in_sorted(values: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def _regions(batches: Iterator[pa.RecordBatch], words_each: int, missing: tuple[int, int], hot: Broadcast) -> Iterator[pa.RecordBatch]:
-    """(element, sig, n, rank) for the elements in each set's window; copies inside a task once.
+    """(element, sig, n, rank, hot) for the elements in each set's window; copies inside a task once.
 
     missing: numerator and denominator of the share of a set that a linked set may lack.
     """
     keep_only(_word_hashes())
     seen: set[int] = set()
     for part in slices(batches):
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for text in utf8(part.column("text")):
             elements = shingle_set(text, words_each)
             n = len(elements)
@@ -194,13 +194,14 @@ def _regions(batches: Iterator[pa.RecordBatch], words_each: int, missing: tuple[
                 seen.add(sig)
             late = _in_sorted(elements, hot.value)
             window = np.concatenate([elements[~late], elements[late]])[: n * missing[0] // missing[1] + 1]
-            for column, values in zip(out, (_signed(window), np.full(len(window), sig), np.full(len(window), n), np.arange(len(window)))):
+            rank = np.arange(len(window))
+            for column, values in zip(out, (_signed(window), np.full(len(window), sig), np.full(len(window), n), rank, rank >= n - late.sum())):
                 column.append(values)
         if out[0]:
             columns = [np.concatenate(c) for c in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))],
-                names=["element", "sig", "n", "rank"])
+                [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32)), pa.array(columns[4])],
+                names=["element", "sig", "n", "rank", "hot"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words_each: int, wanted: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -343,6 +344,17 @@ def _recursed(members: DataFrame, t: tuple[int, int]) -> tuple[DataFrame, DataFr
     return star, written(below, "below")
 
 
+def _shared_regions(regions: DataFrame) -> DataFrame:
+    """The rows whose element another class has too, or may have: most windows hold elements that are in one set only.
+
+    One pass sorts the rows by element; a hot element, which could be one task's work, passes as it is.
+    """
+    same = Window.partitionBy("element")
+    met = regions.where("NOT hot").withColumns({"low": F.min("sig").over(same), "high": F.max("sig").over(same)}).where("low < high")
+    columns = ["element", "sig", "n", "rank"]
+    return met.select(columns).unionByName(regions.where("hot").select(columns))
+
+
 def _candidate_edges(regions: DataFrame, classes: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Pairs of classes that may be linked, and stars of regions too large for pairs."""
     sizes = regions.groupBy("element").agg(F.count("*").alias("size"), F.min("sig").alias("least")).where("size > 1")
@@ -382,7 +394,8 @@ def jaccard_groups(docs: DataFrame, words_each: int = 5, at_least: tuple[int, in
     classes = own.where("sig IS NOT NULL").groupBy("sig").agg(
         F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *(F.min(f"b{k}").alias(f"b{k}") for k in range(_SKETCH)), F.max("sketch").alias("sketch"))
     missing = (t[1] - t[0], t[1])
-    regions = written(rows.mapInArrow(lambda b: _regions(b, words_each, missing, hot), "element bigint, sig bigint, n int, rank int"), "regions")
+    regions = rows.mapInArrow(lambda b: _regions(b, words_each, missing, hot), "element bigint, sig bigint, n int, rank int, hot boolean")
+    regions = written(_shared_regions(written(regions, "regions")), "shared-regions")
     classes = written(classes, "classes")
     groups = components(_candidate_edges(regions, classes, t))
     groups = written(groups.join(classes.select(F.col("sig").alias("node"), "doc_id", "n"), "node"), "groups")
