@@ -5,10 +5,10 @@ that no template has can be in no template, so windows are filled from the other
 without any drop out in the scan, and no text is shuffled.
 
 Templates fall into classes by their number of shingles n: width w is the power of two with
-w / 2 < n <= w. A class has windows of 2w positions that begin at every w-th position, so each place
-where a template can stand lies whole inside one of them. If a window holds the share c of a
-template's shingles, their Jaccard similarity is at least c n / (2w + (1 - c) n); with one hash to a
-band, `bands_for` gives the number of bands at which such a pair misses all of them with
+w / 2 < n <= w. A class has windows of SPAN * w positions that begin at every w-th position, so every span of
+(SPAN - 1) * w positions lies whole inside one of them: a template is found wherever it stands, also with w
+further words put into it. If a window holds the share c of a template's shingles, their
+Jaccard similarity is at least c n / (SPAN * w + (1 - c) n); with one hash to a band, `bands_for` gives the number of bands at which such a pair misses all of them with
 probability MISS at most. Retrieved pairs are verified exactly: the share of the template's
 shingles that the window has.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from cinegrade.llm.common import hinted, written
 
 SHINGLE, SHARE, MISS = 5, 0.8, 1e-3
+SPAN = 3
 WORD = "[\\p{L}\\p{N}]+"
 #: Wordings of public license notices.
 NOTICES = [
@@ -41,6 +42,27 @@ NOTICES = [
                  "documentation files, to deal in the Software without restriction, including without limitation the rights to use, "
                  "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
     ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mit", "Licensed under the MIT License."),
+    ("mit", "This project is licensed under the terms of the MIT license."),
+    ("mit-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+                     "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+                   "You may obtain a copy of the License at"),
+    ("apache-2.0-text", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+                        "\"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+                "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+             "as published by the Free Software Foundation"),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-3.0", "Licensed under the GNU Affero General Public License v3.0."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+            "the above copyright notice and this permission notice appear in all copies."),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
 
@@ -50,7 +72,7 @@ def words_of(text: Column) -> Column:
 
 def bands_for(share: float = SHARE, miss: float = MISS) -> int:
     """Bands of one hash at which the least similar window and template miss each other with probability `miss`."""
-    least = share * 0.5 / (2 + (1 - share) * 0.5)  # n just over w / 2
+    least = share * 0.5 / (SPAN + (1 - share) * 0.5)  # n just over w / 2
     return math.ceil(math.log(miss) / math.log(1 - least))
 
 
@@ -85,7 +107,8 @@ def license_matches(docs: DataFrame, templates: DataFrame, share: float = SHARE,
     """doc_id, template_id, containment (share of the template's shingles in the best window) and first_word,
     where that window's first shingle stands, for each row and template whose containment is at least `share`.
 
-    templates: (template_id, text), a list for people to keep up; its words are put into the plan.
+    templates: (template_id, text), a list for people to keep up; its words are put into the plan. An id may
+    have several wordings; the best one counts.
     """
     known = written(template_table(templates), "templates")
     vocabulary = [r[0] for r in known.select(F.explode("words").alias("w")).distinct().orderBy("w").collect()]
@@ -105,9 +128,9 @@ def license_matches(docs: DataFrame, templates: DataFrame, share: float = SHARE,
     shingles = found.select("doc_id", "row", F.explode(F.transform("places", lambda i: F.struct(i.alias("at"), _shingle(F.col("words"), i).alias("shingle")))).alias("s"))
     in_windows = shingles.select("doc_id", "row", "s.*", F.explode(F.array(*(F.lit(w) for w in widths))).alias("width"))
     window = F.floor(F.col("at") / F.col("width"))
-    in_windows = in_windows.select("doc_id", "row", "width", "at", "shingle", F.explode(F.array(window, window - 1)).alias("window"))
+    in_windows = in_windows.select("doc_id", "row", "width", "at", "shingle", F.explode(F.array(*[window - k for k in range(SPAN)])).alias("window"))
     windows = in_windows.groupBy("doc_id", "row", "width", "window").agg(
-        F.collect_set("shingle").alias("held"), F.min("at").alias("first_word"))  # 2w shingles at most
+        F.collect_set("shingle").alias("held"), F.min("at").alias("first_word"))  # SPAN * w shingles at most
     marked = windows.select("doc_id", "row", "width", "window", "first_word", "held", F.explode(_bands(F.col("held"), bands)).alias("b"))
     marked = marked.select("doc_id", "row", "width", "window", "first_word", "held", "b.*")
     of_templates = known.select("template_id", "shingles", "width", F.explode(_bands(F.col("shingles"), bands)).alias("b")).select("template_id", "shingles", "width", "b.*")
