@@ -72,14 +72,18 @@ def _angled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*keep.columns, lists], names=[*keep.schema.names, "angles"])
 
 
-def _spread(candidates: pa.Table) -> pa.Table:
-    """ARMS pivots of a node: each one is the candidate farthest from those before it."""
+def _spread(candidates: pa.Table, leaf: int) -> pa.Table:
+    """Pivots of a node: each one is the candidate farthest from those before it.
+
+    Three times as many as leaves its own vectors fill, up to ARMS; the first one again in the places that are left.
+    """
     candidates = candidates.sort_by("rank")
     u = _matrix(candidates.column("u"))
     chosen, nearest = [0], u @ u[0]
-    while len(chosen) < ARMS:
+    while len(chosen) < min(ARMS, 3 * -(-candidates.column("own")[0].as_py() // leaf)):
         chosen.append(int(nearest.argmin()))
         nearest = np.maximum(nearest, u @ u[chosen[-1]])
+    chosen += [0] * (ARMS - len(chosen))
     return pa.table({"node": candidates.column("node")[:1], "pivots": pa.array([u[chosen].tobytes()], pa.binary())})
 
 
@@ -87,12 +91,13 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.sum(F.col("home").cast("long")).alias("own"), F.count("*").alias("all"))
 
 
-def _split(rows: DataFrame, theta: float) -> DataFrame:
+def _split(rows: DataFrame, sizes: DataFrame, theta: float, leaf: int) -> DataFrame:
     """Rows of the children (columns parent, key, u, node, home) of every node among rows."""
     kind = rows.schema["key"].dataType.simpleString()
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key"), "key"))
     candidates = rows.where("home").select("node", "u", rank.alias("rank")).where(F.col("rank") <= CANDIDATES)
-    pivots = candidates.groupBy("node").applyInArrow(_spread, "node bigint, pivots binary")
+    candidates = candidates.join(sizes.select("node", "own"), "node")
+    pivots = candidates.groupBy("node").applyInArrow(lambda c: _spread(c, leaf), "node bigint, pivots binary")
     angled = rows.join(pivots, "node").mapInArrow(_angled, f"key {kind}, u binary, node bigint, home boolean, angles array<double>")
     angled = angled.withColumn("arm", F.array_position("angles", F.array_min("angles")).cast("int") - 1)
     angled = save(angled, scratch_path(rows.sparkSession, "angles"))
@@ -122,7 +127,7 @@ def tree(units: DataFrame, theta: float, leaf: int = LEAF) -> DataFrame:
         open_rows = open_rows.join(large.select("node"), "node", "left_semi")
         if open_rows.isEmpty():
             return _leaves(done)
-        below = save(_split(open_rows, theta), scratch_path(spark, "node"))
+        below = save(_split(open_rows, large, theta, leaf), scratch_path(spark, "node"))
         after = below.groupBy("parent", "node").agg(F.sum(F.col("home").cast("long")).alias("own"), F.count("*").alias("all"))
         after = after.groupBy("parent").agg(F.sum(F.col("own") * F.col("all")).alias("after")).withColumnRenamed("parent", "node")
         saves = large.join(after, "node").where(F.col("after") <= SAVES * F.col("own") * F.col("all")).select("node")
