@@ -5,8 +5,10 @@ import random
 
 import pytest
 
+from cinegrade.catalog import matching as queries
 from cinegrade.functions.similarity import relative_distance
 from cinegrade.operators.joins import merge_titles
+from cinegrade.operators import matching
 from cinegrade.operators.matching import EDIT, RATIO, closest_titles
 
 WORDS = "red blue night return king the of lost star war love last man iron day queen ring".split()
@@ -91,3 +93,72 @@ def test_merge_titles_with_and_without_year(spark):
     assert rows(merge_titles(targets, subs, films)) == [("a", 10, 7), ("b", None, None)]
     loose = merge_titles(targets, subs.drop("year"), films.drop("year"), year=None)
     assert rows(loose) == [("a", 10, 7), ("a", 20, 7), ("b", None, None)]
+
+
+def test_ratio_of_all_parts_equals_difflib(spark, sf_dir):
+    pools = {}
+    for row in queries._subtitles(spark, sf_dir).collect():
+        pools.setdefault(row["year"], []).append(row["MovieName"])
+    got = queries.closest_title_ratio(spark, sf_dir).collect()
+    assert len(got) == queries._targets(spark, sf_dir).count()
+    for row in got:
+        want = difflib.get_close_matches(row["TITLE"], pools[row["year"]])
+        assert row["closest"] == (want[0] if want else ""), row
+        if want:
+            assert row["score"] == round(difflib.SequenceMatcher(None, want[0], row["TITLE"]).ratio(), 9)
+
+
+def hot_year(spark, n):
+    """Titles of one year only, and their pairs that can reach the cutoff."""
+    rng = random.Random(3)
+    films = sorted({" ".join(rng.sample(WORDS, rng.randrange(1, 5))) for _ in range(n)})
+    targets = sorted({misspell(rng, f) for f in films})
+    frame = lambda titles: spark.createDataFrame([(1999, t) for t in titles], "year INT, text STRING")
+    common = matching._frequent_tokens(frame(films))
+    a, b = (matching._numbered(frame(t), "year", side, common) for t, side in ((targets, "a"), (films, "b")))
+    return targets, films, a, b
+
+
+@pytest.mark.parametrize("sim", [RATIO, EDIT], ids=["ratio", "edit"])
+def test_hot_year_in_cells(spark, monkeypatch, sim):
+    """A grid of small cells gives each pair of the plain join once, and every pair that reaches the cutoff."""
+    targets, films, a, b = hot_year(spark, 250)
+    plain = {tuple(r) for r in matching.candidate_pairs(a, b, "year", sim, 0.6).collect()}
+    monkeypatch.setattr(matching, "CELL_ROWS", 4)
+    left, right = matching._signatures(a, b, "year", sim, 0.6, "a"), matching._signatures(b, a, "year", sim, 0.6, "b")
+    assert matching._hot_keys(left, right, "year").where("parts_a > 1 AND parts_b > 1").count() > 0
+    dealt = matching.candidate_pairs(a, b, "year", sim, 0.6).collect()
+    assert len(dealt) == len(plain) and {tuple(r) for r in dealt} == plain
+    scored = {(r["text"], r["candidate"]) for r in matching.scored_pairs(a, b, "year", sim, 0.6).collect()}
+    ratio = lambda t, f: difflib.SequenceMatcher(None, f, t).ratio()
+    edit = lambda t, f: 1 - edit_distance(t, f) / max(len(t), len(f))
+    score = ratio if sim is RATIO else edit
+    assert {(t, f) for t in targets for f in films if t and score(t, f) >= 0.6} <= scored
+
+
+@pytest.mark.parametrize("sim", [RATIO, EDIT], ids=["ratio", "edit"])
+def test_one_year_scores_few_pairs(spark, monkeypatch, sim):
+    """What a search scores of one year, as counted in its steps: fewer than a tenth of the year's pairs."""
+    targets, films, _, _ = hot_year(spark, 400)
+    counts, plain = [], matching.scored_pairs
+
+    def counted(*args):
+        pairs = plain(*args)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(matching, "scored_pairs", counted)
+    closest_titles(*frames(spark, [(1999, t) for t in targets], [(1999, f) for f in films]), "year", "TITLE", "film", sim)
+    assert len(counts) == 2 and sum(counts) < len(targets) * len(films) / 10
+
+
+def test_empty_and_null_titles(spark):
+    """Nulls and empty titles match nothing, an empty table gives no rows, and the rows of the targets all stay."""
+    empty = spark.createDataFrame([], "year INT, TITLE STRING")
+    films = spark.createDataFrame([(1999, "jaws"), (None, "jaws"), (1999, None), (1999, "")], "year INT, film STRING")
+    targets = spark.createDataFrame([(1999, "jaws"), (1999, "jaws"), (None, "jaws"), (1999, None), (1999, "")], "year INT, TITLE STRING")
+    assert closest_titles(empty, films, "year", "TITLE", "film", EDIT).count() == 0
+    got = sorted(((r["year"], r["TITLE"], r["closest"]) for r in closest_titles(targets, films, "year", "TITLE", "film", EDIT).collect()), key=str)
+    assert got == sorted([(1999, "jaws", "jaws")] * 2 + [(None, "jaws", ""), (1999, None, ""), (1999, "", "")], key=str)
+    none = closest_titles(targets, films.limit(0), "year", "TITLE", "film", EDIT)
+    assert {r["closest"] for r in none.collect()} == {""}
