@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import models as registered
@@ -161,6 +161,26 @@ def test_search(docs):
     assert [r["layers"] for r in layers] == ["32-4-2", "32-2"] and all(0 <= r["accuracy"] <= 1 for r in layers)
 
 
+def test_fold_scores_share_features(docs, monkeypatch):
+    """Models with the same features share one IDF per fold, and each score is that of its whole pipeline fitted alone."""
+    rows = docs.withColumn("label", (F.col("rating") == "R").cast("double")).persist()
+    pipelines = {
+        "nb": ratings.rating_pipeline("naive_bayes", 64, {"min_doc_freq": 0}),
+        "lr": ratings.rating_pipeline("log_reg", 64, {"min_doc_freq": 0}, maxIter=5),
+        "rare": ratings.rating_pipeline("naive_bayes", 64, {"min_doc_freq": 3}),
+    }
+    folded = splits.with_fold(rows, "id", 3, 1)
+    want = {
+        (name, fold): pipeline.fit(folded.where(F.col("fold") != fold)).transform(folded.where(F.col("fold") == fold)).agg(scores.accuracy()).first()[0]
+        for name, pipeline in pipelines.items() for fold in range(3)
+    }
+    fits, plain = [], IDF._fit
+    monkeypatch.setattr(IDF, "_fit", lambda self, frame: fits.append(self) or plain(self, frame))
+    got = search.cv_scores(rows, pipelines, "id", k=3)
+    assert {(r["model"], r["fold"]): r["accuracy"] for r in got.collect()} == want
+    assert len(fits) == 3 * 2  # three folds, two settings
+
+
 def test_registered_comparison_covers_all_models_and_rare_terms(docs, monkeypatch):
     """The registered comparison has each model at its full size, over terms of 20 documents or more."""
     given = {}
