@@ -6,7 +6,6 @@ import math
 from functools import reduce
 
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +71,7 @@ def bigram_counts(spark, d):
 def hashing_tf(spark, d):
     """Bucket counts per document: number of used buckets and of counted tokens."""
     hashed = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=10000).transform(T.tokenised(spark, d))
-    tf = F.filter(vector_to_array("tf"), lambda x: x > 0)
+    tf = F.unwrap_udt("tf")["values"]  # HashingTF gives sparse vectors: one value for each used bucket
     return hashed.select(
         "doc_id", F.size(tf).cast("long").alias("buckets"),
         F.aggregate(tf, F.lit(0.0), lambda s, x: s + x).cast("long").alias("tokens"),

@@ -14,7 +14,7 @@ from cinegrade.catalog.guide import _comments, comment_targets
 from cinegrade.fixed_values import NUM_FEATURES, SEARCH_MIN_DOC_FREQ
 from cinegrade.functions.text import clean_tokens, remove_stop_words
 from cinegrade.plans import blend, docvectors, factors, guide, ratings, search
-from cinegrade.session import scratch_path
+from cinegrade.session import scratch_path, written
 from cinegrade.sources import writers
 from cinegrade.sources.readers import subtitle_rows
 from cinegrade.streaming.score import arriving, score_stream
@@ -36,11 +36,13 @@ def _all_rows(spark, d):
 
 
 def rating_fit(spark, d):
-    """Naive Bayes on the stemmed bags of labelled subtitles, applied to every usable subtitle."""
-    subtitles = T.subtitle_xml(spark, d)
-    train = ratings.training_rows(subtitles, T.labels(spark, d)).withColumn("label", (F.col("rating") == "R").cast("double"))
+    """Naive Bayes on the stemmed bags of labelled subtitles, applied to every usable subtitle.
+
+    All bags are wanted, so each subtitle is parsed and stemmed once, and the fit reads written bags.
+    """
+    bags = written(ratings.stemmed_bags(subtitle_rows(T.subtitle_xml(spark, d))).select("file_id", "bow"), "bags")
+    train = bags.join(ratings.extract_labels(T.labels(spark, d)), "file_id").withColumn("label", (F.col("rating") == "R").cast("double"))
     model = ratings.rating_pipeline("naive_bayes", FEATURES).fit(train)
-    bags = ratings.stemmed_bags(subtitle_rows(subtitles)).select("file_id", "bow")
     return model.transform(bags).select("file_id", "prediction", ratings.probability(1).alias("probability"))
 
 

@@ -70,9 +70,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder and go on from the written copy, whose size Spark knows."""
+    return written(df, "cut")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -82,13 +81,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only after a count has shown that df has at most max_rows rows.
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only after df was measured: at most max_rows rows, and max_bytes bytes as JSON.
 
-    A larger df comes back unhinted, so the join shuffles and AQE may split hot keys.
+    One aggregate that combines on the map side. A larger df comes back unhinted, so the join
+    shuffles and AQE may split hot keys.
     """
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
+    row_bytes = F.octet_length(F.to_json(F.struct("*")))
+    size = df.select(row_bytes.alias("row_bytes")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("row_bytes"), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

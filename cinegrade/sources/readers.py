@@ -24,8 +24,12 @@ def label_rows(lines: DataFrame) -> DataFrame:
     return parsed.select("row.*")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return label_rows(spark.read.text(path))
+def read_labels(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(file_id, rating) from CSV files. With `multi_line`, quoted fields may hold line breaks; a file is then one task."""
+    if not multi_line:
+        return label_rows(spark.read.text(path))
+    table = spark.read.csv(path, schema="file_id STRING, rating STRING", quote='"', escape='"', multiLine=True)
+    return table.where(F.col("file_id").isNull() | ~F.contains("file_id", F.lit("IDSubtitle")))
 
 
 def prediction_rows(lines: DataFrame) -> DataFrame:

@@ -59,6 +59,27 @@ def test_broadcast_only_when_small(spark):
     plan = lambda df: spark.range(10).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan(broadcast_if_small(spark.range(100), 100))
     assert "strategy=broadcast" not in plan(broadcast_if_small(spark.range(101), 100))
+    few = spark.range(3).withColumn("long", F.repeat(F.lit("x"), 1000))
+    assert "strategy=broadcast" in plan(broadcast_if_small(few)) and "strategy=broadcast" not in plan(broadcast_if_small(few, max_bytes=2000))
+    assert broadcast_if_small(spark.range(0)).count() == 0
+
+
+def test_numbers_of_many_labels_follow_their_order(spark):
+    names = [f"{(i * 7919) % 500:03d}" for i in range(500)]
+    rows = spark.createDataFrame([(n,) for n in names + names + [None]], "rating STRING").repartition(7)
+    got = scores.label_index(rows, "rating").collect()
+    assert len(got) == 1000 and all(r["label_index"] == int(r["rating"]) for r in got)
+
+
+def test_bucket_counts_are_those_of_the_dense_array(spark, sf_dir):
+    from pyspark.ml.feature import HashingTF
+
+    from cinegrade.catalog import tables as T
+    from cinegrade.catalog.features import hashing_tf
+
+    dense = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=10000).transform(T.tokenised(spark, sf_dir))
+    want = {r["doc_id"]: (np.count_nonzero(a), a.sum()) for r in dense.select("doc_id", "tf").collect() for a in [r["tf"].toArray()]}
+    assert {r["doc_id"]: (r["buckets"], r["tokens"]) for r in hashing_tf(spark, sf_dir).collect()} == want
 
 
 def test_idf_equals_spark_ml(docs):

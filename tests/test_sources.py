@@ -80,6 +80,9 @@ def test_labels_and_predictions_csv(spark, tmp_path):
     (tmp_path / "labels.csv").write_text('IDSubtitle,RATING,TITLE\n11,R,"a, b"\n\n12,PG,c\n')
     labels = readers.read_labels(spark, str(tmp_path / "labels.csv"))
     assert sorted(map(tuple, labels.collect())) == [("11", "R"), ("12", "PG")]
+    (tmp_path / "more.csv").write_text('IDSubtitle,RATING\n"1\n1",R\n\n12,"say ""PG"""\n')
+    broken = readers.read_labels(spark, str(tmp_path / "more.csv"), multi_line=True)
+    assert sorted(map(tuple, broken.collect())) == [("1\n1", "R"), ("12", 'say "PG"')]
     (tmp_path / "pred.csv").write_text("IDSubtitle,sentiment,prediction\n11.0,DRUGS,0.5\n12,SCARY,1\n")
     pred = readers.read_predictions(spark, str(tmp_path / "pred.csv"))
     assert sorted(map(tuple, pred.collect())) == [("11", "DRUGS", 0.5), ("12", "SCARY", 1.0)]
@@ -108,6 +111,13 @@ def test_insert_if_absent_twice(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 0), ("b", 2), ("c", 4)]
 
 
+def test_records_alike_in_order_give_one_result(spark):
+    rows = [("a", 1, c) for c in "zyxwv"]
+    for parts in (1, 3, 5):
+        records = spark.createDataFrame(rows, "imdb_id STRING, n INT, text STRING").repartition(parts, "text")
+        assert [tuple(r) for r in writers.first_per_key(records, "imdb_id", ["n"]).collect()] == [("a", 1, "v")]
+
+
 def test_replace_with_batches_truncates(spark, tmp_path):
     path = str(tmp_path / "store")
     frame = lambda *ns: spark.createDataFrame([(n,) for n in ns], "n INT")
