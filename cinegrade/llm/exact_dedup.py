@@ -1,7 +1,9 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Each step marks the buckets of its key that hold two rows or more, in a bit table whose size
-does not depend on the input. Rows in a marked bucket go on to the next step; only those that
+Each step marks the buckets of its key that hold two rows or more, in a bit table. That of the
+prefixes has eight bits a row, so that few buckets are marked by chance, up to MOST_BITS: it is
+broadcast, and its size is bounded by that. With far more rows than MOST_BITS chance marks
+most buckets, and more rows are hashed in full; results are the same. Rows in a marked bucket go on to the next step; only those that
 are left get their full content hashed. Text is never shuffled: the steps are scans, and what
 is grouped is a key and a count. Groups of any size are one partial aggregate (largest id,
 number). Copies of groups with more than 1 / MOST_LARGE of all rows meet them in a broadcast of fewer
@@ -20,30 +22,38 @@ from cinegrade.llm.common import hinted, written
 
 PREFIX_CHARS = 256
 LENGTH_BITS = 1 << 20
-PREFIX_BITS = 1 << 22
+PREFIX_BITS = 1 << 22  # at least
+MOST_BITS = 1 << 28  # 68 thousand pages of 600 bytes
 MOST_LARGE = 10_000
 _WORD = 62  # bits used of a long
+_PAGE = 64  # longs of a page
 
 
-def _repeated(rows: DataFrame, key: Column, bits: int) -> DataFrame:
-    """(word, mask): the bits of the buckets, key mod `bits`, that hold two rows or more.
+def prefix_bits(n_rows: int) -> int:
+    """Buckets of prefixes for so many rows: the power of two from eight times as many on, within bounds."""
+    return min(max(1 << (8 * n_rows - 1).bit_length() if n_rows else 0, PREFIX_BITS), MOST_BITS)
 
-    bits / 62 rows at most: 68 thousand rows or one megabyte for PREFIX_BITS.
-    """
-    return (
+
+def _repeated(rows: DataFrame, key: Column, bits: int) -> DataFrame:
+    """(page, masks): the bits of the buckets, key mod `bits`, that hold two rows or more, 64 longs a page."""
+    words = (
         rows.groupBy(F.pmod(key, F.lit(bits)).alias("bucket")).count().where("count > 1")
         .selectExpr(f"bucket div {_WORD} AS word", f"shiftleft(1L, CAST(bucket % {_WORD} AS INT)) AS bit")
         .groupBy("word").agg(F.bit_or("bit").alias("mask"))
     )
+    places = F.map_from_entries(F.collect_list(F.struct(F.expr(f"CAST(word % {_PAGE} AS INT)"), "mask")))  # 64 at most
+    pages = words.groupBy(F.expr(f"word div {_PAGE}").alias("page")).agg(places.alias("places"))
+    return pages.select("page", F.expr(f"transform(sequence(0, {_PAGE - 1}), i -> coalesce(element_at(places, i), 0L))").alias("masks"))
 
 
 def _in_repeated(rows: DataFrame, key: Column, bits: int, marked: DataFrame) -> DataFrame:
     """rows with `held`: is the bucket of the key marked?"""
     bucket = F.pmod(key, F.lit(bits))
     word = F.floor(bucket / F.lit(_WORD))
-    joined = rows.withColumn("at", word).withColumn("nth", (bucket - word * _WORD).cast("int"))
-    joined = joined.join(F.broadcast(marked), joined["at"] == marked["word"], "left")
-    return joined.withColumn("held", F.coalesce(F.expr("getbit(mask, nth) = 1"), F.lit(False))).drop("at", "nth", "word", "mask")
+    joined = rows.withColumns({"at": F.floor(word / F.lit(_PAGE)), "place": (word % _PAGE).cast("int"), "nth": (bucket - word * _WORD).cast("int")})
+    joined = joined.join(F.broadcast(marked), joined["at"] == marked["page"], "left")
+    held = F.coalesce(F.expr("getbit(get(masks, place), nth) = 1"), F.lit(False))
+    return joined.withColumn("held", held).drop("at", "place", "nth", "page", "masks")
 
 
 def _length() -> Column:
@@ -64,8 +74,9 @@ def hashed_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        *(value.alias(name) for name, value in carry.items()))
     lengths = written(_repeated(rows, _length(), LENGTH_BITS), "lengths")
     same_length = _in_repeated(rows, _length(), LENGTH_BITS, lengths)
-    prefixes = written(_repeated(same_length.where("held"), _prefix(), PREFIX_BITS), "prefixes")
-    left = _in_repeated(same_length.withColumnRenamed("held", "same_length"), _prefix(), PREFIX_BITS, prefixes)
+    bits = prefix_bits(docs.count())
+    prefixes = written(_repeated(same_length.where("held"), _prefix(), bits), "prefixes")
+    left = _in_repeated(same_length.withColumnRenamed("held", "same_length"), _prefix(), bits, prefixes)
     full = F.when(F.col("same_length") & F.col("held"), F.sha2(F.col("body").cast("binary"), 256))
     return left.select("doc_id", F.monotonically_increasing_id().alias("row"), full.alias("content_hash"), *carry)
 

@@ -30,6 +30,7 @@ from cinegrade.llm.common import hinted, written
 
 BLOCK_TOKENS = 50_000
 _STEPS = 60
+_PARTS = 64
 NO_SOURCE = "\0"
 
 
@@ -75,9 +76,54 @@ def exponent_for(tokens: dict[str, int], max_repeats: float | None = None, targe
     return max((bisect_exponent(w) for w in wanted), default=1.0)
 
 
-def source_table(rows: DataFrame) -> dict[str, int]:
-    """Tokens by source. Sources are few; their names and totals are all that comes to the driver."""
-    return {r["source"]: int(r["tokens"]) for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+def _entropies(shares: DataFrame, exponents: list[float]) -> list[float]:
+    """Entropy of the weights for each exponent, from the sources' shares, in one aggregate."""
+    raised = [F.pow("share", F.lit(a)) for a in exponents]
+    sums = shares.agg(*[F.sum(r).alias(f"s{i}") for i, r in enumerate(raised)], *[F.sum(r * F.log("share")).alias(f"l{i}") for i, r in enumerate(raised)]).first()
+    return [math.log(sums[f"s{i}"]) - a * sums[f"l{i}"] / sums[f"s{i}"] for i, a in enumerate(exponents)]
+
+
+def exponent_of(totals: DataFrame, max_repeats: float | None = None, target_entropy: float | None = None) -> float:
+    """exponent_for() of a table of sources with their tokens, which stays distributed.
+
+    The limit of repetition depends on the largest and the smallest source alone. For the entropy the
+    interval is cut into _PARTS parts at a time, whose ends are looked at in one pass over the table.
+    """
+    some = totals.where("tokens > 0")
+    ends = some.agg(F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.sum("tokens").alias("total")).first()
+    if ends["total"] is None:
+        return exponent_for({}, max_repeats, target_entropy)
+    found = []
+    if max_repeats is not None:
+        found.append(exponent_for({"least": ends["least"], "most": ends["most"]}, max_repeats))
+    if target_entropy is not None:
+        shares = some.select((F.col("tokens") / F.lit(float(ends["total"]))).alias("share"))
+        low, high = 0.0, 1.0
+        while high - low > 2.0**-_STEPS and low + (high - low) / _PARTS > low:
+            tried = [low + (high - low) * i / _PARTS for i in range(_PARTS)]
+            first = next((i for i, e in enumerate(_entropies(shares, tried)) if e <= target_entropy), _PARTS)
+            if first == 0:
+                high = low
+                break
+            low, high = tried[first - 1], tried[first] if first < _PARTS else high
+        found.append(high)
+    return max(found, default=1.0)
+
+
+def source_plan(totals: DataFrame, exponent: float, block_tokens: int) -> DataFrame:
+    """source, weight, n_blocks, whole_passes, and rest: the tokens to take of the last pass.
+
+    The budget gives the least favoured source one whole pass. A source without tokens is taken once.
+    """
+    total = float(totals.agg(F.sum("tokens").alias("n")).first()["n"] or 1)
+    raised = totals.withColumn("raised", F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(total), F.lit(exponent))).otherwise(0.0))
+    norm = float(raised.agg(F.sum("raised").alias("n")).first()["n"] or 1)
+    shares = raised.withColumn("weight", F.col("raised") / F.lit(norm))
+    budget = float(shares.where("weight > 0").agg(F.max(F.col("tokens") / F.col("weight")).alias("n")).first()["n"] or 0)
+    seen = F.when(F.col("tokens") > 0, F.col("weight") * F.lit(budget) / F.col("tokens")).otherwise(1.0)
+    whole = F.floor(seen + 1e-9)
+    return shares.select("source", "weight", F.greatest(F.expr(f"tokens div {block_tokens}"), F.lit(1)).cast("long").alias("n_blocks"),
+                         whole.cast("long").alias("whole_passes"), F.greatest((seen - whole) * F.col("tokens"), F.lit(0.0)).alias("rest"))
 
 
 def _prefix(rows: DataFrame, size: str) -> DataFrame:
@@ -97,7 +143,7 @@ def _prefix(rows: DataFrame, size: str) -> DataFrame:
 
 def _planned(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with their source's plan and their block."""
-    joined = rows.join(F.broadcast(plan), "source")  # one row for each source
+    joined = rows.join(plan, "source")
     return joined.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), "n_blocks"))
 
 
@@ -116,30 +162,22 @@ def mixture(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: fl
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     full = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"), source.alias("source"), counted.alias("tokens"))
     rows = written(full.drop("whole"), "tokens")
-    totals = source_table(rows)
-    share = weights(totals, exponent_for(totals, max_repeats, target_entropy))
-    budget = max((totals[s] / w for s, w in share.items() if w), default=0.0)
-
-    def passes(s: str) -> tuple[int, float]:
-        seen = share[s] * budget / totals[s] if totals[s] else 1.0
-        whole = int(seen + 1e-9)
-        return whole, max(0.0, (seen - whole) * totals[s])
-
-    plan = rows.sparkSession.createDataFrame(
-        [(s, share[s], max(n // block_tokens, 1), *passes(s)) for s, n in totals.items()],
-        "source string, weight double, n_blocks bigint, whole_passes bigint, rest double")
+    totals = written(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
+    longest = totals.agg(F.max(F.octet_length("source")).alias("n")).first()["n"] or 0
+    plan = written(source_plan(totals, exponent_of(totals, max_repeats, target_entropy), block_tokens), "plan")
+    plan = hinted(plan, longest + 100)
     planned = _planned(rows, plan)
     blocks = planned.where("rest > 0").groupBy("source", "block", "whole_passes", "rest").agg(F.sum("tokens").alias("block_tokens"))
     order = F.shiftrightunsigned(F.xxhash64("source", "block", "whole_passes"), 1)
     begins = _prefix(blocks.withColumn("rank", order).withColumn("key", F.col("block")), "block_tokens").where("before < rest")
     left = F.col("rest") - F.col("before")
     begins = written(begins.select("source", "block", left.alias("left"), (F.col("block_tokens") > left).alias("cut")), "blocks")
-    cut = F.broadcast(begins.where("cut").select("source", "block", "left"))  # one block of a source at most
+    cut = hinted(begins.where("cut").select("source", "block", "left"), longest + 100)  # one block of a source at most
     inside = planned.select("doc_id", "source", "block", "tokens").join(cut, ["source", "block"])
     inside = inside.withColumn("rank", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("order")), 1)).withColumn("key", F.col("doc_id"))
     taken = written(_prefix(inside, "tokens").where("before < left").select("source", "doc_id").distinct(), "taken")
-    shown = _planned(full, plan).join(hinted(begins.select("source", "block", "cut"), 100), ["source", "block"], "left")
-    some = hinted(taken.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.lit(True).alias("in_cut")), 100)
+    shown = _planned(full, plan).join(hinted(begins.select("source", "block", "cut"), longest + 100), ["source", "block"], "left")
+    some = hinted(taken.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.lit(True).alias("in_cut")), longest + 100)
     shown = shown.join(some, (shown["source"] == some["s"]) & shown["doc_id"].eqNullSafe(some["d"]), "left")
     more = F.when(F.coalesce("cut", F.lit(True)), F.coalesce("in_cut", F.lit(False))).otherwise(True)
     return shown.select(

@@ -40,6 +40,7 @@ from cinegrade.llm.common import Memo, slices, space_units, texts
 
 NULL_ID = -(1 << 63)
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("n_tokens", "<i8")])
+FILE_BYTES = 256 << 20
 _ROW = "part string, place bigint, value binary"
 
 
@@ -112,16 +113,19 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, width: int) -> Iterat
 
 
 def write_token_files(docs: DataFrame, path: str, model: str, vocab_size: int, end_id: int = 0,
-                      id_col: str = "doc_id", text_col: str = "text") -> int:
+                      id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> int:
     """Write the ids of every text under path, in ascending order of the document ids; the width in bytes.
 
-    model: the tokenizer's JSON.
+    model: the tokenizer's JSON. A file takes the texts of about file_bytes bytes; there are two files
+    for each core at least, if there are rows enough.
     """
     if end_id != 0:
         raise ValueError("the end id is also the separator of index records and must be 0")
     width = 2 if vocab_size <= 1 << 16 else 4
-    ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id")
-    ordered = ordered.sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    text_bytes = ordered.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n_files = max(text_bytes // file_bytes + 1, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+    ordered = ordered.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id")
     rows = ordered.mapInArrow(lambda batches: encoded(batches, model, width), _ROW)
     rows = rows.sortWithinPartitions("part", "place").select(F.col("value").cast("string").alias("value"), "part")
     rows.write.partitionBy("part").option("lineSep", "\0" * width).option("compression", "none").text(path)
@@ -175,14 +179,14 @@ def _digests(ids: np.ndarray, index: np.ndarray, base: int, rows: int = 8192) ->
 
 def read_token_files(spark: SparkSession, path: str, width: int) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document in the files."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part=ids")):
+    if not store.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part=ids")):
         return spark.createDataFrame([], schema)
     pairs = _files(spark, path, "ids").join(_files(spark, path, "index"), "file_no")
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     pairs = pairs.withColumn("base", F.coalesce(F.sum(F.floor(F.col("ids_bytes") / width)).over(before), F.lit(0)))
-    if re.match(r"(file:|/)", path):
+    if re.match("file:", store.getUri().toString()):  # the store that a path without a scheme stands in, too
         named = pairs.select("ids_file", "index_file", "base").repartition("ids_file")
         return named.mapInArrow(lambda batches: read_documents(batches, width), schema)
     numbered = {kind: spark.read.format("binaryFile").load(f"{path}/part={kind}").select(

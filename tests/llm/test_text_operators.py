@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from cinegrade.llm import (
     chunked_bpe,
@@ -94,6 +95,15 @@ def test_token_files_equal_the_library(spark, tmp_path, odd):
     assert token_files.read_token_files(spark, empty, token_files.write_token_files(odd.limit(0), empty, model, 50_257)).count() == 0
 
 
+def test_number_of_files_follows_the_bytes(spark, tmp_path, odd):
+    model, found = file_bytes("byte_bpe_50k.json").decode(), []
+    for size in (1 << 30, 4_000):
+        path = f"{tmp_path}/{size}"
+        width = token_files.write_token_files(odd, path, model, vocab_size=50_257, file_bytes=size)
+        found.append((len(list((tmp_path / str(size) / "part=ids").glob("part-*"))), sorted(map(tuple, token_files.read_token_files(spark, path, width).collect()))))
+    assert found[0][0] < found[1][0] and found[0][1] == found[1][1]
+
+
 def test_files_read_as_contents_equal_mapped_ones(spark, tmp_path, odd, monkeypatch):
     path = f"file://{tmp_path}/tokens"
     width = token_files.write_token_files(odd, path, file_bytes("byte_bpe_50k.json").decode(), vocab_size=70_000)
@@ -356,6 +366,21 @@ def test_exponent_meets_entropy_and_limit():
     assert mixing.exponent_for(tokens, max_repeats=1.0) == pytest.approx(1.0) and mixing.exponent_for({}, max_repeats=2.0) == 0.0
 
 
+@pytest.mark.parametrize("aims", [{"max_repeats": 3.0}, {"target_entropy": 0.8}, {"target_entropy": 5.0}, {"max_repeats": 2.0, "target_entropy": 0.9}, {}])
+def test_plan_of_a_table_of_sources_equals_the_plain_formulas(spark, aims):
+    tokens = {"a": 1000, "b": 100, "c": 10, "d": 0, "e": 777}
+    totals = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    exponent = mixing.exponent_for(tokens, **aims)
+    assert mixing.exponent_of(totals, **aims) == pytest.approx(exponent, abs=1e-9)
+    weight = mixing.weights(tokens, exponent)
+    budget = max(tokens[s] / w for s, w in weight.items() if w)
+    for r in mixing.source_plan(totals, exponent, 50).collect():
+        assert r.weight == pytest.approx(weight[r.source]) and r.n_blocks == max(tokens[r.source] // 50, 1)
+        seen = weight[r.source] * budget if tokens[r.source] else 0
+        assert r.whole_passes * tokens[r.source] + r.rest == pytest.approx(seen, abs=1e-5) and r.whole_passes >= 1
+    assert mixing.exponent_of(totals.where("tokens = 0"), **aims) == mixing.exponent_for({}, **aims)
+
+
 def test_exact_groups_equal_brute_force(spark):
     draw = random.Random(9)
     same_start = "p" * 300
@@ -376,6 +401,17 @@ def test_exact_groups_equal_brute_force(spark):
     assert exact_dedup.exact_groups(docs.limit(0)).count() == 0
 
 
+def test_prefix_buckets_follow_the_rows(spark, monkeypatch):
+    assert [exact_dedup.prefix_bits(n) for n in (0, 1, 1 << 19, (1 << 19) + 1, 1 << 24, 1 << 40)] == [1 << 22, 1 << 22, 1 << 22, 1 << 23, 1 << 27, 1 << 28]
+    monkeypatch.setattr(exact_dedup, "PREFIX_BITS", 8)
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 8)  # chance marks every bucket
+    docs = table(spark, [f"text {i % 150:03d}" for i in range(200)])
+    assert Counter(r.group_size for r in exact_dedup.exact_groups(docs).collect()) == {1: 100, 2: 100}
+    marked = exact_dedup._repeated(spark.createDataFrame([(7,), (7,), (5000,), (5000,), (9,)], "k long"), F.col("k"), 1 << 20)
+    held = exact_dedup._in_repeated(spark.createDataFrame([(7,), (9,), (5000,), (6000,), (-1,)], "k long"), F.col("k"), 1 << 20, marked)
+    assert {r.k: r.held for r in held.collect()} == {7: True, 9: False, 5000: True, 6000: False, -1: False}
+
+
 def test_hash_of_the_query_is_that_of_the_text(spark, sf_dir):
     from cinegrade.llm.catalog import op9_exact_dedup
 
