@@ -27,7 +27,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from urllib.parse import unquote, urlsplit
 
@@ -61,8 +61,12 @@ def _rank_order(model: dict) -> dict[bytes, int] | None:
 
 
 @lru_cache(maxsize=1)
-def _encoder(model: str, width: int) -> tuple[Memo, Memo]:
-    """Bytes of ids by unit: as it stands, and with a space before it. One pair for each Python worker."""
+def _encoder(model: str, width: int) -> Callable[[str], bytes]:
+    """Bytes of the ids of a text. One encoder for each Python worker.
+
+    A text without added tokens goes whole through the rank encoder, if there is one. Others are cut at
+    spaces; only units that hold an added token, or all without a rank encoder, go through the library.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from public_tokenizers import PATTERN
     from tiktoken import Encoding
@@ -77,12 +81,23 @@ def _encoder(model: str, width: int) -> tuple[Memo, Memo]:
         raise ValueError("texts can't be cut at spaces for this tokenizer")
     fast = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-    def ids(unit: str) -> bytes:
-        if fast and not any(a in unit for a in added):
-            return np.array(fast.encode_ordinary(unit), dtype=kind).tobytes()
+    def by_ranks(text: str) -> bool:
+        return fast is not None and not any(a in text for a in added)
+
+    def unit_ids(unit: str) -> bytes:
+        if by_ranks(unit):
+            return fast.encode_to_numpy(unit).astype(kind).tobytes()
         return np.array(tokenizer.encode(unit, add_special_tokens=False).ids, dtype=kind).tobytes()
 
-    return Memo(ids, limit=1000), Memo(lambda unit: ids(" " + unit), limit=300_000)
+    later = Memo(lambda unit: unit_ids(" " + unit), limit=100_000)
+
+    def text_ids(text: str) -> bytes:
+        if by_ranks(text):
+            return unit_ids(text)
+        units = space_units(text)
+        return unit_ids(units[0]) + b"".join(map(later.__getitem__, units[1:]))
+
+    return text_ids
 
 
 def encoded(batches: Iterator[pa.RecordBatch], model: str, width: int) -> Iterator[pa.RecordBatch]:
@@ -90,14 +105,11 @@ def encoded(batches: Iterator[pa.RecordBatch], model: str, width: int) -> Iterat
 
     Both carry the document's place in the partition, by which they are sorted: ids may repeat.
     """
-    first, later = _encoder(model, width)
+    ids_of = _encoder(model, width)
     place, start = 0, 0
     for part in slices(batches, 256):
         doc_ids = part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8")
-        bodies = []
-        for text in texts(part.column(1)):
-            units = space_units(text)
-            bodies.append(first[units[0]] + b"".join(map(later.__getitem__, units[1:])))
+        bodies = [ids_of(text) for text in texts(part.column(1))]
         counts = np.array([len(b) // width + 1 for b in bodies], dtype="<i8")
         records = np.empty(len(bodies), dtype=INDEX)
         records["doc_id"], records["n_tokens"] = doc_ids, counts
