@@ -9,7 +9,7 @@ children and no others. So each pair of vectors within theta meets in the home l
 
 A node is split only where that saves comparisons; where geometry lets the ranges overlap, as for large theta, it
 stays a leaf, and its pairs are compared in blocks of bounded size. Work in tasks is on blocks of
-BLOCK_HOME x BLOCK_ALL vectors at most, however many a leaf holds.
+2 x BLOCK_MOST vectors at most, however many a leaf holds.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ CANDIDATES = 128
 LEAF = 32
 DEPTH = 12  # the path of a node is a number to the base ARMS
 SAVES = 0.8
-BLOCK_HOME, BLOCK_ALL = 1024, 4096
+BLOCK_HOME, BLOCK_ALL = 1024, 4096  # vectors that are compared at a time
+BLOCK_MOST = 32_768  # vectors of a leaf's chunk
+BLOCKS = 256  # at least so many, if there is work for them
 SLACK = 1e-6  # on angles; keeps rounding from losing a pair
 
 
@@ -57,8 +59,12 @@ def packed_units(vectors: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), "<f8").reshape(len(rows), -1)
+    """The vectors as rows, read where Arrow holds them."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
+    first, end = np.frombuffer(column.buffers()[1], "<i4")[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(column.buffers()[2][first:end], "<f8").reshape(len(column), -1)
 
 
 def _angled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,63 +156,101 @@ def comparisons(leaves: DataFrame) -> int:
     return _sizes(leaves).agg(F.coalesce(F.sum(F.col("own") * F.col("all")), F.lit(0))).first()[0]
 
 
-def in_blocks(leaves: DataFrame, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]) -> DataFrame:
-    """What `compare` gives of each block: (keys, units) of all in a leaf against (keys, units) of its own.
+def in_chunks(leaves: DataFrame) -> DataFrame:
+    """(node, key, u, whole, own, i, j): the vectors of each block (node, i, j), its leaf's own and those they are compared with.
 
-    compare returns an array of keys a, one of keys b, and doubles for further names.
+    A leaf is dealt to chunks, and a block is two of them. The chunks grow with the work, up to BLOCK_MOST vectors, so a
+    vector travels to some ten blocks and not to one for every thousand vectors. In a leaf without visitors (`whole`)
+    two chunks meet once, and a chunk meets itself as one copy.
     """
-    key_type = leaves.schema["key"].dataType
-    chunks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
-    sized = leaves.join(_sizes(leaves).select("node", chunks("own", BLOCK_HOME).alias("homes"), chunks("all", BLOCK_ALL).alias("alls")), "node")
+    sizes = save(_sizes(leaves), scratch_path(leaves.sparkSession, "sizes"))
+    work = sizes.agg(F.coalesce(F.sum(F.col("own") * F.col("all")), F.lit(0))).first()[0]
+    side = min(BLOCK_MOST, max(BLOCK_HOME, math.isqrt(work // BLOCKS)))
+    chunks = lambda n: F.ceil(F.col(n) / side).cast("int")
+    whole = F.col("own") == F.col("all")
+    sized = leaves.join(sizes.select("node", whole.alias("whole"), chunks("own").alias("homes"), chunks("all").alias("alls")), "node")
     dealt = lambda n: F.pmod(F.xxhash64("key", F.lit(9)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["node", "key", "u"]
-    own = sized.where("home").select(*columns, F.lit(True).alias("own"), dealt("homes").alias("i"), each("alls").alias("j"))
-    every = sized.select(*columns, F.lit(False).alias("own"), each("homes").alias("i"), dealt("alls").alias("j"))
+    to = lambda first, last: F.explode(F.sequence(first, last))
+    columns = ["node", "key", "u", "whole"]
+    mine = sized.where("home").withColumn("i", dealt("homes"))
+    own = mine.select(*columns, F.lit(True).alias("own"), "i", to(F.when(F.col("whole"), F.col("i")).otherwise(0), F.col("alls") - 1).alias("j"))
+    other = sized.withColumn("j", dealt("alls")).where("NOT whole OR j > 0")
+    every = other.select(*columns, F.lit(False).alias("own"), to(F.lit(0), F.when(F.col("whole"), F.col("j")).otherwise(F.col("homes")) - 1).alias("i"), "j")
+    return own.unionByName(every)
+
+
+def in_blocks(leaves: DataFrame, compare: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """What `compare` gives of (keys, units) of all in a leaf against (keys, units) of its own, BLOCK_HOME x BLOCK_ALL at a time.
+
+    compare returns an array of keys a, one of keys b, and doubles for further names. Its last argument tells that
+    its vectors meet nowhere else, so that pairs in either order count.
+    """
+    key_type = leaves.schema["key"].dataType
     arrow_key = to_arrow_type(key_type)
 
-    def block(rows: pa.Table) -> pa.Table:
-        mine = rows.column("own").to_numpy()
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        mine, both = rows.column("own").to_numpy(), rows.column("whole")[0].as_py()
         keys, units = np.array(rows.column("key").to_pylist(), dtype=object if pa.types.is_string(arrow_key) else None), _matrix(rows.column("u"))
-        found = compare(keys[~mine], units[~mine], keys[mine], units[mine])
-        arrays = [pa.array(found[0], arrow_key), pa.array(found[1], arrow_key), *(pa.array(x, pa.float64()) for x in found[2:])]
-        return pa.table(arrays, names=names)
+        own_keys, own = keys[mine], units[mine]
+        alone = both and rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+        if not alone:
+            keys, units = keys[~mine], units[~mine]
+        for h in range(0, len(own_keys), BLOCK_HOME):
+            for k in range(0, len(keys), BLOCK_ALL):
+                found = compare(keys[k : k + BLOCK_ALL], units[k : k + BLOCK_ALL], own_keys[h : h + BLOCK_HOME], own[h : h + BLOCK_HOME], both and not alone)
+                arrays = [pa.array(found[0], arrow_key), pa.array(found[1], arrow_key), *(pa.array(x, pa.float64()) for x in found[2:])]
+                if len(arrays[0]):
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = key_type.simpleString()
     schema = ", ".join([f"{names[0]} {kind}", f"{names[1]} {kind}", *(f"{n} double" for n in names[2:])])
-    return own.unionByName(every).groupBy("node", "i", "j").applyInArrow(block, schema)
+    return in_chunks(leaves).groupBy("node", "i", "j").applyInArrow(block, schema)
 
 
 def pairs_within(max_distance: float) -> Callable:
     """Each close pair a < b with its distance, in the block of b's home."""
 
-    def compare(keys: np.ndarray, units: np.ndarray, own_keys: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        if not len(keys) or not len(own_keys):
-            return [keys[:0], keys[:0], np.zeros(0)]
-        distance = 1 - units @ own.T
-        i, j = np.nonzero((distance <= max_distance) & (keys[:, None] < own_keys[None, :]))
-        return [keys[i], own_keys[j], distance[i, j]]
+    def compare(keys: np.ndarray, units: np.ndarray, own_keys: np.ndarray, own: np.ndarray, both: bool = False) -> list[np.ndarray]:
+        i, j, distance = _close(units, own, max_distance)
+        a, b = keys[i], own_keys[j]
+        if both:
+            swap = a > b
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+        kept = a < b
+        return [a[kept], b[kept], distance[kept]]
 
     return compare
 
 
+def _close(units: np.ndarray, own: np.ndarray, max_distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) and distances of what is close; only those near the limit are looked at twice."""
+    if not len(units) or not len(own):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    cosines = (units @ own.T).ravel()
+    near = np.flatnonzero(cosines >= 1 - max_distance - 1e-9)
+    distance = 1 - cosines[near]
+    near, distance = near[distance <= max_distance], distance[distance <= max_distance]
+    return near // len(own), near % len(own), distance
+
+
 def links_within(max_distance: float) -> Callable:
     """Links that connect what the close pairs of a block connect, one for each vector at most: stars of its components."""
 
-    def compare(keys: np.ndarray, units: np.ndarray, own_keys: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
-        if not len(keys) or not len(own_keys):
-            return [keys[:0], keys[:0]]
-        close = 1 - units @ own.T <= max_distance
-        nobody = len(own_keys)
-        label = np.arange(nobody)
-        while True:  # labels of the own vectors fall to the least of what they are connected with
-            seen = np.where(close, label[None, :], nobody).min(axis=1)
-            lower = np.minimum(label, np.where(close, seen[:, None], nobody).min(axis=0))
+    def compare(keys: np.ndarray, units: np.ndarray, own_keys: np.ndarray, own: np.ndarray, both: bool = False) -> list[np.ndarray]:
+        i, j, _ = _close(units, own, max_distance)
+        label = np.arange(len(own_keys))
+        seen = np.full(len(keys), len(own_keys))
+        while len(i):  # labels of the own vectors fall to the least of what they are connected with
+            np.minimum.at(seen, i, label[j])
+            lower = label.copy()
+            np.minimum.at(lower, j, seen[i])
             if (lower == label).all():
                 break
             label = lower
-        there = seen < nobody
-        return [np.concatenate([keys[there], own_keys]), np.concatenate([own_keys[seen[there]], own_keys[label]])]
+        there = seen < len(own_keys)
+        moved = label < np.arange(len(label))
+        return [np.concatenate([keys[there], own_keys[moved]]), np.concatenate([own_keys[seen[there]], own_keys[label[moved]]])]
 
     return compare
 

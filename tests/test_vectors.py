@@ -167,3 +167,22 @@ def test_complete_linkage_equals_merging_one_by_one(spark, x, limit):
     got = {r["id"]: r["group"] for r in linkage.complete_groups(frame(spark, x), "id", "vec", limit).collect()}
     assert got == plain_complete(x, limit)
     assert 1 < len(set(got.values())) < len(x)
+
+
+def test_vectors_travel_to_few_blocks(spark, monkeypatch):
+    """Before, each vector of a leaf of 5,000 went to seven blocks: to five as one of all, to two as one of its own."""
+    ids = spark.range(5000).select(F.col("id").alias("key"), F.lit(b"").alias("u"), F.lit(0).cast("long").alias("node"), F.lit(True).alias("home"))
+    monkeypatch.setattr(pivot_tree, "BLOCKS", 4)  # two chunks: three blocks
+    dealt = pivot_tree.in_chunks(ids)
+    assert dealt.count() == 2 * 5000 and dealt.select("i", "j").distinct().count() == 3
+
+
+@pytest.mark.parametrize("side", [16, 50, 1000])
+def test_chunks_of_any_size_find_the_same(spark, monkeypatch, side):
+    monkeypatch.setattr(pivot_tree, "BLOCK_HOME", side)
+    x = clustered(150)
+    pairs = V.close_pairs(frame(spark, x), "id", "vec", 0.5, leaf=1000).collect()
+    assert sorted((r["a"], r["b"]) for r in pairs) == sorted(brute_pairs(x, 0.5))
+    links = V.close_links(frame(spark, x), "id", "vec", 0.5, leaf=1000)
+    groups = {r["id"]: r["group"] for r in V.connected_groups(frame(spark, x), links, "id").collect()}
+    assert all(groups[a] == groups[b] for a, b in brute_pairs(x, 0.5))
