@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
@@ -40,22 +44,30 @@ def xml_scan(spark, d):
     )
 
 
-def _in_one_element(lines):
-    """The documents of a partition, which becomes a file, inside one root element."""
-    yield pa.RecordBatch.from_arrays([pa.array(["<all>"])], names=["value"])
-    yield from lines
-    yield pa.RecordBatch.from_arrays([pa.array(["</all>"])], names=["value"])
+XML_FILE_BYTES = 32 << 20
+
+
+def _in_elements(lines, most=XML_FILE_BYTES):
+    """The whole documents of each batch inside root elements of about `most` bytes, each one a file's content."""
+    for batch in lines:
+        docs = batch.column("value").filter(pc.ends_with(batch.column("value"), "</document>"))
+        if len(docs):
+            ends = np.cumsum(pc.binary_length(docs).to_numpy())
+            cuts = np.flatnonzero(np.diff((ends - 1) // most)) + 1
+            for first, end in itertools.pairwise([0, *cuts, len(docs)]):
+                content = "\n".join(["<all>", *docs[first:end].to_pylist(), "</all>"])
+                yield pa.RecordBatch.from_arrays([pa.array([content])], names=["value"])
 
 
 def xml_records(spark, d):
-    """Documents written together as large XML files and read back record by record; files split inside.
+    """Documents written together as large XML files and read back record by record.
 
-    The malformed ones of src13 stay out: without their end a record would run into the next.
+    Spark reads such a file in one task, so the files are bounded. The malformed documents of src13 stay out: without
+    their end a record would run into the next.
     """
-    whole = T.subtitle_xml(spark, d).where(F.endswith("xml", F.lit("</document>")))
-    lines = whole.select(F.replace("xml", F.lit("<source>"), F.concat(F.lit("<source><path>"), F.col("path"), F.lit("</path>"))).alias("value"))
+    lines = T.subtitle_xml(spark, d).select(F.replace("xml", F.lit("<source>"), F.concat(F.lit("<source><path>"), F.col("path"), F.lit("</path>"))).alias("value"))
     folder = scratch_path(spark, "xml-records")
-    lines.mapInArrow(_in_one_element, "value string").write.text(folder)
+    lines.mapInArrow(_in_elements, "value string").write.option("maxRecordsPerFile", 1).text(folder)
     records = readers.read_subtitle_records(spark, folder)
     return records.select(
         F.col("meta")["path"].alias("path"), "corrupted", F.col("reject").isNotNull().alias("malformed"),

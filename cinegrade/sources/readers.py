@@ -94,7 +94,7 @@ def read_subtitles(spark: SparkSession, path: str, file_ids: Sequence[str] | Non
 
 
 def read_subtitle_records(spark: SparkSession, path: str) -> DataFrame:
-    """Subtitles from large files that hold many `document` elements; such files are split."""
+    """Subtitles from files that hold many `document` elements. A file is read in one task, so large ones are better cut before."""
     docs = (
         spark.read.format("xml")
         .options(rowTag="document", **X.XML_OPTIONS)

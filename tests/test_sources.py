@@ -2,8 +2,10 @@
 
 import gzip
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cinegrade.catalog.corpus import _in_elements
 from cinegrade.functions import html as H
 from cinegrade.functions import xml as X
 from cinegrade.functions.text import bag_of_words
@@ -191,3 +193,14 @@ def test_elements_inside_elements(spark):
 def test_last_entry_wins(spark):
     entries = "array(named_struct('key', 'b', 'value', 1), named_struct('key', 'a', 'value', 2), named_struct('key', 'b', 'value', 3))"
     assert spark.range(1).select(H.last_wins(F.expr(entries)).alias("out")).first()["out"] == {"a": 2, "b": 3}
+
+
+def test_xml_files_are_bounded():
+    """A file is read in one task. Before, all documents of a partition made one file, however many they were."""
+    docs = [f"<document>{'x' * 80}{i}</document>" for i in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"]) for rows in ([*docs[:30], None, "<document><s>"], [], docs[30:])]
+    files = [value for batch in _in_elements(iter(batches), 1000) for value in batch.column(0).to_pylist()]
+    lines = [text.split("\n") for text in files]
+    assert all(len(text) < 1300 for text in files) and len(files) >= 6
+    assert all(x[0] == "<all>" and x[-1] == "</all>" for x in lines)
+    assert [doc for x in lines for doc in x[1:-1]] == docs
