@@ -167,6 +167,31 @@ def test_feature_options(docs, options):
     assert out.select("features").first()[0].size == 64
 
 
+def test_rows_of_a_fit_are_dealt_by_their_dense_size(spark, monkeypatch):
+    """Before, a task got all rows of a partition, each of which trees and networks hold with all its features."""
+    rows = spark.range(100).coalesce(1)
+    monkeypatch.setattr(ratings, "DENSE_BYTES", 10 * 8 * 64)
+    kept = ratings.kept_for_fit(rows, 64)
+    sizes = [r["n"] for r in kept.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 10 and max(sizes) <= 20 and sum(sizes) == 100 and kept.is_cached
+    kept.unpersist()
+    few = ratings.kept_for_fit(rows.limit(10), 64)
+    assert few.rdd.getNumPartitions() == 1
+    few.unpersist()
+
+
+def test_dense_fits_run_one_after_the_other(docs, monkeypatch):
+    """Before, four fits kept their rows at a time, at any size of the table."""
+    rows = docs.withColumn("label", (F.col("rating") == "R").cast("double"))
+    pools, plain = [], search.ThreadPoolExecutor
+    monkeypatch.setattr(search, "ThreadPoolExecutor", lambda n: pools.append(n) or plain(n))
+    monkeypatch.setattr(search, "FITS_BYTES", 1000)
+    pipeline = ratings.rating_pipeline("naive_bayes", 64, {"min_doc_freq": 0})
+    got = {r["fold"]: r["accuracy"] for r in search.cv_scores(rows, {"nb": pipeline}, "id", k=2).collect()}
+    monkeypatch.undo()
+    assert pools == [1] and got == {r["fold"]: r["accuracy"] for r in search.cv_scores(rows, {"nb": pipeline}, "id", k=2).collect()}
+
+
 def test_index_labels_is_alphabetic(docs):
     rows, names = ratings.index_labels(docs.drop("label"))
     assert names == ["NOT_R", "R"]
