@@ -72,6 +72,11 @@ def test_counted_terms(spark):
     ]
 
 
+def test_counted_terms_count_null_as_a_term(spark):
+    (got,) = column(spark, [["b", None, "a", None, "b"]], "ARRAY<STRING>", X.counted_terms)
+    assert sorted(((r["term"] or "", r["n"]) for r in got)) == [("", 2), ("a", 1), ("b", 2)]
+
+
 def test_bigrams(spark):
     bags = [["a", "b", "c"], ["a"], []]
     assert column(spark, bags, "ARRAY<STRING>", bigrams) == [["a b", "b c"], [], []]
