@@ -59,7 +59,7 @@ def subtitle_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as XML. Those of src7 have no sentences, those of src13 are cut off."""
     docs = table(spark, sf_dir, "documents")
     lines = F.split("text", "\n")
-    words = F.filter(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), lambda w: w != "")
+    words = F.array_remove(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), "")
     meta = F.concat(
         F.lit("<meta><source><genre>"), F.col("lang"), F.lit("</genre><title>"), F.col("source"),
         F.lit("</title><tokens>0</tokens></source><conversion><sentences>"), F.size(lines).cast("string"),

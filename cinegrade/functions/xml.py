@@ -17,6 +17,10 @@ SUBTITLE_SCHEMA = """
         w: ARRAY<STRUCT<txt: STRING>>>>,
     _bad STRING
 """
+# The same with each word as a plain string, which is parsed in half the time.
+_TEXT_SCHEMA = SUBTITLE_SCHEMA.replace("w: ARRAY<STRUCT<txt: STRING>>", "w: ARRAY<STRING>")
+# A `w` whose text is followed by another tag than an end tag.
+_NESTED_WORD = r"<w\b[^>]*+>[^<]*+<[^/]"
 XML_OPTIONS = {
     "valueTag": "txt",
     "attributePrefix": "_",
@@ -26,7 +30,22 @@ XML_OPTIONS = {
 
 
 def parse_subtitle(xml: Column) -> Column:
-    return F.from_xml(xml, SUBTITLE_SCHEMA, XML_OPTIONS)
+    """The document with its words as strings.
+
+    As a string an element keeps the tags inside it, and joins the text around comments. So documents with elements,
+    comments, CDATA or instructions that may be inside a word are parsed with words as elements of their own.
+    """
+    instructions = F.locate("<?", xml, 2) > 0  # one at the start is the declaration
+    apart = F.contains(xml, F.lit("<!")) | instructions | xml.rlike(_NESTED_WORD)
+    whole = F.get(F.transform(F.array(F.from_xml(xml, SUBTITLE_SCHEMA, XML_OPTIONS)), _words_as_text), 0)
+    return F.when(~apart, F.from_xml(xml, _TEXT_SCHEMA, XML_OPTIONS)).otherwise(whole)
+
+
+def _words_as_text(doc: Column) -> Column:
+    def sentence(s: Column) -> Column:
+        return F.struct(s["_id"].alias("_id"), s["time"].alias("time"), F.transform(s["w"], lambda w: w["txt"]).alias("w"))
+
+    return F.struct(doc["meta"].alias("meta"), F.transform(doc["s"], sentence).alias("s"), doc["_bad"].alias("_bad"))
 
 
 def is_corrupted(doc: Column) -> Column:
@@ -34,11 +53,14 @@ def is_corrupted(doc: Column) -> Column:
     return doc["s"].isNull()
 
 
-def sentence_rows(doc: Column) -> Column:
-    """Sentences as (id, times, words); a missing part is an empty array, a missing field ''."""
+def sentence_rows(doc: Column, word_field: str | None = None) -> Column:
+    """Sentences as (id, times, words); a missing part is an empty array, a missing field ''.
+
+    Words are strings, or hold their text in word_field.
+    """
 
-    def texts(children: Column, field: str) -> Column:
-        values = F.transform(children, lambda c: F.coalesce(c[field], F.lit("")))
+    def texts(children: Column, field: str | None) -> Column:
+        values = F.transform(children, lambda c: F.coalesce(c[field] if field else c, F.lit("")))
         return F.coalesce(values, F.array().cast("array<string>"))
 
     rows = F.transform(
@@ -46,7 +68,7 @@ def sentence_rows(doc: Column) -> Column:
         lambda s: F.struct(
             s["_id"].alias("id"),
             texts(s["time"], "_value").alias("times"),
-            texts(s["w"], "txt").alias("words"),
+            texts(s["w"], word_field).alias("words"),
         ),
     )
     return F.coalesce(rows, F.array().cast("array<struct<id:string,times:array<string>,words:array<string>>>"))
@@ -88,21 +110,20 @@ def sentence_elements(text: Column) -> Column:
     """
 
     def sentence(line: Column, i: Column) -> Column:
-        words = F.transform(
-            F.filter(F.split(line, " "), lambda w: w != ""),
-            lambda w, j: F.concat(
-                F.lit('<w id="'), (i + 1).cast("string"), F.lit("."), (j + 1).cast("string"),
-                F.lit('">'), w, F.lit("</w>"),
-            ),
-        )
+        number = (i + 1).cast("string")
+        words = F.array_remove(F.split(line, " "), "")
+        opening = F.concat(F.lit('<w id="'), number, F.lit("."))
+        # what stands between two words is the same in the whole line: only the rest is put together for each
+        each = F.transform(words, lambda w, j: F.concat((j + 1).cast("string"), F.lit('">'), w))
+        elements = F.concat(opening, F.call_function("array_join", each, F.concat(F.lit("</w>"), opening)), F.lit("</w>"))
         second = i * 2
         clock = F.format_string(
             "%02d:%02d:%02d,000",
             F.floor(second / 3600), F.floor(second / 60) % 60, F.floor(second) % 60,
         )
         return F.concat(
-            F.lit('<s id="'), (i + 1).cast("string"), F.lit('"><time id="T'), (i + 1).cast("string"),
-            F.lit('S" value="'), clock, F.lit('"/>'), F.array_join(words, ""), F.lit("</s>"),
+            F.lit('<s id="'), number, F.lit('"><time id="T'), number,
+            F.lit('S" value="'), clock, F.lit('"/>'), F.when(F.size(words) > 0, elements).otherwise(""), F.lit("</s>"),
         )
 
     return F.array_join(F.transform(F.split(escape_xml(text), "\n"), sentence), "")

@@ -107,7 +107,7 @@ def read_subtitle_records(spark: SparkSession, path: str) -> DataFrame:
         "path",
         X.is_corrupted(F.col("doc")).alias("corrupted"),
         F.col("doc._bad").alias("reject"),
-        X.sentence_rows(F.col("doc")).alias("sentences"),
+        X.sentence_rows(F.col("doc"), "txt").alias("sentences"),
         X.metadata(F.col("doc")).alias("meta"),
     )
 

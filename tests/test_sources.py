@@ -204,3 +204,26 @@ def test_xml_files_are_bounded():
     assert all(len(text) < 1300 for text in files) and len(files) >= 6
     assert all(x[0] == "<all>" and x[-1] == "</all>" for x in lines)
     assert [doc for x in lines for doc in x[1:-1]] == docs
+
+
+ODD_WORDS = {
+    "<w/>": [""], "<w> </w><w>y</w>": ["", "y"], "<w>a&amp;b&lt;c</w>": ["a&b<c"], "<w>a<b>c</b>d</w>": ["d"], "<w><b>c</b></w>": [""],
+    "<w>a<!-- x -->b</w>": ["b"], "<w><![CDATA[x]]></w>": ["x"], "<w id='>'>a</w><w txt='q'>b</w>": ["a", "b"], "": [], "text": [],
+}
+
+
+def test_words_are_parsed_as_strings_with_the_results_of_elements(spark):
+    rows = spark.createDataFrame([(i, f"<document><s id='1'>{words}</s></document>") for i, words in enumerate(ODD_WORDS)], "i INT, xml STRING")
+    as_elements = F.from_xml("xml", X.SUBTITLE_SCHEMA, X.XML_OPTIONS)
+    docs = rows.select("i", X.parse_subtitle(F.col("xml")).alias("new"), as_elements.alias("old")).orderBy("i")
+    assert docs.schema["new"].dataType["s"].dataType.elementType["w"].dataType.simpleString() == "array<string>"
+    got = docs.select(X.sentence_rows(F.col("new"))[0]["words"].alias("new"), X.sentence_rows(F.col("old"), "txt")[0]["words"].alias("old"))
+    assert [(r["new"], r["old"]) for r in got.collect()] == [(words, words) for words in ODD_WORDS.values()]
+
+
+def test_sentence_elements_number_words(spark):
+    text = spark.createDataFrame([(" a  b<c \n\n \nd",), (None,)], "text STRING")
+    got, null = (r[0] for r in text.select(X.sentence_elements(F.col("text"))).collect())
+    time = lambda i: f'<s id="{i + 1}"><time id="T{i + 1}S" value="00:00:{2 * i:02d},000"/>'
+    assert got == f'{time(0)}<w id="1.1">a</w><w id="1.2">b&lt;c</w></s>{time(1)}</s>{time(2)}</s>{time(3)}<w id="4.1">d</w></s>'
+    assert null is None
