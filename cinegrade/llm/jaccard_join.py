@@ -293,6 +293,59 @@ def _leaf_links(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterat
         yield links()
 
 
+def _region_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, sig, n, sketch): at least as many bits as there are elements, and as the common sketch has."""
+    for part in slices(batches, 256):
+        values, offsets = part.column("elements").values.to_numpy(), part.column("elements").offsets.to_numpy()
+        each = (values[a:b].view(np.uint64) for a, b in zip(offsets[:-1], offsets[1:]))
+        sketches = [_fine_sketch(e) or _sketch(e).tobytes() for e in each]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("group", "sig", "n")), pa.array(sketches, pa.binary())], names=["group", "sig", "n", "sketch"])
+
+
+def _near_in_region(sizes: np.ndarray, starred: np.ndarray, sketches: list[bytes], t: tuple[int, int]) -> np.ndarray:
+    """Whether each set may be linked with another one of the region, unless the star links both."""
+    common = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, dtype=np.uint64).reshape(-1, _SKETCH), axis=0) for s in sketches])
+    kept = np.zeros(len(sizes), dtype=bool)
+    for i in range(len(sizes) - 1):
+        total = sizes[i] + sizes[i + 1 :]
+        apart = np.bitwise_count(common[i] ^ common[i + 1 :]).sum(axis=1, dtype=np.int64)
+        near = ((t[0] + t[1]) * apart <= (t[1] - t[0]) * total) & ~(starred[i] & starred[i + 1 :])
+        for j in np.flatnonzero(near) + i + 1:
+            if not (kept[i] and kept[j]) and (t[0] + t[1]) * _sketch_distance(sketches[i], sketches[j]) <= (t[1] - t[0]) * (sizes[i] + sizes[j]):
+                kept[i] = kept[j] = True
+    return kept
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(region, group, sig) of the sets that may be linked inside the region, whose rows follow one another; all of a region over LEAF.
+
+    A region is named after the sets that are left of it: near copies share most of their windows, and those regions are one.
+    """
+    region, held, passing = None, [], False
+
+    def rows(kept: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([h[k] for h in kept], pa.int64()) for k in range(3)], names=["region", "group", "sig"])
+
+    def near() -> list[tuple]:
+        if len(held) < 2 or passing:
+            return held if passing else []
+        kept = _near_in_region(np.array([h[3] for h in held], dtype=np.int64), np.array([h[4] for h in held], dtype=bool), [h[5] for h in held], t)
+        found = sorted((h for h, k in zip(held, kept) if k), key=lambda h: h[2])
+        name = xxhash.xxh64_intdigest(np.array([found[0][1], *(h[2] for h in found)], dtype=np.int64).tobytes()) - (1 << 63) if found else 0
+        return [(name, h[1], h[2]) for h in found]
+
+    for part in slices(batches):
+        for row in zip(*(part.column(c).to_pylist() for c in ("region", "group", "sig", "n", "starred", "sketch"))):
+            if row[0] != region:
+                yield rows(near())
+                region, held, passing = row[0], [], False
+            held.append(row)
+            if len(held) > LEAF:
+                yield rows(held)
+                held, passing = [], True
+    yield rows(near())
+
+
 def _joined_leaves(members: DataFrame, t: tuple[int, int]) -> DataFrame:
     ordered = members.select("group", "sig", "n", "elements").repartition("group").sortWithinPartitions("group")
     return ordered.mapInArrow(lambda b: _leaf_links(b, t), "u bigint, v bigint")
@@ -339,8 +392,11 @@ def _recursed(members: DataFrame, t: tuple[int, int]) -> tuple[DataFrame, DataFr
     window = written(window.select("group", "sig", "e", "starred"), "windows")
     shared = window.groupBy("group", "e").agg(F.count("*").alias("size"), F.bool_and("starred").alias("known"))
     shared = shared.where("size > 1 AND NOT known").select("group", "e")
-    below = window.join(shared, ["group", "e"]).join(moved, ["group", "sig"]).select(
-        F.xxhash64("group", "e").alias("group"), "sig", "n", "elements")
+    sketches = moved.select("group", "sig", "n", "elements").mapInArrow(_region_sketches, "group bigint, sig bigint, n bigint, sketch binary")
+    met = window.join(shared, ["group", "e"]).join(sketches, ["group", "sig"]).withColumn("region", F.xxhash64("group", "e"))
+    met = met.select("region", "group", "sig", "n", "starred", "sketch").repartition("region").sortWithinPartitions("region")
+    near_rows = met.mapInArrow(lambda b: _near_rows(b, t), "region bigint, group bigint, sig bigint").distinct()
+    below = near_rows.join(moved, ["group", "sig"]).select(F.col("region").alias("group"), "sig", "n", "elements")
     return star, written(below, "below")
 
 

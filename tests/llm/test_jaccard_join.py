@@ -72,6 +72,17 @@ def test_recursion_and_hot_regions_equal_brute_force(spark, monkeypatch):
     assert groups(spark, rows, 3, (9, 10)) == brute(rows, 3, (9, 10))
 
 
+def test_regions_of_near_copies_are_fetched_once(spark):
+    """Two long sets share hundreds of regions: they go on as one group, not as one for each region."""
+    draw = np.random.default_rng(8)
+    x, y, z = (draw.integers(1, 2**62, 3_000) for _ in range(3))
+    sets = {1: x, 2: np.concatenate([x[:-50], y[:50]]), 3: np.concatenate([y[:2_000], x[:1_000]]), 4: z}
+    rows = [(0, sig, len(e), np.sort(e).tolist(), len(sets)) for sig, e in sets.items()]
+    members = spark.createDataFrame(rows, "group long, sig long, n long, elements array<long>, size long")
+    _, below = J._recursed(members, (9, 10))
+    assert sorted(r["sig"] for r in below.collect()) == [1, 2]
+
+
 def test_repeated_rows_in_recursion_equal_brute_force(spark, monkeypatch):
     """Rows with the same id and text, and copies without ids, count once in the windows of large groups."""
     draw = random.Random(11)
