@@ -12,9 +12,10 @@ replicating each set to the regions within the window, which are those of its fi
 (1 - t) * |x| + 1 elements, brings every linked pair together. Frequent elements come last in the
 order, so that regions are small; the order only affects speed.
 
-Small regions join their members by size, by the rank of the shared element and by parity
+Regions join their members by size, by the rank of the shared element and by parity
 sketches, which are never farther apart than the sets: 512 bits for all, and a bit for each element
-or more for larger sets. What is left forms candidate groups: linked pairs are inside one group.
+or more for larger sets. Regions over REGION sets do so inside a task and give a forest of the pairs left,
+those over LEAF give a star. What is left forms candidate groups: linked pairs are inside one group.
 
 Groups of LEAF sets or fewer are compared exactly in one task. Larger groups recurse: the pivot is the
 group's consensus set b, the elements of more than half of its sets, and each set x is replaced by
@@ -411,11 +412,59 @@ def _shared_regions(regions: DataFrame) -> DataFrame:
     return met.select(columns).unionByName(regions.where("hot").select(columns))
 
 
+def _forest(n: np.ndarray, rank: np.ndarray, common: np.ndarray, fine: list[bytes | None], t: tuple[int, int]) -> list[tuple[int, int]]:
+    """Positions of pairs of a region that may be linked, as many as it takes to hold all such pairs together."""
+    order = np.argsort(n, kind="stable")
+    n, rank, common = n[order], rank[order], common[order]
+    label, out = np.arange(len(n)), []
+    for i in range(len(n) - 1):
+        last = int(np.searchsorted(n, n[i] * t[1] // t[0], side="right"))
+        total, at = n[i] + n[i + 1 : last], slice(i + 1, last)
+        left = (t[0] + t[1]) * np.minimum(n[i] - rank[i], n[at] - rank[at]) >= t[0] * total
+        left &= label[at] != label[i]
+        js = np.flatnonzero(left)
+        apart = np.bitwise_count(common[i] ^ common[at][js]).sum(axis=1, dtype=np.int64)
+        for j in js[(t[0] + t[1]) * apart <= (t[1] - t[0]) * total[js]] + i + 1:
+            if label[i] == label[j]:
+                continue
+            a, b = fine[order[i]], fine[order[j]]
+            if a is None or b is None or (t[0] + t[1]) * _sketch_distance(a, b) <= (t[1] - t[0]) * (n[i] + n[j]):
+                label[label == label[j]] = label[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def _region_links(batches: Iterator[pa.RecordBatch], t: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(u, v) of the forest of each region; a region's rows, LEAF at most, follow one another."""
+    element, held = None, []
+
+    def links() -> pa.RecordBatch:
+        n, rank = (np.array([h[k] for h in held], dtype=np.int64) for k in (2, 3))
+        common = np.array([h[5:] for h in held], dtype=np.int64).view(np.uint64)
+        found = _forest(n, rank, common, [h[4] for h in held], t)
+        return pa.RecordBatch.from_arrays([pa.array([held[pair[k]][1] for pair in found], pa.int64()) for k in range(2)], names=["u", "v"])
+
+    for part in slices(batches):
+        for row in zip(*(part.column(c).to_pylist() for c in ("element", "sig", "n", "rank", "sketch", *(f"b{k}" for k in range(_SKETCH))))):
+            if row[0] != element:
+                if held:
+                    yield links()
+                element, held = row[0], []
+            held.append(row)
+    if held:
+        yield links()
+
+
 def _candidate_edges(regions: DataFrame, classes: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs of classes that may be linked, and stars of regions too large for pairs."""
+    """Pairs of classes that may be linked, forests of regions over REGION, and stars of those over LEAF."""
     sizes = regions.groupBy("element").agg(F.count("*").alias("size"), F.min("sig").alias("least")).where("size > 1")
-    large = hinted(written(sizes.where(F.col("size") > REGION).select("element", "least"), "hot-regions"), 64)
-    stars = regions.join(large, "element").where("sig <> least").select(F.col("sig").alias("u"), F.col("least").alias("v"))
+    large = hinted(written(sizes.where(F.col("size") > REGION).select("element", "least", "size"), "hot-regions"), 64)
+    huge = large.where(F.col("size") > LEAF).select("element", "least")
+    stars = regions.join(huge, "element").where("sig <> least").select(F.col("sig").alias("u"), F.col("least").alias("v"))
+    wide = regions.join(large.where(F.col("size") <= LEAF).select("element"), "element").select("element", "sig", "n", "rank")
+    wide = hinted(written(wide, "wide-regions"), 48)
+    wide = wide.join(classes.select("sig", "sketch", *(f"b{k}" for k in range(_SKETCH))), "sig").repartition("element").sortWithinPartitions("element")
+    forests = wide.mapInArrow(lambda b: _region_links(b, t), "u bigint, v bigint")
     small = regions.join(large.select("element"), "element", "left_anti")
     a, b = small.alias("a"), small.alias("b")
     fits = F.expr(f"a.element = b.element AND a.sig < b.sig AND {t[0]}L * greatest(a.n, b.n) <= {t[1]}L * least(a.n, b.n)"
@@ -433,7 +482,7 @@ def _candidate_edges(regions: DataFrame, classes: DataFrame, t: tuple[int, int])
     for end in ("u", "v"):
         detailed = detailed.join(fine.select(F.col("sig").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
     detailed = detailed.mapInArrow(lambda b: _close_in_detail(b, t), "u bigint, v bigint")
-    return close.where(F.col("least") <= 64 * _SKETCH).select("u", "v").unionByName(detailed).unionByName(stars)
+    return close.where(F.col("least") <= 64 * _SKETCH).select("u", "v").unionByName(detailed).unionByName(forests).unionByName(stars)
 
 
 def jaccard_groups(docs: DataFrame, words_each: int = 5, at_least: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

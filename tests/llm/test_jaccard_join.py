@@ -83,6 +83,28 @@ def test_regions_of_near_copies_are_fetched_once(spark):
     assert sorted(r["sig"] for r in below.collect()) == [1, 2]
 
 
+def test_wide_regions_link_only_what_may_be_close(spark):
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 1 << 63, 40 + k % 3, dtype=np.uint64)) for k in range(J.REGION + 40)]
+    sets[9], sets[11] = sets[5][:-1], np.append(sets[5][1:], np.uint64(7))
+    wide = [(1, k, len(x), 0) for k, x in enumerate(sets)]
+    words = ", ".join(f"b{k} bigint" for k in range(8))
+    classes = spark.createDataFrame(
+        [(k, len(x), bytearray(J._fine_sketch(x)) if J._fine_sketch(x) else None, *J._sketch(x).tolist()) for k, x in enumerate(sets)],
+        f"sig bigint, n bigint, sketch binary, {words}")
+    regions = spark.createDataFrame(wide, "element bigint, sig bigint, n int, rank int")
+    found = {frozenset((r["u"], r["v"])) for r in J._candidate_edges(regions, classes, (9, 10)).collect()}
+    assert len(found) == 2 and set().union(*found) == {5, 9, 11}
+
+
+@pytest.mark.parametrize("t", [(4, 5), (9, 10)])
+def test_forests_of_wide_regions_equal_brute_force(spark, monkeypatch, t):
+    rows = corpus(21) + [(10_000 + k, x) for k, (_, x) in enumerate(corpus(22, n_bases=2, copies=8, length=1500))]
+    want = brute(rows, 2, t)
+    monkeypatch.setattr(J, "REGION", 1)
+    assert groups(spark, rows, 2, t) == want
+
+
 def test_repeated_rows_in_recursion_equal_brute_force(spark, monkeypatch):
     """Rows with the same id and text, and copies without ids, count once in the windows of large groups."""
     draw = random.Random(11)
