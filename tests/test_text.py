@@ -156,3 +156,16 @@ def test_ratings(spark):
     assert column(spark, ["R", "PG", "GP"], "STRING", L.binary_rating) == ["R", "NOT_R", "NOT_R"]
     assert column(spark, ["GP", "M/PG", "R", None], "STRING", L.current_rating) == ["PG", "PG", "R", None]
     assert column(spark, ["GP", "NC-17"], "STRING", L.is_valid_rating) == [False, True]
+
+
+def test_comment_targets_parse_pages_once(spark, tmp_path):
+    from cinegrade.catalog import guide
+
+    page = "<html><title>Some title words</title><nav>a <b>drink</b></nav><article>red blood and guts</article><footer>end</footer></html>"
+    spark.createDataFrame([(k, f"http://x/{k}", page) for k in range(20)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, "rated for blood and guts", "en", "s", 24) for k in range(20)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 20, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = guide.comment_targets(spark, str(tmp_path))
+    assert not any("pages.parquet" in name for name in got.inputFiles())
+    assert {r["imdb_id"] for r in got.where("label = 1 AND category = 'NUDITY'").collect()} >= {"2", "4"}
+    assert guide.dimension_flags(spark, str(tmp_path)).count() == 20
