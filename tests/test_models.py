@@ -273,6 +273,15 @@ def test_doc_vectors_and_sentiment(docs):
     assert {r["id"] for r in got} == {i for i in range(60) if i % 3 == 0}
 
 
+def test_long_comments_train_in_more_tasks(docs, monkeypatch):
+    rows = docs.sparkSession.createDataFrame([(["a", "b"] * 50,)] * 30, "words array<string>")
+    assert docvectors._tasks(rows, "words") == 2
+    monkeypatch.setattr(docvectors, "WORDS_PER_TASK", 600)
+    assert docvectors._tasks(rows, "words") == 5
+    monkeypatch.setattr(docvectors, "WORDS_PER_TASK", 1)
+    assert docvectors._tasks(rows, "words") == docs.sparkSession.sparkContext.defaultParallelism
+
+
 def test_factor_vectors_separate_topics(docs):
     corpus = docs.select(F.col("id").cast("string").alias("sentence_tag"), F.col("bow").alias("clean_comment"), F.lit("SCARY").alias("category"))
     empty = docs.limit(1).select(F.lit("none").alias("sentence_tag"), F.array().cast("array<string>").alias("clean_comment"), F.lit("NUDITY").alias("category"))
