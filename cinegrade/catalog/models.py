@@ -30,9 +30,9 @@ def _rows(spark, d):
 
 
 def _all_rows(spark, d):
-    """All documents with their nullable quality and toxic labels."""
-    docs = T.tokenised(spark, d).withColumnRenamed("tokens", "bow")
-    return docs.join(T.table(spark, d, "labels"), "doc_id", "left")
+    """All documents with their nullable quality and toxic labels; the join comes first, so who wants labelled ones tokenises no others."""
+    docs = T.table(spark, d, "documents").select("doc_id", "text").join(T.table(spark, d, "labels"), "doc_id", "left")
+    return docs.withColumn("bow", remove_stop_words(clean_tokens(F.col("text")))).drop("text")
 
 
 def rating_fit(spark, d):

@@ -4,7 +4,7 @@ Per category the labelled rows fall into k folds by the hash of their key, and k
 are fitted, each on k - 1 folds. A labelled row takes the probability from the model that
 has not seen it; a row without a label takes the mean of all k models.
 
-All rows pass all models in one scan: words are hashed once, and the models sit side by
+All rows pass all models in one scan: words are hashed once and written, and the models sit side by
 side as columns on the row. So there is no union of fold outputs, no join of holdout
 scores per fold, and no join of the categories into a wide frame.
 """
@@ -74,16 +74,13 @@ def blend_all(
     `rows` has the token column `bow` and one nullable 0/1 column per category.
     """
     shared, fitted_part = shared_stages(pipeline)
-    scored = shared.transform(rows.select(key, "bow", *labels)).drop("bow", "words")
-    hashed, columns = scored.where(reduce(or_, [F.col(label).isNotNull() for label in labels])).persist(), []
-    try:
-        for label in labels:
-            models = fit_folds(hashed, fitted_part, key, label, k, seed)
-            scored = with_probabilities(scored, models, f"{label}_p")
-            names = [f"{label}_p{i}" for i in range(k)]
-            columns.append(blended(names, fold_of(key, label, k, seed)).alias(label))
-    finally:
-        hashed.unpersist()
+    hashed = cut_lineage(shared.transform(rows.select(key, "bow", *labels)).drop("bow", "words"))
+    scored, columns = hashed, []
+    for label in labels:
+        models = fit_folds(hashed, fitted_part, key, label, k, seed)
+        scored = with_probabilities(scored, models, f"{label}_p")
+        names = [f"{label}_p{i}" for i in range(k)]
+        columns.append(blended(names, fold_of(key, label, k, seed)).alias(label))
     return scored.select(key, *columns)
 
 
