@@ -7,11 +7,12 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
+from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import models as registered
 from cinegrade.functions.labels import denial_label, grade, resolved_vote
-from cinegrade.operators import scores, splits, terms
+from cinegrade.operators import least_squares, scores, splits, terms
 from cinegrade.plans import bayes, blend, docvectors, factors, ratings, search
 from cinegrade.session import broadcast_if_small, shared_dir
 from cinegrade.sources.writers import fit_unless_saved, is_published, publish
@@ -294,6 +295,27 @@ def test_factor_vectors_separate_topics(docs):
     assert same > other + 0.3
 
 
+def test_least_squares_equal_those_of_spark(spark, monkeypatch):
+    """Rows with fewer and with more ratings than factors have numbers, in several blocks; no system of full size for rare words."""
+    draw = np.random.default_rng(3)
+    cells = {(int(u), int(i)) for u in range(40) for i in draw.integers(0, 30, 1 + u % 12)} | {(u, 30) for u in range(40)} | {(7, 31)}
+    table = spark.createDataFrame([(u, i, float(draw.random() * 4 + 1e-6)) for u, i in sorted(cells)], "doc INT, item INT, pmi FLOAT").persist()
+    settings = dict(rank=6, regParam=0.1, alpha=2.0, implicitPrefs=True, userCol="doc", itemCol="item", ratingCol="pmi", seed=5)
+    vectors = lambda df: np.array([r["features"] for r in df.orderBy("id").collect()])
+    want, start = vectors(ALS(maxIter=4, **settings).fit(table).userFactors), ALS(maxIter=0, **settings).fit(table).userFactors
+    monkeypatch.setattr(least_squares, "RATINGS_PER_BLOCK", 20)
+    got = vectors(least_squares.implicit_factors(table, start, "doc", "item", "pmi", 4, 0.1, 2.0))
+    assert got.shape == want.shape == (40, 6) and np.abs(got - want).max() < 1e-4 * np.abs(want).max()
+
+
+def test_factor_vectors_are_those_of_the_library(docs, monkeypatch):
+    """Spark's solver only draws the start: its rounds take a full system for each word."""
+    corpus = docs.select(F.col("id").cast("string").alias("sentence_tag"), F.col("bow").alias("clean_comment"), F.lit("SCARY").alias("category"))
+    rounds, fit = [], factors.ALS._fit
+    monkeypatch.setattr(factors.ALS, "_fit", lambda self, table: rounds.append(self.getMaxIter()) or fit(self, table))
+    assert factors.doc_factors(corpus, size=4, epochs=2).count() == 60 and rounds == [0]
+
+
 def test_shifted_information_and_dense_ids(spark):
     counts = spark.createDataFrame([("a", "x", 3), ("a", "y", 1), ("b", "y", 4)], "doc STRING, term STRING, n LONG").repartition(3)
     got = {(r["doc"], r["term"]): r["pmi"] for r in factors.shifted_information(counts, "doc", ["term"]).collect()}
