@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cinegrade.catalog import tables as T
 from cinegrade.catalog.guide import _reasons
+from cinegrade.functions.text import clean_tokens, remove_stop_words
 from cinegrade.operators import joins, terms
 from cinegrade.operators import linkage
 from cinegrade.operators import vectors as V
@@ -63,9 +64,8 @@ def key_words(spark, d):
 
 
 def bigram_counts(spark, d):
-    docs = T.tokenised(spark, d)
-    pairs = docs.select(F.explode(terms.bigrams(F.col("tokens"))).alias("bigram"))
-    return pairs.groupBy("bigram").agg(F.count("*").alias("n"))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return terms.bigram_counts(docs, "doc_id", "text", lambda text: remove_stop_words(clean_tokens(text)))
 
 
 def hashing_tf(spark, d):

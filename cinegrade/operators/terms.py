@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +136,23 @@ def standardise(docs: DataFrame, key: str, tokens: str = "tokens", min_doc_freq:
     )
 
 
+TEXT_PER_TASK = 16 << 20
+
+
+def bigram_counts(docs: DataFrame, key: str, text: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(bigram, n). Nearly every other bigram is a new one, so what a task holds grows with its text: tasks follow the size of
+    the table, TEXT_PER_TASK bytes of it for each. They count their own bigrams before these meet, so a frequent one is
+    no hot spot, in as many tasks again.
+    """
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_PER_TASK))
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+    dealt = docs.select(part, text).repartitionById(parts, "part")
+    pairs = dealt.select("part", F.explode(bigrams(tokens(F.col(text)))).alias("bigram"))
+    counted = pairs.groupBy("part", "bigram").agg(F.count("*").alias("n"))
+    return counted.select("bigram", "n").repartition(parts, "bigram").groupBy("bigram").agg(F.sum("n").alias("n"))
+
+
 def bigrams(tokens: Column) -> Column:
     """Neighbouring token pairs, joined by a space."""
 

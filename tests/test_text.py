@@ -9,10 +9,12 @@ from hypothesis import strategies as st
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
 
+from cinegrade.catalog import features
 from cinegrade.fixed_values import ENGLISH_STOP_WORDS
 from cinegrade.functions import labels as L
 from cinegrade.functions import text as X
 from cinegrade.functions.stem import porter_stem, stem_tokens
+from cinegrade.operators import terms
 from cinegrade.operators.terms import bigrams
 
 # Examples printed in the 1980 paper.
@@ -169,3 +171,14 @@ def test_comment_targets_parse_pages_once(spark, tmp_path):
     assert not any("pages.parquet" in name for name in got.inputFiles())
     assert {r["imdb_id"] for r in got.where("label = 1 AND category = 'NUDITY'").collect()} >= {"2", "4"}
     assert guide.dimension_flags(spark, str(tmp_path)).count() == 20
+
+
+def test_bigrams_are_counted_in_tasks_that_follow_the_text(spark, tmp_path, monkeypatch):
+    """Before, a table of this many bytes was counted in as few tasks as any other."""
+    texts = ["red green blue green blue", "green blue", "", None, "Red green"] * 20
+    rows = [(None if i % 7 == 0 else i % 50, text) for i, text in enumerate(texts)]  # keys may repeat or be null
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(terms, "TEXT_PER_TASK", 40)
+    got = features.bigram_counts(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == -(-sum(len(text or "") for text in texts) // 40)
+    assert {r["bigram"]: r["n"] for r in got.collect()} == {"red green": 40, "green blue": 60, "blue green": 20}
