@@ -5,16 +5,18 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import functions as F
 
 from cinegrade.catalog import models as registered
 from cinegrade.functions.labels import denial_label, grade, resolved_vote
 from cinegrade.operators import least_squares, scores, splits, terms
+from cinegrade.operators.network import SparseNetworkClassifier
 from cinegrade.plans import bayes, blend, docvectors, factors, ratings, search
-from cinegrade.session import broadcast_if_small, shared_dir
+from cinegrade.session import broadcast_if_small, dropping_shuffles, shared_dir
 from cinegrade.sources.writers import fit_unless_saved, is_published, publish
 from cinegrade.streaming import ingest
 from cinegrade.streaming.score import arriving, score_stream
@@ -162,6 +164,55 @@ def test_each_classifier(docs, model):
     assert out and all(0 <= r["p"] <= 1 for r in out) and len({r["id"] for r in out}) == len(out)
 
 
+def _vectors(spark, n=500):
+    draw = np.random.default_rng(0)
+    rows = []
+    for i in range(n):
+        at = np.sort(draw.choice(40, 6, replace=False))
+        label, numbers = i % 3, draw.random(6) + (at % 3 == i % 3)
+        rows.append((float(label), Vectors.sparse(40, at.tolist(), numbers.tolist()) if i % 4 else Vectors.dense(np.bincount(at, numbers, 40))))
+    return spark.createDataFrame(rows, ["label", "features"]).repartition(3).persist()
+
+
+@pytest.mark.parametrize("layers", [[40, 3], [40, 5, 3], [40, 6, 4, 3]])
+def test_sparse_network_equals_that_of_spark(spark, layers):
+    """Sparse and dense rows, full and partial blocks, the steps of the optimiser."""
+    data, settings = _vectors(spark), {"layers": layers, "maxIter": 12, "blockSize": 64, "seed": 4}
+    want, got = MultilayerPerceptronClassifier(**settings).fit(data), SparseNetworkClassifier(**settings).fit(data)
+    assert np.allclose(got.weights.toArray(), want.weights.toArray(), rtol=1e-6, atol=1e-9)
+    assert (got.getLayers(), got.getMaxIter(), got.numFeatures, got.numClasses) == (layers, 12, 40, 3)
+    both = [m.transform(data).select("prediction").collect() for m in (got, want)]
+    assert both[0] == both[1]
+
+
+def test_sparse_network_needs_labels(spark):
+    rows = _vectors(spark, 9)
+    with pytest.raises(Exception, match="whole numbers from 0 to 1"):
+        SparseNetworkClassifier(layers=[40, 2], maxIter=1).fit(rows)
+    with pytest.raises(Exception, match="needs rows with a label"):
+        SparseNetworkClassifier(layers=[40, 3], maxIter=1).fit(rows.withColumn("label", F.when(F.col("label") > 0, F.col("label"))))
+
+
+def test_networks_hold_no_dense_rows(docs, monkeypatch):
+    """Before, Spark's trainer kept every row with all its features as doubles; now it draws the start, from one row."""
+    seen, fit = [], MultilayerPerceptronClassifier._fit_java
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit_java", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    rows = docs.withColumn("label", (F.col("rating") == "R").cast("double"))
+    ratings.rating_pipeline("mlp", 64, layers=[64, 4, 2], maxIter=2).fit(rows)
+    assert seen == [1]
+
+
+def test_shuffles_of_rounds_are_dropped(spark):
+    """The setting holds inside only, also for threads side by side."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with dropping_shuffles(spark):
+        with dropping_shuffles(spark):
+            assert spark.conf.get(name) == "true"
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("options", [{"feat": "tf"}, {"scale": True}, {"ngram": 2}, {"feat": "tf", "scale": True}])
 def test_feature_options(docs, options):
     out = Pipeline(stages=ratings.feature_stages(64, **options)).fit(docs).transform(docs)
