@@ -359,6 +359,35 @@ def test_least_squares_equal_those_of_spark(spark, monkeypatch):
     assert got.shape == want.shape == (40, 6) and np.abs(got - want).max() < 1e-4 * np.abs(want).max()
 
 
+def _ratings(spark):
+    draw = np.random.default_rng(3)
+    cells = sorted({(u, int(i)) for u in range(40) for i in draw.integers(0, 30, 1 + u % 12)})
+    return spark.createDataFrame([(u, i, float(draw.random() * 4 + 1e-6)) for u, i in cells], "doc INT, item INT, pmi FLOAT").persist()
+
+
+def test_factors_are_sent_in_waves(spark, monkeypatch):
+    """Before, all copies of a side's factors lay on disk at a time, however many."""
+    table = _ratings(spark)
+    start = ALS(maxIter=0, rank=6, implicitPrefs=True, userCol="doc", itemCol="item", ratingCol="pmi", seed=5).fit(table).userFactors
+    solve = lambda: {r["id"]: r["features"] for r in least_squares.implicit_factors(table, start, "doc", "item", "pmi", 2).collect()}
+    want, counts, plain = solve(), [], least_squares._waves
+    monkeypatch.setattr(least_squares, "SENT_BYTES", 1000)
+    monkeypatch.setattr(least_squares, "_waves", lambda *a: counts.append(plain(*a)) or counts[-1])
+    assert solve() == want and len(counts) == 2 and all(2 < n <= 8 for n in counts)
+
+
+def test_rounds_leave_no_shuffle_files(spark):
+    """Before, the files of every round stayed until the driver happened to collect garbage."""
+    table = _ratings(spark)
+    start = ALS(maxIter=0, rank=6, implicitPrefs=True, userCol="doc", itemCol="item", ratingCol="pmi", seed=5).fit(table).userFactors.persist()
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    ids = lambda: {name.split("_")[1] for name in manager.getAllBlocks().mkString(" ").split() if name.startswith("shuffle_")}
+    start.count()
+    before = ids()
+    least_squares.implicit_factors(table, start, "doc", "item", "pmi", 6).count()
+    assert len(ids() - before) <= 4  # those of the rated rows and of the count, none of the 24 of the rounds
+
+
 def test_factor_vectors_are_those_of_the_library(docs, monkeypatch):
     """Spark's solver only draws the start: its rounds take a full system for each word."""
     corpus = docs.select(F.col("id").cast("string").alias("sentence_tag"), F.col("bow").alias("clean_comment"), F.lit("SCARY").alias("category"))
