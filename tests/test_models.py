@@ -244,6 +244,15 @@ def test_dense_fits_run_one_after_the_other(docs, monkeypatch):
     assert pools == [1] and got == {r["fold"]: r["accuracy"] for r in search.cv_scores(rows, {"nb": pipeline}, "id", k=2).collect()}
 
 
+def test_fold_networks_hold_no_dense_rows(docs, monkeypatch):
+    """Before, the networks of the comparison kept the rows of all training folds as doubles."""
+    seen, fit = [], MultilayerPerceptronClassifier._fit_java
+    monkeypatch.setattr(MultilayerPerceptronClassifier, "_fit_java", lambda self, rows: seen.append(rows.count()) or fit(self, rows))
+    rows = docs.withColumn("label", (F.col("rating") == "R").cast("double"))
+    pipeline = ratings.rating_pipeline("mlp", 64, {"min_doc_freq": 0}, layers=[64, 4, 2], maxIter=2)
+    assert search.cv_scores(rows, {"mlp": pipeline}, "id", k=2).count() == 2 and seen == [1, 1]
+
+
 def test_index_labels_is_alphabetic(docs):
     rows, names = ratings.index_labels(docs.drop("label"))
     assert names == ["NOT_R", "R"]
